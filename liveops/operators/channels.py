@@ -38,7 +38,7 @@ def summary(channels: DataFrame) -> DataFrame:
 def viewers(channels: DataFrame, spans: DataFrame) -> DataFrame:
     """Viewers now per channel; a relay counts half its sockets."""
     now = (
-        spans.where(F.col("to_at").isNull())
+        spans.where(F.col("to_us").isNull())
         .groupBy("channel")
         .agg(F.count(F.lit(1)).alias("sockets"))
     )

@@ -50,10 +50,10 @@ def spells(signals: DataFrame, keys, opens: Column, closes: Column, at="us", tie
     )
     # Blocks stay valid: dropping rows keeps the order within and across them.
     rows = type(rows)(edges, rows.keys, rows.order, rows.blocks).running(
-        to_at=following(at), to_id=following(tie)
+        to_us=following(at), to_id=following(tie)
     )
     return rows.df.where("_open").select(
-        *keys, F.col(at).alias("from_at"), "to_at", F.col(tie).alias("from_id"), "to_id"
+        *keys, F.col(at).alias("from_us"), "to_us", F.col(tie).alias("from_id"), "to_id"
     )
 
 
@@ -90,7 +90,7 @@ def member_step(state: dict, row: dict) -> list[dict]:
 
 def _spell(state, end):
     return {
-        "channel": state["channel"], "from_at": state["since"], "to_at": end,
+        "channel": state["channel"], "from_us": state["since"], "to_us": end,
         "from_id": state["since_id"],
     }
 
@@ -111,15 +111,15 @@ def machine(signals: DataFrame) -> DataFrame:
         "channel", "us", "event_id", "client", "action"
     )
     known = during(
-        client_rows, lives, ["channel"], "us", "event_id", [], "from_at", "to_at", outer=True
-    ).withColumn("alive", F.col("from_at").isNotNull()).withColumnRenamed("to_at", "alive_until")
+        client_rows, lives, ["channel"], "us", "event_id", [], "from_us", "to_us", outer=True
+    ).withColumn("alive", F.col("from_us").isNotNull()).withColumnRenamed("to_us", "alive_until")
     return fold(
         known.select("client", "channel", "action", "us", "event_id", "alive", "alive_until"),
         ["client"],
         ["us", "event_id"],
         _begin,
         member_step,
-        "client bigint, channel bigint, from_at bigint, to_at bigint, from_id bigint",
+        "client bigint, channel bigint, from_us bigint, to_us bigint, from_id bigint",
         member_finish,
     )
 
@@ -127,14 +127,14 @@ def machine(signals: DataFrame) -> DataFrame:
 def authorised(packets: DataFrame, spans: DataFrame, outer: bool = False) -> DataFrame:
     """Packets whose sender is a member then; ``outer`` keeps the rest with null channel."""
     return during(
-        packets, spans, ["client"], "us", "event_id", ["channel"], "from_at", "to_at", outer
+        packets, spans, ["client"], "us", "event_id", ["channel"], "from_us", "to_us", outer
     )
 
 
 def channel_of(clients: DataFrame, spans: DataFrame) -> DataFrame:
     """Channel each client is in now: its open span."""
     return clients.join(
-        spans.where(F.col("to_at").isNull()).select("client", "channel"), "client", "left"
+        spans.where(F.col("to_us").isNull()).select("client", "channel"), "client", "left"
     )
 
 
@@ -166,20 +166,20 @@ def fanout_counts(messages: DataFrame, spans: DataFrame, include_self: bool = Fa
         return out.withColumnRenamed("members", "receivers")
     inside = during(
         out.withColumn("client", F.col("sender")), spans, ["channel", "client"], "us",
-        "event_id", [], "from_at", "to_at", outer=True,
+        "event_id", [], "from_us", "to_us", outer=True,
     )
-    own = F.col("from_at").isNotNull().cast("bigint")
+    own = F.col("from_us").isNotNull().cast("bigint")
     return inside.select(*out.columns, (F.col("members") - own).alias("receivers")).drop("members")
 
 
 def steps(spans: DataFrame) -> DataFrame:
     """+1 where a span begins and -1 where it ends."""
     begin = spans.select(
-        "channel", F.col("from_at").alias("us"), F.col("from_id").alias("event_id"),
+        "channel", F.col("from_us").alias("us"), F.col("from_id").alias("event_id"),
         F.lit(1).cast("bigint").alias("step"),
     )
-    end = spans.where(F.col("to_at").isNotNull()).select(
-        "channel", F.col("to_at").alias("us"), F.col("to_id").alias("event_id"),
+    end = spans.where(F.col("to_us").isNotNull()).select(
+        "channel", F.col("to_us").alias("us"), F.col("to_id").alias("event_id"),
         F.lit(-1).cast("bigint").alias("step"),
     )
     return begin.unionByName(end)

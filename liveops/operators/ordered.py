@@ -1,6 +1,6 @@
 """Ordered computations per key that stay parallel when one key is huge.
 
-A window runs each key in one task. Here keys above ``liveops.hot.rows`` rows
+A window runs each key in one task. Here keys above ``spark.liveops.hotRows`` rows
 are range-partitioned on (key, order) into consecutive blocks, windows run per
 block, and one summary row per block carries the state forward. With no such
 key the plan is a plain window.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from liveops.session import require_checkpoint_dir
 
-HOT_ROWS = "liveops.hot.rows"
+HOT_ROWS = "spark.liveops.hotRows"
 DEFAULT_HOT_ROWS = 4_000_000
 BROADCAST_ROWS = 100_000
 BLOCK = "_block"
@@ -164,6 +164,9 @@ class Ordered:
                 *[F.col(p).alias(f"_k{i}") for i, p in enumerate(self.parts)],
                 *[_carry(s.kind, n, across).alias(f"_c_{n}") for n, s in specs.items()],
             )
+            # One small row per block. Written out, a chain of such passes stays a
+            # chain; as plans, each pass would hold the one before it twice.
+            .checkpoint()
         )
         if self.blocks <= BROADCAST_ROWS:
             carried = F.broadcast(carried)

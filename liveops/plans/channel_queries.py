@@ -12,20 +12,20 @@ VIEWS |= {
     "changes": (("signals",), """SELECT * FROM (SELECT *, lag(action) OVER (
         PARTITION BY channel, client ORDER BY us, event_id) AS was FROM signals)
         WHERE action <> coalesce(was, 'LEAVE')"""),
-    "spans": (("changes",), """SELECT channel, client, us AS from_at, next_at AS to_at,
+    "spans": (("changes",), """SELECT channel, client, us AS from_us, next_us AS to_us,
         event_id AS from_id, next_id AS to_id FROM (SELECT *,
-        lead(us) OVER w AS next_at, lead(event_id) OVER w AS next_id FROM changes
+        lead(us) OVER w AS next_us, lead(event_id) OVER w AS next_id FROM changes
         WINDOW w AS (PARTITION BY channel, client ORDER BY us, event_id)) WHERE action = 'JOIN'"""),
-    "steps": (("spans",), """SELECT channel, from_at AS us, from_id AS event_id,
+    "steps": (("spans",), """SELECT channel, from_us AS us, from_id AS event_id,
         CAST(1 AS BIGINT) AS step FROM spans
-        UNION ALL SELECT channel, to_at, to_id, CAST(-1 AS BIGINT) FROM spans
-        WHERE to_at IS NOT NULL"""),
+        UNION ALL SELECT channel, to_us, to_id, CAST(-1 AS BIGINT) FROM spans
+        WHERE to_us IS NOT NULL"""),
     "running": (("steps",), """SELECT *, CAST(sum(step) OVER (PARTITION BY channel
         ORDER BY us, event_id, step) AS BIGINT) AS members FROM steps"""),
     "counts": (("spans", "channel_list"), """SELECT channel, kind, CAST(CASE WHEN kind = 'camera'
         THEN n ELSE n // 2 END AS BIGINT) AS viewers FROM (SELECT c.channel, c.kind,
         count(s.client) AS n FROM channel_list c LEFT JOIN spans s ON s.channel = c.channel
-        AND s.to_at IS NULL GROUP BY ALL)"""),
+        AND s.to_us IS NULL GROUP BY ALL)"""),
     "status_signals": (("ticks",), """SELECT user_id AS channel,
         CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS signal,
         event_type = 'view' AS online, us, event_id FROM ticks

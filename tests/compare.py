@@ -75,7 +75,7 @@ def main():
     spark = session(master="local[8]", **{
         "spark__sql__shuffle__partitions": "8", "spark__ui__enabled": "false",
         "spark__driver__memory": "12g", "spark__ui__showConsoleProgress": "false",
-        **({"liveops__hot__rows": os.environ["HOT"]} if "HOT" in os.environ else {}),
+        **({"spark__liveops__hotRows": os.environ["HOT"]} if "HOT" in os.environ else {}),
     })
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(folder), entry.oracle_sql(), 0
