@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from liveops.operators import keyed
 from liveops.operators.fold import fold
 from liveops.operators.membership import steps
-from liveops.operators.ordered import following, lowest, ordered, position, previous, total
+from liveops.operators.numbered import numbered
+from liveops.operators.ordered import following, ordered, position, previous, total
 
 
 def all_channels(cameras: DataFrame, relays: DataFrame) -> DataFrame:
@@ -130,36 +131,10 @@ def admit_live(signals: DataFrame, limit: int, inclusive_overflow: bool = True)
 
 
 def assign(df: DataFrame, order, workers: int = 8) -> DataFrame:
-    """Round-robin worker per row in global order.
-
-    Rows are range-partitioned; a row's place is its place in the partition plus
-    the sizes of the partitions before, so no task sees all rows.
-    """
-    from liveops.session import require_checkpoint_dir
-
-    spark = df.sparkSession
-    order = [order] if isinstance(order, str) else list(order)
-    require_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        df.repartitionByRange(parts, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
-    )
-    from pyspark.sql import Window
-
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return (
-        placed.withColumn("_n", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("worker", ((F.col("_n") + F.col("_offset")) % workers).cast("int"))
-        .drop("_part", "_n", "_offset")
-    )
+    """Round-robin worker per row in global order."""
+    return numbered(df, order, "_n").withColumn(
+        "worker", (F.col("_n") % workers).cast("int")
+    ).drop("_n")
 
 
 ONLINE, OVER, FAILED = 1, 2, 3
@@ -193,8 +168,3 @@ def edges(signals: DataFrame) -> DataFrame:
 def current(signals: DataFrame) -> DataFrame:
     return keyed.latest(signals, ["channel"], ["us", "event_id"])
 
-
-__all__ = [
-    "admit", "admit_live", "all_channels", "assign", "concurrency", "current", "edges",
-    "lowest", "online", "peak", "status", "summary", "viewers",
-]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liveops.operators import keyed
 from liveops.operators.fold import fold
-from liveops.operators.joins import asof, during
+from liveops.operators.joins import during
 from liveops.operators.ordered import following, ordered, previous, total
 
 TYPES = ("CAMERA", "PC")
@@ -184,12 +183,3 @@ def steps(spans: DataFrame) -> DataFrame:
     )
     return begin.unionByName(end)
 
-
-def last_headers(headers: DataFrame) -> DataFrame:
-    return keyed.latest(headers, ["channel"], ["us", "event_id"])
-
-
-__all__ = [
-    "asof", "authorised", "channel_of", "fanout", "fanout_counts", "format_signal", "intervals",
-    "machine", "member_finish", "member_step", "parse_signal", "spells", "steps",
-]

@@ -1,4 +1,4 @@
-from liveops.plans import channel_queries, packet_queries  # noqa: F401
+from liveops.plans import catalog_queries, channel_queries, packet_queries  # noqa: F401
 from liveops.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

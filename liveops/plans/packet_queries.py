@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from liveops.operators import channels, keyed, membership, packets
+from liveops.operators import keyed, membership, packets
 from liveops.operators.ordered import ordered, position
 from liveops.plans.fixtures import HOUR, VIEWS
 from liveops.plans.registry import query
@@ -304,5 +304,3 @@ def packet_connections(t):
 def packet_retransmits(t):
     return packets.retransmits(trace(t))
 
-
-__all__ = ["channels"]

@@ -34,7 +34,8 @@ def query(name: str, sql: str | None = None, views: str = ""):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = _with(views.split()) + sql
+            # SQL that adds tables of its own to the list starts with a comma.
+            ORACLES[name] = _with(views.split()) + sql.lstrip()
         return fn
 
     return register
