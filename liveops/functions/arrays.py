@@ -17,14 +17,15 @@ def saturate(value: Column) -> Column:
     return F.greatest(F.least(value, F.lit(SAMPLE_MAX)), F.lit(SAMPLE_MIN))
 
 
+def _weighted(vector: Column, weight: Column) -> Column:
+    return F.transform(vector, lambda x: F.shiftright(_int(x) * weight, 16))
+
+
 def mix(vectors: list[Column], weights: list[Column] | None = None) -> Column:
     """Weighted sum per position, saturated; a weight of 65536 is one and zero mutes."""
     scaled = vectors
     if weights is not None:
-        scaled = [
-            F.transform(v, lambda x, w=w: F.shiftright(_int(x) * w, 16))
-            for v, w in zip(vectors, weights)
-        ]
+        scaled = [_weighted(v, w) for v, w in zip(vectors, weights)]
     acc = scaled[0]
     for other in scaled[1:]:
         acc = F.zip_with(acc, other, lambda a, b: _int(a) + _int(b))
@@ -46,7 +47,9 @@ def mix_pair(a: Column, b: Column) -> Column:
 
 def interleave(channels: list[Column]) -> Column:
     """One frame after another: first sample of every channel, then the second."""
-    return F.flatten(F.transform(F.arrays_zip(*channels), lambda s: F.array(*[s[str(i)] for i in range(len(channels))])))
+    return F.flatten(
+        F.transform(channels[0], lambda _, i: F.array(*[F.get(c, i) for c in channels]))
+    )
 
 
 def deinterleave(samples: Column, channels: int, index: int) -> Column:

@@ -183,6 +183,34 @@ class Ordered:
             self, df=joined.select(*keep, *[c.alias(n) for n, c in merged.items()])
         )
 
+    def tail(self, width: int, **frames) -> Ordered:
+        """Columns over the last ``width`` rows; each frame maps a window to a column.
+
+        With blocks, rows go to chunks of a fixed row count that also hold the
+        few rows before them, so a frame never has to reach another task.
+        """
+
+        def last(window):
+            return window.rowsBetween(1 - width, Window.currentRow)
+
+        if not self.blocks:
+            window = last(Window.partitionBy(*self.keys).orderBy(*self.order))
+            return self.map({name: frame(window) for name, frame in frames.items()})
+        size = max(8 * CHUNK, 2 * width)
+        place = F.col("_place") - 1
+        rows = self.running(_place=position()).df.withColumn("_chunk", F.floor(place / size))
+        rows = rows.withColumn("_halo", F.lit(False))
+        halo = rows.where(place % size > size - width).withColumns(
+            {"_chunk": F.col("_chunk") + 1, "_halo": F.lit(True)}
+        )
+        window = last(Window.partitionBy(*self.keys, "_chunk").orderBy("_place"))
+        framed = rows.unionByName(halo).withColumns(
+            {name: frame(window) for name, frame in frames.items()}
+        )
+        return replace(
+            self, df=framed.where(~F.col("_halo")).drop("_place", "_chunk", "_halo")
+        )
+
     def result(self, *drop: str) -> DataFrame:
         return self.df.drop(BLOCK, *drop)
 

@@ -1,4 +1,6 @@
-from liveops.plans import catalog_queries, channel_queries, packet_queries  # noqa: F401
+from liveops.plans import (  # noqa: F401
+    catalog_queries, channel_queries, media_queries, packet_queries,
+)
 from liveops.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
