@@ -81,7 +81,7 @@ def admit(arrivals: DataFrame, limit: int, inclusive_overflow: bool = True) -> D
     return rows.map({"http": F.when(ok, 200).otherwise(503)}).result("_n")
 
 
-def _full_begin():
+def full_begin():
     return {"inside": set()}
 
 
@@ -124,7 +124,7 @@ def admit_live(signals: DataFrame, limit: int, inclusive_overflow: bool = True)
         ),
         ["channel", "stretch"],
         ["us", "event_id"],
-        _full_begin,
+        full_begin,
         admit_step,
         "channel bigint, client bigint, us bigint, event_id bigint, http int",
     )

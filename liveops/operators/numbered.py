@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liveops.session import require_checkpoint_dir
+from liveops.session import written
 
 
 def numbered(df: DataFrame, order, out: str = "n") -> DataFrame:
@@ -17,12 +17,9 @@ def numbered(df: DataFrame, order, out: str = "n") -> DataFrame:
     """
     spark = df.sparkSession
     order = [order] if isinstance(order, str) else list(order)
-    require_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        df.repartitionByRange(parts, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
+    placed = written(
+        df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per partition: the only window without a key runs over these few rows.

@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liveops.session import require_checkpoint_dir
+from liveops.session import written
 
 HOT_ROWS = "spark.liveops.hotRows"
 DEFAULT_HOT_ROWS = 4_000_000
@@ -156,7 +156,9 @@ class Ordered:
             local["_last"] = F.lead(F.lit(1)).over(window).isNull()
         at = F.struct(*self.order)
         across = Window.partitionBy(*self.keys).orderBy(BLOCK)
-        carried = (
+        # One small row per block. Written out, a chain of such passes stays a chain;
+        # as plans, each pass would hold the one before it twice.
+        carried = written(
             self.df.where(F.col(BLOCK) >= 0)
             .groupBy(*self.parts)
             .agg(*[_summary(spec, at).alias(name) for name, spec in specs.items()])
@@ -164,9 +166,6 @@ class Ordered:
                 *[F.col(p).alias(f"_k{i}") for i, p in enumerate(self.parts)],
                 *[_carry(s.kind, n, across).alias(f"_c_{n}") for n, s in specs.items()],
             )
-            # One small row per block. Written out, a chain of such passes stays a
-            # chain; as plans, each pass would hold the one before it twice.
-            .checkpoint()
         )
         if self.blocks <= BROADCAST_ROWS:
             carried = F.broadcast(carried)
@@ -228,19 +227,17 @@ def ordered(df: DataFrame, keys, order, hot_rows: int | None = None) -> Ordered:
     found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
     if not found.n:
         return Ordered(df, keys, order)
-    require_checkpoint_dir(spark)
     hot = sizes.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
     if found.n <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     match = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
     blocks = max(2, math.ceil(found.rows / limit))
-    large = (
+    # Block numbers depend on sampled range bounds, so they are written once and
+    # every later stage, retries included, reads the same numbers.
+    large = written(
         df.join(hot, match, "left_semi")
         .repartitionByRange(blocks, *keys, *order)
         .withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
-        # Block numbers depend on sampled range bounds, so they are written once
-        # and every later stage, retries included, reads the same numbers.
-        .checkpoint()
     )
     small = df.join(hot, match, "left_anti").withColumn(BLOCK, F.lit(-1).cast("bigint"))
     return Ordered(small.unionByName(large), keys, order, blocks)

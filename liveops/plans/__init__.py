@@ -1,5 +1,5 @@
 from liveops.plans import (  # noqa: F401
-    catalog_queries, channel_queries, media_queries, packet_queries,
+    catalog_queries, channel_queries, media_queries, packet_queries, source_queries,
 )
 from liveops.plans.registry import ORACLES, QUERIES
 

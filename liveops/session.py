@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "liveops", master: str | None = None, **conf) -> SparkSession:
@@ -23,15 +24,25 @@ def session(app: str = "liveops", master: str | None = None, **conf) -> SparkSes
     return builder.getOrCreate()
 
 
-def require_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a temporary one only on a local master."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="liveops-"))
-    else:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    made = tempfile.mkdtemp(prefix="liveops-")
+    spark.sparkContext.setCheckpointDir(made)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Cuts the lineage like a checkpoint, so a lost executor re-reads files and
+    never recomputes; being a parquet table it is also pruned and filtered.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/liveops-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

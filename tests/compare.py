@@ -14,7 +14,7 @@ import duckdb
 KINDS = {
     "tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "bigint",
     "varchar": "string", "string": "string", "double": "double", "boolean": "boolean",
-    "float": "float", "date": "date", "blob": "binary", "binary": "binary",
+    "float": "float", "date": "date", "timestamp_ntz": "timestamp", "blob": "binary", "binary": "binary",
 }
 
 
