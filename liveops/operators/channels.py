@@ -92,7 +92,7 @@ def admit_step(state: dict, row: dict) -> list[dict]:
         return []
     if row["client"] in inside:
         status = 500
-    elif len(inside) >= row["_allowed"]:
+    elif len(inside) >= row["allowed"]:
         status = 503
     else:
         inside.add(row["client"])
@@ -120,7 +120,7 @@ def admit_live(signals: DataFrame, limit: int, inclusive_overflow: bool = True)
     ).map({"stretch": F.coalesce("stretch", F.lit(0).cast("bigint"))})
     return fold(
         stretched.df.select("channel", "stretch", "client", "action", "us", "event_id").withColumn(
-            "_allowed", F.lit(_allowed(limit, inclusive_overflow))
+            "allowed", F.lit(_allowed(limit, inclusive_overflow))
         ),
         ["channel", "stretch"],
         ["us", "event_id"],

@@ -54,7 +54,7 @@ def directory(requests: DataFrame, order=("us", "event_id")) -> DataFrame:
     ).select("resource", "owner", *[F.col(c).alias(f"_{c}") for c in order])
     joined = rows.join(owners, "resource", "left")
     owned = F.struct(*[f"_{c}" for c in order]) < F.struct(*order)
-    there = F.coalesce(owned, F.lit(False))
+    there = F.col("owner").isNotNull() & owned
     asks = action.isin("QUERY", "TRANSFER")
     return joined.select(
         *requests.columns,

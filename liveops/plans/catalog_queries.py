@@ -417,7 +417,7 @@ def p2p_orphans(t):
     WHEN action = 'PING' THEN 200 WHEN NOT inside THEN NULL
     WHEN action IN ('QUERY', 'TRANSFER') AND NOT there THEN 404 ELSE 200 END AS reply,
     CASE WHEN inside AND action IN ('QUERY', 'TRANSFER') AND there THEN own END AS owner
-    FROM (SELECT d.*, o.client AS own, coalesce((o.us, o.event_id) < (d.us, d.event_id), false)
+    FROM (SELECT d.*, o.client AS own, o.us IS NOT NULL AND (o.us, o.event_id) < (d.us, d.event_id)
     AS there FROM directory_in d LEFT JOIN (SELECT * FROM directory_in WHERE action = 'COMMIT'
     AND inside QUALIFY row_number() OVER (PARTITION BY resource ORDER BY us, event_id) = 1) o
     ON o.resource = d.resource)""", "directory_in")

@@ -14,19 +14,25 @@ from pyspark.sql.types import StructType
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _value(value):
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _value(value, integral=False):
     """Plain Python value; missing cells become None."""
+    if hasattr(value, "tolist"):
+        value = value.tolist()
     if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
         return None
-    return value.item() if hasattr(value, "item") else value
+    # pandas turns an integer column with gaps into floats.
+    return int(value) if integral else value
 
 
 class Machine(StatefulProcessor):
     """Runs ``step(state, row)`` over each key's rows of a micro-batch in order."""
 
-    def __init__(self, keys, order, begin, step, names):
+    def __init__(self, keys, order, begin, step, integral, out):
         self.keys, self.order, self.begin = list(keys), list(order), begin
-        self.step, self.names = step, names
+        self.step, self.integral, self.out = step, integral, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "blob binary")
@@ -35,12 +41,17 @@ class Machine(StatefulProcessor):
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.begin()
         batch = pd.concat(list(rows)).sort_values(self.order)
         plain_key, out = dict(zip(self.keys, map(_value, key))), []
-        columns = list(batch.columns)
+        columns = [(name, name in self.integral) for name in batch.columns]
         for values in batch.itertuples(index=False, name=None):
-            row = dict(zip(columns, map(_value, values)))
+            row = {n: _value(v, whole) for (n, whole), v in zip(columns, values)}
             out.extend(plain_key | made for made in self.step(state, row))
         self.state.update((pickle.dumps(state),))
-        yield pd.DataFrame([{n: r.get(n) for n in self.names} for r in out], columns=self.names)
+        yield pd.DataFrame(
+            {
+                n: pd.array([r.get(n) for r in out], dtype="Int64" if kind in INTEGRAL else object)
+                for n, kind in self.out
+            }
+        )
 
     def close(self) -> None:
         pass
@@ -55,7 +66,8 @@ def stream_fold(stream: DataFrame, keys, order, begin: Callable[[], dict], step:
     ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``.
     """
     struct = StructType.fromDDL(schema)
-    names = [f.name for f in struct.fields]
+    integral = {n for n, kind in stream.dtypes if kind in INTEGRAL}
+    out = [(f.name, f.dataType.simpleString()) for f in struct.fields]
     return stream.groupBy(*keys).transformWithStateInPandas(
-        Machine(keys, order, begin, step, names), struct, mode, "None"
+        Machine(keys, order, begin, step, integral, out), struct, mode, "None"
     )

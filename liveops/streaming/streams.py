@@ -137,7 +137,7 @@ def read_latest(spark, key: str, order, path: str) -> DataFrame:
 def admissions(signals: DataFrame, limit: int, inclusive_overflow: bool = True) -> DataFrame:
     allowed = F.lit(limit + 1 if inclusive_overflow else limit)
     return stream_fold(
-        signals.withColumn("_allowed", allowed), ["channel"], ORDER,
+        signals.withColumn("allowed", allowed), ["channel"], ORDER,
         channels.full_begin, channels.admit_step,
         "channel bigint, client bigint, us bigint, event_id bigint, http int",
     )

@@ -108,7 +108,7 @@ def test_admit_live(spark):
         spark, rows, "channel bigint, client bigint, action string, us bigint, event_id bigint"
     )
     expected = plain(
-        [r | {"_allowed": 3} for r in rows], "channel", channels.full_begin, channels.admit_step
+        [r | {"allowed": 3} for r in rows], "channel", channels.full_begin, channels.admit_step
     )
     same(channels.admit_live(df, 2), expected, ["channel", "client", "event_id", "http"])
 
