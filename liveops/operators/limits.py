@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liveops.operators.fold import fold
-from liveops.operators.ordered import ordered, previous, total
+from liveops.operators.chains import windows
 
 ARRIVAL = ["us", "event_id"]
 
@@ -27,19 +26,11 @@ def limit_step(state: dict, row: dict) -> list[dict]:
 
 
 def rate_limit(df: DataFrame, interval_us: int, burst: int) -> DataFrame:
-    """Which events of each ``source`` pass and the window each falls in.
-
-    A silence longer than the interval always opens a window, so sources are cut
-    there and the pieces run independently.
-    """
-    rows = ordered(df.select("source", *ARRIVAL), ["source"], ARRIVAL).running(_us=previous("us"))
-    fresh = F.col("_us").isNull() | (F.col("us") - F.col("_us") > interval_us)
-    rows = rows.map({"_fresh": fresh.cast("bigint")}).running(piece=total("_fresh"))
-    settings = {"interval": F.lit(interval_us).cast("bigint"), "burst": F.lit(burst)}
-    return fold(
-        rows.map(settings).df.select("source", "piece", *ARRIVAL, "interval", "burst"),
-        ["source", "piece"], ARRIVAL, limit_begin, limit_step,
-        "source bigint, us bigint, event_id bigint, window_us bigint, passed boolean",
+    """Which events of each ``source`` pass and the window each falls in."""
+    rows = windows(df.select("source", *ARRIVAL), "source", interval_us, closed=False)
+    return rows.result().select(
+        "source", *ARRIVAL, F.col("since").alias("window_us"),
+        (F.col("nth") <= burst + 1).alias("passed"),
     )
 
 

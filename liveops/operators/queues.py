@@ -42,13 +42,16 @@ def backlog(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``rows`` hold arrivals (``is_key``) and services (``served`` frames) in order.
     A queue without a bound is never shorter, so wherever that one, found by
-    running sums, is empty, the bounded one is too: rows are cut there.
+    running sums, is empty, the bounded one is too: rows are cut there, and where
+    a whole queue's worth is served at once.
     """
     step = F.when(F.col("served").isNull(), F.lit(1)).otherwise(-F.col("served")).cast("bigint")
     timed = ordered(rows.withColumn("_step", step), ["viewer"], ARRIVAL).running(_sum=total("_step"))
     timed = timed.running(_low=lowest("_sum"))
     zero = F.lit(0).cast("bigint")
-    empty = F.col("_sum") <= F.least(zero, F.col("_low"))
+    empty = (F.col("_sum") <= F.least(zero, F.col("_low"))) | F.coalesce(
+        F.col("served") >= capacity, F.lit(False)
+    )
     timed = timed.map({"_empty": empty.cast("bigint")}).running(
         piece=total("_empty", inclusive=False)
     )

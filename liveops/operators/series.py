@@ -63,40 +63,39 @@ def run_sums(df: DataFrame, key: str, order, value: str) -> DataFrame:
 
 
 # clocks -------------------------------------------------------------------------------
-def _slope(samples: Column, x_now: Column, history: int, min_history: int,
-           monotonic: bool) -> Column:
-    """Least-squares slope over the samples still kept; 1 when there are too few."""
-    size = F.size(samples)
-    kept = F.filter(
-        samples, lambda s, i: (s["x"] + history >= x_now) | (i >= size - 1 - min_history)
-    )
-    n = F.size(kept)
-
-    def mean(field):
-        added = F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, s: a + s[field])
-        return F.floor(added / n)
-
-    def added(of):
-        return F.aggregate(kept, F.lit(0.0), lambda a, s: a + of(s))
+def _dot(samples: Column, a, b) -> Column:
+    return F.aggregate(samples, F.lit(0.0), lambda acc, s: acc + a(s) * b(s))
 
-    ax, ay = mean("x"), mean("y")
 
-    def dx(s):
-        return (s["x"] - ax).cast("double")
-
-    slope = added(lambda s: dx(s) * (s["y"] - ay).cast("double")) / added(lambda s: dx(s) * dx(s))
-    if monotonic:
-        slope = F.greatest(slope, F.lit(0.0))
-    return F.when(n < min_history, 1.0).otherwise(slope)
+def _mean(field: str) -> Column:
+    added = F.aggregate("_kept", F.lit(0).cast("bigint"), lambda acc, s: acc + s[field])
+    return F.floor(added / F.size("_kept"))
 
 
 def drift_rows(df: DataFrame, key: str, history: int, min_history: int,
                monotonic: bool) -> Ordered:
+    """Least-squares slope over the samples still kept; 1 when there are too few."""
     rows = ordered(df, [key], ["x"]).tail(
         HISTORY_MAX, _h=lambda w: F.collect_list(F.struct("x", "y")).over(w)
     )
-    rows = rows.map({"slope": _slope(F.col("_h"), F.col("x"), history, min_history, monotonic)})
-    return replace(rows, df=rows.df.drop("_h"))
+    oldest = F.size("_h") - 1 - min_history
+    kept = F.filter(
+        "_h", lambda s, i: (s["x"] + history >= F.col("x")) | (i >= oldest)
+    )
+    # Step by step, so that each array is worked out once per row.
+    rows = rows.map({"_kept": kept}).map({"_ax": _mean("x"), "_ay": _mean("y")})
+
+    def dx(s):
+        return (s["x"] - F.col("_ax")).cast("double")
+
+    def dy(s):
+        return (s["y"] - F.col("_ay")).cast("double")
+
+    slope = _dot(F.col("_kept"), dx, dy) / _dot(F.col("_kept"), dx, dx)
+    if monotonic:
+        slope = F.greatest(slope, F.lit(0.0))
+    rows = rows.map({"slope": F.when(F.size("_kept") < min_history, 1.0).otherwise(slope)})
+    return replace(rows, df=rows.df.drop("_h", "_kept", "_ax", "_ay"))
 
 
 def drift(df: DataFrame, key: str, history: int, min_history: int,
