@@ -68,8 +68,7 @@ def _dot(samples: Column, a, b) -> Column:
 
 
 def _mean(field: str) -> Column:
-    added = F.aggregate("_kept", F.lit(0).cast("bigint"), lambda acc, s: acc + s[field])
-    return F.floor(added / F.size("_kept"))
+    return F.expr(f"aggregate(_kept, 0L, (acc, s) -> acc + s.{field}) div size(_kept)")
 
 
 def drift_rows(df: DataFrame, key: str, history: int, min_history: int,

@@ -33,6 +33,46 @@ VIEWS |= {
 }
 
 
+VIEWS |= {
+    "room_signals": (("ticks",), """SELECT (user_id + k) % 8 AS channel, user_id AS client, us,
+        event_id, CASE event_type WHEN 'signup' THEN 'JOIN' WHEN 'error' THEN 'LEAVE'
+        WHEN 'view' THEN 'CREATE' ELSE 'CANCEL' END AS action FROM ticks
+        WHERE event_type IN ('signup', 'error', 'view') OR (event_type = 'purchase' AND k < 8)"""),
+    "lives": (("room_signals",), """SELECT channel, us AS from_us, next_us AS to_us FROM (SELECT *,
+        lead(us) OVER (PARTITION BY channel ORDER BY us, event_id) AS next_us FROM (SELECT *,
+        lag(action) OVER (PARTITION BY channel ORDER BY us, event_id) AS was FROM room_signals
+        WHERE action IN ('CREATE', 'CANCEL')) WHERE action <> coalesce(was, 'CANCEL'))
+        WHERE action = 'CREATE'"""),
+    "asked": (("room_signals", "lives"), """SELECT r.*, l.channel IS NOT NULL AS alive,
+        coalesce(l.to_us, 9e18::BIGINT) AS until FROM room_signals r LEFT JOIN lives l
+        ON l.channel = r.channel AND r.us >= l.from_us AND (l.to_us IS NULL OR r.us < l.to_us)
+        WHERE r.action IN ('JOIN', 'LEAVE')"""),
+    "joined": (("asked",), """SELECT * FROM (SELECT *, list_reduce(list({'act': action,
+        'ch': channel, 'un': until, 'id': event_id, 'al': alive, 't': us}) OVER (
+        PARTITION BY client ORDER BY us, event_id), lambda a, x: CASE
+        WHEN x.act = 'JOIN' AND x.al AND NOT (a.ch >= 0 AND a.un > x.t) THEN {'act': 'in',
+        'ch': x.ch, 'un': x.un, 'id': x.id, 'al': true, 't': x.t}
+        WHEN NOT (a.ch >= 0 AND a.un > x.t) OR (x.act = 'LEAVE' AND a.ch = x.ch) THEN {'act': 'out',
+        'ch': -1::BIGINT, 'un': 0::BIGINT, 'id': -1::BIGINT, 'al': false, 't': x.t} ELSE a END,
+        {'act': 'out', 'ch': -1::BIGINT, 'un': 0::BIGINT, 'id': -1::BIGINT, 'al': false,
+        't': 0::BIGINT}) AS m FROM asked) WHERE m.id = event_id"""),
+}
+
+
+def room_signals(t):
+    kind = F.col("event_type")
+    action = (
+        F.when(kind == "signup", "JOIN").when(kind == "error", "LEAVE")
+        .when(kind == "view", "CREATE").otherwise("CANCEL")
+    )
+    return t.ticks().where(
+        kind.isin("signup", "error", "view") | ((kind == "purchase") & (F.col("k") < 8))
+    ).select(
+        ((F.col("user_id") + F.col("k")) % 8).alias("channel"),
+        F.col("user_id").alias("client"), "us", "event_id", action.alias("action"),
+    )
+
+
 def spans(t):
     return membership.intervals(t.signals())
 
@@ -65,6 +105,15 @@ def channels_online(t):
     return channels.online(channels.viewers(t.channel_list(), spans(t)))
 
 
+@query("membership_machine", """SELECT j.client, j.channel, j.us AS from_us, j.event_id AS from_id,
+    CASE WHEN until = 9e18::BIGINT THEN l.us ELSE least(until, l.us) END AS to_us
+    FROM joined j LEFT JOIN LATERAL (SELECT min(us) AS us FROM room_signals r
+    WHERE r.client = j.client AND r.channel = j.channel AND r.action = 'LEAVE'
+    AND (r.us, r.event_id) > (j.us, j.event_id)) l ON true""", "joined room_signals")
+def membership_machine(t):
+    return membership.machine(room_signals(t))
+
+
 @query("channel_summary", """SELECT server, count(*) AS total,
     count(*) FILTER (kind = 'camera') AS cameras, count(*) FILTER (kind = 'relay') AS resources,
     string_agg(CAST(channel AS VARCHAR), ',' ORDER BY CAST(channel AS VARCHAR)) AS channel_set
@@ -92,7 +141,15 @@ def channel_admit(t):
     return channels.admit(joins, limit=5)
 
 
-@query("channel_admit_live")
+@query("channel_admit_live", """SELECT channel, client, us, event_id, m.http AS http FROM (
+    SELECT *, list_reduce(list({'act': action, 'cl': client, 'ins': []::BIGINT[], 'http': 0})
+    OVER (PARTITION BY channel ORDER BY us, event_id), lambda a, x: CASE WHEN x.act = 'LEAVE' THEN
+    {'act': x.act, 'cl': x.cl, 'ins': list_filter(a.ins, lambda c: c <> x.cl), 'http': 0}
+    WHEN list_contains(a.ins, x.cl) THEN {'act': x.act, 'cl': x.cl, 'ins': a.ins, 'http': 500}
+    WHEN len(a.ins) >= 6 THEN {'act': x.act, 'cl': x.cl, 'ins': a.ins, 'http': 503}
+    ELSE {'act': x.act, 'cl': x.cl, 'ins': list_append(a.ins, x.cl), 'http': 200} END,
+    {'act': '', 'cl': 0::BIGINT, 'ins': []::BIGINT[], 'http': 0}) AS m FROM signals)
+    WHERE action = 'JOIN'""", "signals")
 def channel_admit_live(t):
     return channels.admit_live(t.signals(), limit=5)
 

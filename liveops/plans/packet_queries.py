@@ -293,7 +293,15 @@ def packet_playout(t):
     return packets.playout(t.packets(), HOUR, HOUR // 4)
 
 
-@query("packet_connections")
+@query("packet_connections", """SELECT stream, us, event_id, kind, seq, m.st AS state,
+    m.dl AS delivered FROM (SELECT *, list_reduce(list({'st': kind, 'ex': seq::BIGINT, 'dl': false})
+    OVER (PARTITION BY stream ORDER BY us, event_id), lambda a, x: CASE
+    WHEN x.st = 'FIN' THEN {'st': 'LISTEN', 'ex': a.ex, 'dl': false}
+    WHEN x.st = 'SYN' AND a.st = 'LISTEN' THEN {'st': 'ESTABLISHED', 'ex': x.ex + 1, 'dl': false}
+    WHEN x.st = 'DATA' AND a.st = 'ESTABLISHED' AND x.ex = a.ex
+    THEN {'st': a.st, 'ex': a.ex + 1, 'dl': true}
+    ELSE {'st': a.st, 'ex': a.ex, 'dl': false} END,
+    {'st': 'LISTEN', 'ex': 0::BIGINT, 'dl': false}) AS m FROM trace)""", "trace")
 def packet_connections(t):
     return packets.connections(trace(t))
 
