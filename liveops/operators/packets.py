@@ -51,16 +51,25 @@ def rtp(df: DataFrame, data: str = "data") -> DataFrame:
 
 def is_valid(data: str = "data") -> Column:
     """At least 12 bytes, version 2, and CSRC list, extension and padding all fit."""
-    size = F.length(data)
-    first = uint(data, 0, 1)
-    after = F.lit(12) + 4 * bits(first, 0, 4)
-    has_extension = bits(first, 4, 1) == 1
-    extension = F.when(has_extension, 4 + 4 * uint(data, (after + 2).cast("int"), 2)).otherwise(0)
-    padding = F.when(bits(first, 5, 1) == 1, uint(data, size - 1, 1)).otherwise(0)
-    return F.coalesce(
-        (size >= 12) & (bits(first, 6, 2) == RTP_VERSION) & (after + extension + padding <= size),
-        F.lit(False),
+
+    def fits(d):
+        first, body = d["first"], d["data"]
+        after = F.lit(12) + 4 * bits(first, 0, 4)
+        extension = F.when(
+            bits(first, 4, 1) == 1, 4 + 4 * uint(body, (after + 2).cast("int"), 2)
+        ).otherwise(0)
+        padding = F.when(bits(first, 5, 1) == 1, uint(body, d["size"] - 1, 1)).otherwise(0)
+        return F.coalesce(
+            (d["size"] >= 12) & (bits(first, 6, 2) == RTP_VERSION)
+            & (after + extension + padding <= d["size"]),
+            F.lit(False),
+        )
+
+    # The one-element array holds what is read once and used several times.
+    read = F.struct(
+        F.length(data).alias("size"), uint(data, 0, 1).alias("first"), F.col(data).alias("data")
     )
+    return F.exists(F.array(read), fits)
 
 
 def valid(df: DataFrame, data: str = "data") -> DataFrame:

@@ -359,15 +359,6 @@ def message_fanout(t):
     return membership.fanout_counts(sent, spans(t))
 
 
-@query("chat_fanout", """SELECT m.channel, m.us, m.speaker AS sender, s.speaker AS member
-    FROM chat m JOIN (SELECT DISTINCT channel, speaker FROM chat) s USING (channel)""", "chat")
-def chat_fanout(t):
-    rows = t.chat()
-    members = rows.select("channel", F.col("speaker").alias("client")).distinct()
-    sent = rows.select("channel", "us", F.col("speaker").alias("sender"))
-    return membership.fanout(sent, members, include_self=True)
-
-
 @query("client_channel", """SELECT client, s.channel FROM (SELECT DISTINCT user_id AS client
     FROM events) LEFT JOIN (SELECT * FROM spans WHERE to_us IS NULL) s USING (client)""", "spans")
 def client_channel(t):

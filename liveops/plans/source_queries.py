@@ -143,9 +143,9 @@ def media_ts_packets(t):
     return media_files.ts_packets(files)
 
 
-def _box(name: str, body):
-    size = F.length(body) / 2 + 8
-    return F.concat(hexed(size.cast("bigint"), 8), F.lit(name.encode().hex()), body)
+def _box(name: str, body, size: int):
+    """A box around hex ``body`` of ``size`` bytes."""
+    return F.concat(F.lit(f"{size + 8:08X}{name.encode().hex()}"), body)
 
 
 @query("media_mp4_tracks", """SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(track AS INTEGER) AS track,
@@ -160,11 +160,12 @@ def media_mp4_tracks(t):
             F.lit("15C70000"),
         )
         hdlr = F.concat(F.lit("00" * 8), F.lit(handler.encode().hex()), F.lit("00" * 13))
-        return _box("trak", _box("mdia", F.concat(_box("mdhd", mdhd), _box("hdlr", hdlr))))
+        media = F.concat(_box("mdhd", mdhd, 24), _box("hdlr", hdlr, 25))
+        return _box("trak", _box("mdia", media, 65), 73)
 
     content = F.concat(
-        _box("mdat", F.lit("00" * 5)),
-        _box("moov", F.concat(track(1, 90000, "vide"), track(2, 48000, "soun"))),
+        _box("mdat", F.lit("00" * 5), 5),
+        _box("moov", F.concat(track(1, 90000, "vide"), track(2, 48000, "soun")), 162),
     )
     files = t.orders.select(
         F.col("o_orderkey").cast("string").alias("path"), F.lit("mp4").alias("kind"),

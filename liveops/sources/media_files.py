@@ -8,6 +8,7 @@ damage and a last row that says what is wrong.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,23 @@ def _rows(df: DataFrame, parse: Callable[[bytes], Iterator[dict]], schema: str,
     """``parse`` each file's bytes into rows, sent on in small Arrow batches."""
     struct = StructType.fromDDL(f"path string, {schema}")
     arrow = to_arrow_schema(struct)
-    names = [f.name for f in struct.fields]
+    fields = list(arrow)[1:]
+
+    def table(made):
+        columns = [pa.array([path for path, _ in made], pa.string())]
+        columns += [pa.array([r.get(f.name) for _, r in made], f.type) for f in fields]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     def run(batches):
         for held in batches:
-            for path, content in zip(held.column("path"), held.column("content")):
-                out, name = [], path.as_py()
-                for row in parse(content.as_py()):
-                    out.append({n: row.get(n) for n in names} | {"path": name})
-                    if len(out) == batch:
-                        yield pa.RecordBatch.from_pylist(out, arrow)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
+            # Rows of many small files share a batch; a large file fills several.
+            rows = (
+                (path.as_py(), row)
+                for path, content in zip(held.column("path"), held.column("content"))
+                for row in parse(content.as_py())
+            )
+            while made := list(islice(rows, batch)):
+                yield table(made)
 
     chosen = df.where(F.col("kind") == kind) if kind else df
     return chosen.select("path", "content").mapInArrow(run, struct)
@@ -178,7 +183,6 @@ def mp4_tracks(boxes: DataFrame) -> DataFrame:
 
 # transport stream ---------------------------------------------------------------------------
 PACKET, SYNC = 188, 0x47
-TS_FIELDS = ("pos", "pid", "error_flag", "unit_start", "priority", "scrambling", "adaptation", "cc")
 
 
 def ts_packets(df: DataFrame) -> DataFrame:
@@ -194,25 +198,35 @@ def ts_packets(df: DataFrame) -> DataFrame:
 
     def run(batches, step=65536):
         for held in batches:
+            parts, count = [], 0
             for path, content in zip(held.column("path"), held.column("content")):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
-                whole = len(raw) // PACKET
+                whole, rest = divmod(len(raw), PACKET)
                 matrix = raw[: whole * PACKET].reshape(whole, PACKET)
                 for low in range(0, whole, step):
-                    yield table(path.as_py(), low, matrix[low : low + step, :4].astype(np.int32))
-                if len(raw) % PACKET:
-                    last = {"path": path.as_py(), "pos": whole, "error": "packet cut"}
-                    yield pa.RecordBatch.from_pylist([last], arrow)
-
-    def table(path, low, head):
-        b0, b1, b2, b3 = head.T
+                    head = matrix[low : low + step, :4].astype(np.int32)
+                    parts.append((path.as_py(), low, head, False))
+                    count += len(head)
+                    if count >= step:
+                        yield table(parts)
+                        parts, count = [], 0
+                if rest:
+                    parts.append((path.as_py(), whole, np.zeros((1, 4), np.int32), True))
+            if parts:
+                yield table(parts)
+
+    def table(parts):
+        paths = [path for path, _, head, _ in parts for _ in range(len(head))]
+        pos = np.concatenate([low + np.arange(len(head)) for _, low, head, _ in parts])
+        cut = np.concatenate([np.full(len(head), short) for _, _, head, short in parts])
+        b0, b1, b2, b3 = np.concatenate([head for _, _, head, _ in parts]).T
         fields = (
-            low + np.arange(len(head)), (b1 & 31) << 8 | b2, b1 >> 7, b1 >> 6 & 1, b1 >> 5 & 1,
-            b3 >> 6, b3 >> 4 & 3, b3 & 15,
+            (b1 & 31) << 8 | b2, b1 >> 7, b1 >> 6 & 1, b1 >> 5 & 1, b3 >> 6, b3 >> 4 & 3, b3 & 15,
         )
-        columns = [pa.array([path] * len(head), pa.string())]
-        columns += [pa.array(v, arrow.field(n).type) for n, v in zip(TS_FIELDS, fields)]
-        columns.append(pa.array(np.where(b0 == SYNC, None, "no sync byte"), pa.string()))
+        error = np.where(cut, "packet cut", np.where(b0 == SYNC, "", "no sync byte"))
+        columns = [pa.array(paths, pa.string()), pa.array(pos, pa.int64())]
+        columns += [pa.array(v, pa.int32(), mask=cut) for v in fields]
+        columns.append(pa.array(error, pa.string(), mask=error == ""))
         return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.where(F.col("kind") == "ts").select("path", "content").mapInArrow(run, struct)
