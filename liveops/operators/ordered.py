@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from liveops.session import written
 
 HOT_ROWS = "spark.liveops.hotRows"
-DEFAULT_HOT_ROWS = 4_000_000
+DEFAULT_HOT_ROWS = 16_000_000
 BROADCAST_ROWS = 100_000
 BLOCK = "_block"
 
@@ -214,15 +214,18 @@ class Ordered:
         return self.df.drop(BLOCK, *drop)
 
 
-def ordered(df: DataFrame, keys, order, hot_rows: int | None = None) -> Ordered:
+def ordered(df: DataFrame, keys, order) -> Ordered:
     """Order ``df`` per key, cutting keys above the row threshold into blocks.
 
     ``order`` must end in a column that makes rows distinct. Finding the large
-    keys costs one pass over the key columns with map-side counting.
+    keys costs one pass over the key columns with map-side counting; a threshold
+    of 0 leaves it out, for callers who know their keys to be small.
     """
     keys, order = tuple(keys), tuple(order)
     spark = df.sparkSession
-    limit = hot_rows or int(spark.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
+    limit = int(spark.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
+    if limit <= 0:
+        return Ordered(df, keys, order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
     if not found.n:
