@@ -288,7 +288,32 @@ def keyed_idle(t):
     return keyed.idle(t.ticks(), "user_id", F.timestamp_micros("us"), gap, "event_id")
 
 
-@query("packet_playout")
+@query("packet_playout", """, folded AS (SELECT stream, list_reduce(
+    list({'buf': [{'u': seq::BIGINT, 't': us, 'id': event_id}], 'pl': -1::BIGINT, 'bf': true,
+    'out': []::STRUCT(u BIGINT, t BIGINT, id BIGINT, st VARCHAR, o BIGINT)[]} ORDER BY us, event_id),
+    lambda a, x: list_transform([list_transform([{'a': a, 'x': x.buf[1],
+    'n': len(a.buf) - len(list_filter(a.buf, lambda e, i: len(list_filter(a.buf[1:i],
+    lambda f: f.t + 3600000000 > x.buf[1].t)) > 0))}],
+    lambda s: {'x': s.x, 'buf': s.a.buf[s.n + 1:], 'pl': CASE WHEN s.n > 0 THEN s.a.buf[s.n].u
+    ELSE s.a.pl END, 'bf': len(s.a.buf) = s.n OR (s.n = 0 AND s.a.bf),
+    'out': s.a.out || list_transform(s.a.buf[1:s.n], lambda e: {'u': e.u, 't': e.t, 'id': e.id,
+    'st': 'played', 'o': e.t + 3600000000})})[1]],
+    lambda s: CASE WHEN s.x.u <= s.pl THEN {'buf': s.buf, 'pl': s.pl, 'bf': s.bf,
+    'out': s.out || [{'u': s.x.u, 't': s.x.t, 'id': s.x.id, 'st': 'late', 'o': s.x.t}]}
+    WHEN s.bf AND len(s.buf) + 1 >= 4 THEN {'buf': list_sort(s.buf || [s.x])[2:],
+    'pl': list_sort(s.buf || [s.x])[1].u, 'bf': false, 'out': s.out || list_transform(
+    list_sort(s.buf || [s.x])[1:1], lambda e: {'u': e.u, 't': e.t, 'id': e.id, 'st': 'played',
+    'o': s.x.t})}
+    WHEN len(s.buf) > 8 THEN {'buf': list_sort(s.buf[2:] || [s.x]), 'pl': s.pl, 'bf': s.bf,
+    'out': s.out || list_transform(s.buf[1:1], lambda e: {'u': e.u, 't': e.t, 'id': e.id,
+    'st': 'overflow', 'o': s.x.t})}
+    ELSE {'buf': list_sort(s.buf || [s.x]), 'pl': s.pl, 'bf': s.bf, 'out': s.out} END)[1],
+    {'buf': []::STRUCT(u BIGINT, t BIGINT, id BIGINT)[], 'pl': -1::BIGINT, 'bf': true,
+    'out': []::STRUCT(u BIGINT, t BIGINT, id BIGINT, st VARCHAR, o BIGINT)[]}) AS m
+    FROM packets GROUP BY stream)
+    SELECT stream, r.u AS useq, r.t AS us, r.id AS event_id, r.st AS status, r.o AS out_us
+    FROM (SELECT stream, unnest(m.out || list_transform(m.buf, lambda e: {'u': e.u, 't': e.t,
+    'id': e.id, 'st': 'played', 'o': e.t + 3600000000})) AS r FROM folded)""", "packets")
 def packet_playout(t):
     return packets.playout(t.packets(), HOUR, HOUR // 4)
 
