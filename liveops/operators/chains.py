@@ -8,12 +8,15 @@ off, the few outcomes are chained, and the stretches are run again in parallel.
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liveops.operators.fold import fold
-from liveops.operators.ordered import Ordered, latest, ordered, position, previous, total
+from liveops.operators.ordered import (
+    BLOCK, Ordered, latest, ordered, position, previous, total,
+)
 
 # Spans per stretch of time.
 STRETCH = 64
@@ -105,12 +108,9 @@ def openings(df: DataFrame, key: str, span_us: int, closed: bool) -> DataFrame:
     unknown = F.lit(None).cast("bigint")
     made = f"{key} bigint, us bigint"
     if not rows.blocks:
-        rows = rows.running(_us=previous("us"))
-        fresh = F.col("_us").isNull() | (F.col("us") - F.col("_us") > span_us)
-        rows = rows.map({"_fresh": fresh.cast("bigint")}).running(piece=total("_fresh"))
-        ready = rows.df.select(key, "piece", "us").withColumns(common | {"before": unknown})
-        return fold(ready, [key, "piece"], ["us"], open_begin, open_step, made)
-    staged = times.withColumns(
+        return _cut(rows, key, span_us, common | {"before": unknown}, made)
+    usual = replace(rows, df=rows.df.where(F.col(BLOCK) < 0).drop(BLOCK), blocks=0)
+    staged = rows.df.where(F.col(BLOCK) >= 0).drop(BLOCK).withColumns(
         common | {"stretch": F.floor(F.col("us") / F.lit(span_us * STRETCH)).cast("bigint")}
     )
     raced = fold(
@@ -121,10 +121,22 @@ def openings(df: DataFrame, key: str, span_us: int, closed: bool) -> DataFrame:
         raced.withColumns(common), [key], ["stretch", "high"], walk_begin, walk_step,
         f"{key} bigint, stretch bigint, before bigint",
     )
-    return fold(
+    replayed = fold(
         staged.join(entered, [key, "stretch"]), [key, "stretch"], ["us"], open_begin, open_step,
         made,
     )
+    return replayed.unionByName(
+        _cut(usual, key, span_us, common | {"before": unknown}, made)
+    )
+
+
+def _cut(rows: Ordered, key: str, span_us: int, settings: dict, made: str) -> DataFrame:
+    """Openings of keys of usual size, cut at silences."""
+    rows = rows.running(_us=previous("us"))
+    fresh = F.col("_us").isNull() | (F.col("us") - F.col("_us") > span_us)
+    rows = rows.map({"_fresh": fresh.cast("bigint")}).running(piece=total("_fresh"))
+    ready = rows.df.select(key, "piece", "us").withColumns(settings)
+    return fold(ready, [key, "piece"], ["us"], open_begin, open_step, made)
 
 
 def windows(df: DataFrame, key: str, span_us: int, closed: bool) -> Ordered:
