@@ -6,21 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liveops.llm import neardup
+from liveops.llm import linedup, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def _query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@_query
+@_query(
+    f"""
+WITH line AS (
+  SELECT doc_id, u.i - 1 AS line, u.line AS words_of,
+    length(u.line) - length(replace(u.line, ' ', '')) + 1 AS words
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)
+  WHERE trim(u.line) <> ''
+), seq AS (
+  SELECT *, row_number() OVER w AS seq, sum(words) OVER w AS upto FROM line
+  WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+), part AS (
+  SELECT a.doc_id, a.seq AS head, min(b.seq) AS tail FROM seq a JOIN seq b
+    ON a.doc_id = b.doc_id AND b.upto - a.upto + a.words >= {linedup.MIN_WORDS} AND b.seq >= a.seq
+  GROUP BY 1, 2
+  UNION
+  SELECT a.doc_id, max(b.seq), a.seq FROM seq a JOIN seq b
+    ON a.doc_id = b.doc_id AND a.upto - b.upto + b.words >= {linedup.MIN_WORDS} AND b.seq <= a.seq
+  GROUP BY 1, 3
+), run AS (
+  SELECT p.doc_id, head, tail, string_agg(words_of, chr(10) ORDER BY seq) AS run
+  FROM part p JOIN seq s ON s.doc_id = p.doc_id AND s.seq BETWEEN head AND tail GROUP BY 1, 2, 3
+), first AS (SELECT run, min((doc_id, head)) AS origin FROM run GROUP BY 1),
+gone AS (
+  SELECT DISTINCT s.doc_id, s.line FROM run r JOIN first f USING (run)
+  JOIN seq s ON s.doc_id = r.doc_id AND s.seq BETWEEN head AND tail WHERE (r.doc_id, head) > origin
+), kept AS (
+  SELECT d.doc_id, string_agg(CASE WHEN g.line IS NULL THEN u.line END, chr(10) ORDER BY u.i) AS text,
+    count(*) AS n_lines, count(g.line) AS n_deleted
+  FROM documents d, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)
+  LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.line = u.i - 1 GROUP BY 1
+)
+SELECT d.doc_id, CASE WHEN n_deleted > 0 THEN coalesce(k.text, '') ELSE d.text END AS text,
+  CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_deleted, 0) AS INTEGER) AS n_deleted
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+)
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return linedup.line_dedup(_table(spark, folder, "documents")).select(
+        "doc_id", "text", "n_lines", "n_deleted"
+    )
+
+
+@_query()
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))

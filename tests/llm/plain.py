@@ -40,3 +40,24 @@ def near_duplicates(docs):
                 a, b = sorted((find(parent, d), find(parent, e)))
                 parent[b] = a
     return {d: (len(sets[d]), find(parent, d)) for d in docs}
+
+
+def repeated_lines(docs, least):
+    """doc_id -> numbers of lines inside a run of ``least`` words that stands earlier too."""
+    seqs = []
+    for d in sorted(docs):
+        lines = [(i, x) for i, x in enumerate((docs[d] or "").split("\n")) if x.strip(" ")]
+        seqs.append((d, [i for i, _ in lines], [x for _, x in lines]))
+    gone = {d: set() for d in docs}
+    for k, (d, at, mine) in enumerate(seqs):
+        for i in range(len(mine)):
+            longest = 0
+            for j, (_, _, other) in enumerate(seqs[: k + 1]):
+                for p in range(len(other) if j < k else i):
+                    n = 0
+                    while i + n < len(mine) and p + n < len(other) and mine[i + n] == other[p + n]:
+                        n += 1
+                    longest = max(longest, n)
+            if sum(x.count(" ") + 1 for x in mine[i : i + longest]) >= least:
+                gone[d] |= set(at[i : i + longest])
+    return {d: sorted(x) for d, x in gone.items() if x}
