@@ -7,10 +7,12 @@ key combines one key of each collection, so ``2 * SIDE`` keys (``4 * SIDE`` minh
 
 Equal sets become one node first. A key no other node has cannot make a shared table key,
 so only repeated ones are combined. In each bucket every node is compared with the bucket's
-least node, which settles groups of copies in linear work. Buckets that still hold several
-components are then searched in blocks: pairs of different components whose sizes allow
-0.75 and that agree in at least ``AGREE`` of the 48 minhashes (true pairs miss that with
-probability below 0.0001) are confirmed too. Nothing is capped.
+least node, which settles groups of copies in linear work. Of buckets that still hold several
+components, likely pairs are those of different components whose sizes allow 0.75 and that agree
+in at least ``AGREE`` of the 48 minhashes (true pairs miss that with probability below 0.0001).
+They are never listed: a bucket yields a spanning forest of them, and the trees' nodes meet
+with their whole sets in blocks of bounded size, which confirm links and yield a spanning forest
+of those. So rows stay in proportion to nodes, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liveops.llm.components import components
@@ -30,8 +32,8 @@ SHINGLE = 5
 SIDE = 12
 HASHES = 4 * SIDE
 AGREE = 24
-#: Nodes of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Nodes of a bucket, and shingles of sets, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 _SEED = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _ODD = mix(_SEED) | np.uint64(1)
@@ -137,30 +139,80 @@ def _sizes_allow(a: str, b: str):
     return (100 * F.least(a, b) >= 75 * F.greatest(a, b))
 
 
-def _search(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one pair of blocks that differ in component and are likely similar."""
-    low, high = key[1].as_py(), key[2].as_py()
-    node = table.column("node").to_numpy()
-    n = table.column("n_shingles").to_numpy()
-    group = table.column("component").to_numpy()
-    block = table.column("block").to_numpy()
-    leader = table.column("leader").to_numpy()
-    least = np.frombuffer(b"".join(table.column("minhashes").to_pylist()), np.uint32)
-    least = least.reshape(-1, HASHES)
-    ones, others = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    pairs = [np.zeros((0, 2), np.int64)]
-    for i in ones:
-        rest = others[node[others] > node[i]] if low == high else others
-        rest = rest[(group[rest] != group[i]) & (node[rest] != node[i])]
-        small, large = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-        rest = rest[100 * small >= 75 * large]
-        rest = rest[(least[rest] == least[i]).sum(1) >= AGREE]
-        rest = rest[(node[rest] != leader[i]) & (node[i] != leader[i])]
-        if len(rest):
-            pair = np.stack([np.full(len(rest), node[i]), node[rest]], 1)
-            pairs.append(np.sort(pair, 1))
-    both = np.concatenate(pairs)
-    return pa.table({"a": both[:, 0], "b": both[:, 1]})
+class _Block:
+    """Nodes of one or two blocks, and which of them may be linked beyond what is known."""
+
+    def __init__(self, key: tuple, table: pa.Table):
+        self.node = table.column("node").to_numpy()
+        self.n = table.column("n_shingles").to_numpy()
+        self.known = table.column("component").to_numpy()
+        least = np.frombuffer(b"".join(table.column("minhashes").to_pylist()), np.uint32)
+        self.least = least.reshape(-1, HASHES)
+        block, low, high = table.column("block").to_numpy(), key[1].as_py(), key[2].as_py()
+        self.ones, self.others = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        self.label = np.arange(len(self.node))
+        self.forest: list[tuple[int, int]] = []
+
+    def likely(self):
+        """Each node of the first block with the later or other nodes it is likely similar to."""
+        for i in self.ones:
+            rest = self.others[self.node[self.others] > self.node[i]]
+            if len(self.ones) and len(self.others) and self.others[0] != self.ones[0]:
+                rest = self.others[self.node[self.others] != self.node[i]]
+            rest = rest[(self.known[rest] != self.known[i]) & (self.label[rest] != self.label[i])]
+            small, large = np.minimum(self.n[rest], self.n[i]), np.maximum(self.n[rest], self.n[i])
+            rest = rest[100 * small >= 75 * large]
+            rest = rest[(self.least[rest] == self.least[i]).sum(1) >= AGREE]
+            if len(rest):
+                yield i, rest
+
+    def tie(self, i: int, rest: np.ndarray) -> None:
+        """One edge to each tree among ``rest`` that node i is not in yet."""
+        trees, where = np.unique(self.label[rest], return_index=True)
+        for tree, j in zip(trees, rest[where], strict=True):
+            if tree != self.label[i]:
+                self.forest.append((self.node[i], self.node[j]))
+                self.label[self.label == tree] = self.label[i]
+
+    def edges(self) -> pa.Table:
+        pairs = np.sort(np.array(self.forest, np.int64).reshape(-1, 2), 1)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _likely_forest(key: tuple, table: pa.Table) -> pa.Table:
+    block = _Block(key, table)
+    for i, rest in block.likely():
+        block.tie(i, rest)
+    return block.edges()
+
+
+def _linked_forest(key: tuple, table: pa.Table) -> pa.Table:
+    block = _Block(key, table)
+    # What is known to be one component is one tree from the start.
+    _, block.label = np.unique(block.known, return_inverse=True)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    for i, rest in block.likely():
+        own = sets[i]
+        flat = np.concatenate([sets[j] for j in rest])
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        starts = np.concatenate(([0], np.cumsum([len(sets[j]) for j in rest])[:-1]))
+        common = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
+        linked = 100 * common >= 75 * (block.n[rest] + block.n[i] - common)
+        if linked.any():
+            block.tie(i, rest[linked])
+    return block.edges()
+
+
+def _paired(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Each row for all pairs of its block with a block of the same ``key``, as low and high."""
+    return (
+        rows.withColumn("_blocks", blocks.cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
+        .drop("_blocks", "_other")
+        .withColumnRenamed(key, "key")
+    )
 
 
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -209,29 +261,33 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     sets = written(texts.mapInArrow(_sets, "node long, shingles binary"))
     first = written(_confirmed(stars, sets).select("a", "b"))
     label = components(first)
-    open_ = members.join(label, "node", "left").withColumn(
+    known = nodes.select("node", "n_shingles", "minhashes").join(label, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    open_ = written(open_)
+    others = members.where("node <> leader").join(
+        label, "node", "left"
+    ).withColumn("component", F.coalesce("component", "node"))
+    # Buckets of the same nodes are one.
     mixed = (
-        open_.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("key")
-    )
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = (
-        open_.join(mixed, "key")
-        .join(nodes.select("node", "n_shingles", "minhashes"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        .select(
-            "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            "block", "node", "leader", "component", "n_shingles", "minhashes",
+        others.groupBy("key")
+        .agg(
+            F.min("component").alias("least"), F.max("component").alias("most"),
+            F.count("*").alias("count"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"),
         )
+        .where("least <> most")
+        .groupBy("least", "most", "count", "who").agg(F.min("key").alias("key"))
+        .select("key", "count")
     )
-    rest = blocks.groupBy("key", "low", "high").applyInArrow(_search, "a long, b long").distinct()
-    return written(first.union(_confirmed(rest, sets).select("a", "b")))
+    buckets = others.select("key", "node").join(mixed, "key").join(known, "node")
+    buckets = _paired(buckets, "key", F.ceil(F.col("count") / BLOCK))
+    rough = buckets.groupBy("key", "low", "high").applyInArrow(_likely_forest, "a long, b long")
+    trees = components(rough).withColumnRenamed("component", "tree")
+    grown = written(trees.join(known, "node"))
+    sizes = grown.groupBy("tree").agg(F.sum("n_shingles").alias("total"))
+    grown = grown.join(sizes, "tree").join(sets, "node")
+    grown = _paired(grown, "tree", F.ceil(F.col("total") / BLOCK_SHINGLES))
+    rest = grown.groupBy("key", "low", "high").applyInArrow(_linked_forest, "a long, b long")
+    return written(first.union(rest))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

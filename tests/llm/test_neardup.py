@@ -31,10 +31,11 @@ def test_groups(spark, make_docs, monkeypatch, block):
     passage = " ".join(rng.choice(word) for _ in range(60))
     texts = {}
     for i in range(60):
-        texts[i] = vary(base, rng.choice([0.01, 0.02, 0.03, 0.04]), rng)
+        texts[i] = vary(base, rng.choice([0.01, 0.02, 0.03, 0.04, 0.06]), rng)
         texts[100 + i] = passage + " " + " ".join(rng.choice(word) for _ in range(30))
         texts[200 + i] = "the same text again and again " * (1 + i % 3)
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block * 100)
     assert got(neardup.near_duplicates(make_docs(texts))) == plain.near_duplicates(texts)
 
 
