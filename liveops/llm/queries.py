@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liveops.llm import langid, linedup, neardup
+from liveops.llm import decontam, langid, linedup, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@_query()
+def op7_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @_query(
     f"""
 WITH line AS (
