@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from liveops.llm import decontam, langid, linedup, neardup, packing
+from liveops.llm import decontam, langid, licences, linedup, neardup, packing, warc
+from liveops.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +34,25 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+@_query(
+    """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages
+), origin AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS origin FROM page)
+SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN size >= 1000 AND page_id <> origin THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 1000 AND page_id <> origin THEN origin END AS refers_to
+FROM origin
+"""
+)
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(_table(spark, folder, "pages"), path)
+    return warc.read(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @_query()
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -38,6 +60,24 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@_query()
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(_table(spark, folder, "documents"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    share = F.transform("spans", lambda s: s["covered"] / s["template_words"])
+    phrase = F.when(F.size("phrase_starts") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("phrase_starts").cast("long").alias("n_base"),
+        F.array_min("phrase_starts").alias("first_word"), F.array_max("phrase_starts").alias("last_word"),
+        joined(F.col("phrase_labels")).alias("base_labels"),
+        joined(F.concat("phrase_labels", "spans.label")).alias("labels"),
+        F.greatest(phrase, F.array_max(share)).alias("score"),
+    )
+
+
 @_query()
 def op7_templates(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))

@@ -61,3 +61,20 @@ def repeated_lines(docs, least):
             if sum(x.count(" ") + 1 for x in mine[i : i + longest]) >= least:
                 gone[d] |= set(at[i : i + longest])
     return {d: sorted(x) for d, x in gone.items() if x}
+
+
+LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def licence_words(text):
+    return LICENCE_WORD.findall((text or "").translate(LOWER))
+
+
+def phrases(text, table):
+    """Number of words, and (start, label) of every place of a phrase, rising."""
+    w = licence_words(text)
+    found = []
+    for phrase, label in table.items():
+        p = phrase.split()
+        found += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    return len(w), sorted(found)
