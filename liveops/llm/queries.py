@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveops.llm import decontam, langid, licences, linedup, neardup, packing, warc
+from liveops.llm import decontam, langid, licences, linedup, neardup, packing, vafile, warc
 from liveops.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,26 @@ def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query(
+    """
+WITH whole AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), score AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM score
+) WHERE rank <= 5
+"""
+)
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return vafile.top_k(_table(spark, folder, "embeddings"))
+
+
 @_query()
 def op7_templates(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
