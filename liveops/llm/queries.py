@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveops.llm import decontam, langid, licences, linedup, neardup, packing, vafile, warc
+from liveops.llm import decontam, langid, licences, linedup, neardup, packing, ppm, vafile, warc
 from liveops.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,15 @@ def op7_templates(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+@_query()
+def op8_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    held = langid.held_out(folds=10)
+    return ppm.score(_table(spark, folder, "documents"), held).select(
+        "doc_id", langid.held_out(folds=10).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 @_query(
     f"""
 WITH line AS (
