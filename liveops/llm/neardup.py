@@ -180,7 +180,8 @@ class _Block:
 
 
 def _likely_forest(key: tuple, table: pa.Table) -> pa.Table:
-    block = _Block(key, table)
+    # In one order everywhere, forests of buckets that share nodes share most edges.
+    block = _Block(key, table.sort_by("node"))
     for i, rest in block.likely():
         block.tie(i, rest)
     return block.edges()
