@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveops.llm import decontam, langid, licences, linedup, neardup, packing, ppm, vafile, warc
+from liveops.llm import decontam, langid, licences, linedup, neardup, packing, ppm, preference, vafile, warc
 from liveops.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,55 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def _rendered(turns: str) -> str:
+    return f"""array_to_string(list_transform({turns}, lambda t: '{preference.START}' || coalesce(t.role, '')
+    || chr(10) || replace(coalesce(t.text, ''), '<|im_', '<| im_') || '{preference.STOP}' || chr(10)), '')"""
+
+
+def _signed(turns: str) -> str:
+    return f"""array_to_string(list_transform({turns}, lambda t:
+    '-' || (length(coalesce(t.role, '')) + {len(preference.START) + 1})
+    || CASE WHEN t.role = '{preference.TRAINED}' THEN '+' ELSE '-' END
+    || (length(replace(coalesce(t.text, ''), '<|im_', '<| im_')) + {len(preference.STOP) + 1})), '')"""
+
+
+@_query(
+    f"""
+WITH talk AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS turns
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1
+), opened AS (
+  SELECT *, count(*) OVER w AS n, first_value(conv_id) OVER (w ORDER BY len(turns) DESC, conv_id) AS chosen_id
+  FROM talk WINDOW w AS (PARTITION BY turns[1])
+), pair AS (
+  SELECT 'opening' AS kind, chosen_id, o.conv_id AS rejected_id, t.turns AS chosen, o.turns AS rejected
+  FROM opened o JOIN talk t ON t.conv_id = chosen_id WHERE o.conv_id <> chosen_id
+  UNION ALL
+  SELECT 'reply', a.conv_id, b.conv_id, a.turns, list_append(a.turns[:len(a.turns) - 1],
+    struct_pack(role := a.turns[-1].role, text := b.turns[-1].text))
+  FROM talk a JOIN talk b ON b.conv_id = a.conv_id + 1
+), split AS (
+  SELECT *, CAST(list_position(list_transform(range(1, greatest(len(chosen), len(rejected)) + 1),
+    lambda i: chosen[i] IS NOT DISTINCT FROM rejected[i]), false) - 1 AS INTEGER) AS prefix_turns FROM pair
+)
+SELECT kind, chosen_id, rejected_id, prefix_turns, {_rendered("chosen[:prefix_turns]")} AS prompt,
+  {_rendered("chosen[prefix_turns + 1:]")} AS chosen_text, {_rendered("rejected[prefix_turns + 1:]")} AS rejected_text,
+  {_signed("chosen[prefix_turns + 1:]")} AS chosen_mask, {_signed("rejected[prefix_turns + 1:]")} AS rejected_mask
+FROM split WHERE prefix_turns IS NOT NULL
+"""
+)
+def op4_preference(spark: SparkSession, folder: str) -> DataFrame:
+    talks = preference.conversations(_table(spark, folder, "conversations"))
+    pairs = preference.same_opening(talks).withColumn("kind", F.lit("opening")).unionByName(
+        preference.swapped_reply(talks).withColumn("kind", F.lit("reply"))
+    )
+    return preference.format_pairs(pairs).select(
+        "kind", "chosen_id", "rejected_id", "prefix_turns", "prompt", "chosen_text", "rejected_text",
+        preference.mask(F.col("chosen_segments")).alias("chosen_mask"),
+        preference.mask(F.col("rejected_segments")).alias("rejected_mask"),
+    )
+
+
 @_query()
 def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.scan(_table(spark, folder, "documents"))
