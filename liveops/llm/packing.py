@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ from liveops.session import written
 
 CAPACITY = 2048
 END = 0
+#: Words whose ids a worker remembers between chunks; about 100 MB.
+KNOWN_WORDS = 400_000
 #: Bounds of the search, not of the result: nodes, fillings tried at a node, steps to find them.
 NODES, WIDTH, STEPS = 6_000, 8, 300
 
@@ -58,6 +61,7 @@ class _Tokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.known: dict[str, bytes] = {}
 
     def ids(self, word: str) -> list[int]:
         # Lower-case letters that are normal already are one piece, which the model takes as it is.
@@ -70,6 +74,19 @@ class _Tokenizer:
         return self.full.encode(word, add_special_tokens=False).ids
 
 
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as 32-bit numbers; words of chunks before are remembered, up to a bound."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known, out = self.known, []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = array("I", self.ids(word)).tobytes()
+            out.append(ids)
+        return out
+
+
 _LOADED: dict[str, _Tokenizer] = {}
 
 
@@ -87,13 +104,14 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     tail = np.zeros(len(raw), np.int64)
     cut = pc.not_equal(stem, lower).to_numpy(False)
     if cut.any():
-        last = np.array([text_bytes(lower)[1][e - 1] for e in text_bytes(lower)[0][1:][cut]])
+        ends, data = text_bytes(lower)
+        last = data[ends[1:][cut] - 1]
         marks = {m: tokenizer.ids(m)[0] + 1 for m in ".,"}
         tail[cut] = np.where(last == ord("."), marks["."], marks[","])
     coded = stem.dictionary_encode()
-    each = [tokenizer.ids(w) for w in coded.dictionary.to_pylist()]
-    sizes = np.array([len(x) for x in each], np.int64)
-    flat = np.fromiter((i for x in each for i in x), np.uint32, int(sizes.sum()))
+    each = tokenizer.encoded(coded.dictionary.to_pylist())
+    sizes = np.array([len(x) for x in each], np.int64) // 4
+    flat = np.frombuffer(b"".join(each), np.uint32)
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else sizes
     stems = coded.indices.to_numpy()
     # The ids of one word after another, then a word's mark, then the end of a text.
