@@ -80,8 +80,10 @@ def scale(levels: Column, target: int) -> Column:
     """Bring the largest level to ``target`` keeping ratios; all zero becomes all target."""
     top = F.array_max(levels)
     goal = F.lit(target).cast("bigint")
+    # Levels are not negative, so the quotient rounds down; a double would lose digits above 2^53.
     return F.transform(
-        levels, lambda x: F.when(top <= 0, goal).otherwise(F.floor(x * goal / top))
+        levels,
+        lambda x: F.when(top <= 0, goal).otherwise(F.call_function("div", x * goal, top)),
     )
 
 

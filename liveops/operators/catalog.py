@@ -36,7 +36,7 @@ def scan(spark: SparkSession, source: str | dict) -> DataFrame:
 
 def append(new: DataFrame, known: DataFrame, order) -> DataFrame:
     """New rows with ids after the greatest known one, ready to be written in append mode."""
-    last = known.agg(F.coalesce(F.max("ID"), F.lit(0))).first()[0]
+    last = known.agg(F.coalesce(F.max("ID"), F.lit(0))).scalar()
     return numbered(new, order, "_n").withColumn("ID", F.col("_n") + last + 1).drop("_n")
 
 

@@ -50,14 +50,14 @@ def during(points: DataFrame, spans: DataFrame, keys, at: str, tie: str, take: l
 
 
 def overlapping(points: DataFrame, spans: DataFrame, key: str, at: str, cell: int,
-                horizon: int, begin: str = "from_ts", end: str = "to_ts") -> DataFrame:
+                begin: str = "from_ts", end: str = "to_ts") -> DataFrame:
     """Every (point, span) pair of one key with ``begin <= at < end``; spans may overlap.
 
     Spans are laid over cells of ``cell`` time units and points fall in one, so
     the equi-join on (key, cell) forms few pairs beyond the result and spreads a
-    large key over its cells. ``horizon`` closes open spans.
+    large key over its cells. An open span reaches to the last point there is.
     """
-    close = F.coalesce(F.col(end), F.lit(horizon))
+    close = F.coalesce(F.col(end), points.agg(F.max(at)).scalar() + 1)
     laid = spans.withColumn("_close", close).where(F.col("_close") > F.col(begin)).withColumn(
         "_cell",
         F.explode(F.sequence(F.floor(F.col(begin) / cell), F.floor((F.col("_close") - 1) / cell))),

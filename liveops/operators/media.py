@@ -38,13 +38,13 @@ def classify(tags: DataFrame, kind: str = "type", data: str = "data") -> DataFra
 
 
 # delivery ------------------------------------------------------------------------------
-def deliver(tags: DataFrame, spans: DataFrame, cell: int, horizon: int) -> DataFrame:
+def deliver(tags: DataFrame, spans: DataFrame, cell: int) -> DataFrame:
     """One copy of each tag, headers aside, per viewer watching then.
 
     The result is as large as the deliveries; ask ``delivered`` for totals.
     """
     return overlapping(
-        tags.where(~F.col("is_header")), spans, "channel", "us", cell, horizon, "from_us", "to_us"
+        tags.where(~F.col("is_header")), spans, "channel", "us", cell, "from_us", "to_us"
     )
 
 

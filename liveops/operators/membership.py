@@ -101,17 +101,22 @@ def member_finish(state: dict) -> list[dict]:
 def machine(signals: DataFrame) -> DataFrame:
     """Membership spans under CREATE, JOIN, LEAVE and CANCEL.
 
-    Channel lifetimes come from an ordered pass per channel and are attached to
+    Who opens a channel is its first member, unless a member elsewhere. Channel lifetimes come from an ordered pass per channel and are attached to
     the joins as of their time; the rest is one small state per client.
     """
     action = F.col("action")
     lives = spells(signals, ["channel"], action == "CREATE", action == "CANCEL")
-    client_rows = signals.where(action.isin("JOIN", "LEAVE")).select(
+    client_rows = signals.where(action.isin("JOIN", "LEAVE", "CREATE")).select(
         "channel", "us", "event_id", "client", "action"
     )
     known = during(
-        client_rows, lives, ["channel"], "us", "event_id", [], "from_us", "to_us", outer=True
+        client_rows, lives, ["channel"], "us", "event_id", ["from_id"], "from_us", "to_us",
+        outer=True,
     ).withColumn("alive", F.col("from_us").isNotNull()).withColumnRenamed("to_us", "alive_until")
+    opened = (action == "CREATE") & F.col("from_id").eqNullSafe(F.col("event_id"))
+    known = known.where((action != "CREATE") | opened).withColumn(
+        "action", F.when(opened, "JOIN").otherwise(action)
+    )
     return fold(
         known.select("client", "channel", "action", "us", "event_id", "alive", "alive_until"),
         ["client"],

@@ -1,9 +1,10 @@
 """Ordered computations per key that stay parallel when one key is huge.
 
-A window runs each key in one task. Here keys above ``spark.liveops.hotRows`` rows
-are range-partitioned on (key, order) into consecutive blocks, windows run per
-block, and one summary row per block carries the state forward. With no such
-key the plan is a plain window.
+A window runs each key in one task, which spills but is not shared. With
+``spark.liveops.hotRows`` set, keys of more rows are range-partitioned on (key, order)
+into consecutive blocks, windows run per block, and one summary row per block carries
+the state forward. Unset, nothing is counted and the plan is a plain window: no job
+runs while it is built.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liveops.session import written
+from liveops.session import shared_folder, written
 
 HOT_ROWS = "spark.liveops.hotRows"
-DEFAULT_HOT_ROWS = 16_000_000
 BROADCAST_ROWS = 100_000
 BLOCK = "_block"
 
@@ -217,15 +217,17 @@ class Ordered:
 def ordered(df: DataFrame, keys, order) -> Ordered:
     """Order ``df`` per key, cutting keys above the row threshold into blocks.
 
-    ``order`` must end in a column that makes rows distinct. Finding the large
-    keys costs one pass over the key columns with map-side counting; a threshold
-    of 0 leaves it out, for callers who know their keys to be small.
+    ``order`` must end in a column that makes rows distinct. A row threshold is
+    for data known to have keys too large for a task: finding them costs a pass over
+    the key columns with map-side counting, and a shared checkpoint folder is needed
+    for the blocks.
     """
     keys, order = tuple(keys), tuple(order)
     spark = df.sparkSession
-    limit = int(spark.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
+    limit = int(spark.conf.get(HOT_ROWS, "0"))
     if limit <= 0:
         return Ordered(df, keys, order)
+    shared_folder(spark)  # better missing now than once a key has grown
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
     if not found.n:
@@ -247,33 +249,50 @@ def ordered(df: DataFrame, keys, order) -> Ordered:
 
 
 CHUNK = 512
+#: Natural logarithm of weights that double precision still holds with room to spare.
+REACH = 575.0
 
 
 def smooth(rows: Ordered, value: str, gain: float, out: str, start: float = 0.0) -> Ordered:
-    """Exponential mean ``m += gain * (value - m)`` per key from ``start``.
+    """Exponential mean ``m += gain * (value - m)`` per key from ``start``, for any gain in (0, 1].
 
-    Chunks of 512 rows are summed with growing weights; the mean at a chunk's
-    end is carried to the next. Earlier chunks weigh (1-gain)^1024 and vanish
-    in double precision for gains of 1/16 and more.
+    Rows are summed with growing weights in chunks, and so are the ends of chunks in
+    groups. Weights reach e^575 at most, and what lies two groups back weighs less than
+    e^-575: the result is exact to double precision whatever the gain.
     """
+    if not 0 < gain <= 1:
+        raise ValueError("gain must be above 0 and at most 1")
     keep = 1.0 - gain
-    fade = keep**CHUNK
+    if not keep:
+        return rows.map({out: F.col(value).cast("double")})
+    size = max(1, min(CHUNK, int(REACH / -math.log(keep))))
+    fade = keep**size
+    group = max(1, min(1 << 40, int(REACH / -math.log(fade)))) if fade > 0 else 1
     rows = rows.running(_pos=position()).map(
         {
-            "_chunk": F.floor((F.col("_pos") - 1) / CHUNK),
-            "_i": (F.col("_pos") - 1) % CHUNK,
+            "_chunk": F.floor((F.col("_pos") - 1) / size),
+            "_i": (F.col("_pos") - 1) % size,
         }
-    )
+    ).map({"_group": F.floor(F.col("_chunk") / group), "_g": F.col("_chunk") % group})
     inside = Window.partitionBy(*rows.keys, "_chunk").orderBy("_i")
     weight = F.pow(F.lit(keep), -(F.col("_i") + 1))
     rows = rows.map({"_s": F.sum(F.col(value) * gain * weight).over(inside)})
-    at_end = F.col("_i") == CHUNK - 1
-    for carry in ("_near", "_full"):
-        begin = F.coalesce(F.col("_near"), F.lit(start)) if carry == "_full" else F.lit(0.0)
-        begin = F.when(F.col("_chunk") == 0, F.lit(start)).otherwise(begin)
-        rows = rows.running(
-            **{carry: latest(F.when(at_end, (F.col("_s") + begin) * fade), inclusive=False)}
-        )
-    begin = F.coalesce(F.col("_full"), F.lit(start))
+    at_end = F.col("_i") == size - 1
+    before = (
+        Window.partitionBy(*rows.keys, "_group").orderBy("_pos")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ends = F.sum(F.when(at_end, F.col("_s") * F.pow(F.lit(fade), -F.col("_g")))).over(before)
+    rows = rows.map({"_own": F.pow(F.lit(fade), F.col("_g")) * F.coalesce(ends, F.lit(0.0))})
+    rows = rows.running(_past=latest(
+        F.when(at_end & (F.col("_g") == group - 1), (F.col("_s") + F.col("_own")) * fade),
+        inclusive=False,
+    ))
+    begin = (
+        F.col("_own") + F.pow(F.lit(fade), F.col("_g")) * F.coalesce("_past", F.lit(0.0))
+        + start * F.pow(F.lit(fade), F.col("_chunk"))
+    )
     rows = rows.map({out: F.pow(F.lit(keep), F.col("_i") + 1) * (F.col("_s") + begin)})
-    return replace(rows, df=rows.df.drop("_pos", "_chunk", "_i", "_s", "_near", "_full"))
+    return replace(
+        rows, df=rows.df.drop("_pos", "_chunk", "_i", "_group", "_g", "_s", "_own", "_past")
+    )

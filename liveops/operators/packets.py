@@ -105,7 +105,7 @@ def pin_source(df: DataFrame, agreed: list[int]) -> DataFrame:
     return typed.join(pinned, "stream").where(F.col("ssrc") == F.col("_pinned")).drop("_pinned")
 
 
-def alive(df: DataFrame, now: int, silence_us: int = 20_000_000) -> DataFrame:
+def alive(df: DataFrame, now: int | Column, silence_us: int = 20_000_000) -> DataFrame:
     """Streams heard within the silence limit."""
     return df.groupBy("stream").agg(F.max("us").alias("last_us")).where(
         F.col("last_us") + silence_us >= now
@@ -270,21 +270,30 @@ def merge(df: DataFrame) -> DataFrame:
     return rows.running(place=position()).result("_rank", "_turn")
 
 
-def mix_rounds(df: DataFrame, samples: int, period_us: int = 300_000) -> DataFrame:
+def mix_rounds(df: DataFrame, period_us: int = 300_000) -> DataFrame:
     """Mix one packet per speaker and round; rounds restart in each period of a channel.
 
-    ``pcm`` holds ``samples`` values. Sums are taken per position, so speakers
+    Every value of ``pcm`` counts: a mix is as long as its longest packet, and a
+    shorter one is silent after its end. Sums are taken per position, so speakers
     combine on the map side; a lone speaker passes through.
     """
     timed = df.withColumn("period", F.floor(F.col("us") / period_us))
     rows = ordered(timed, ["channel", "period", "speaker"], ARRIVAL).running(round=position())
-    sums = [F.sum(F.get("pcm", F.lit(i))).alias(f"_s{i}") for i in range(samples)]
+    # Position -1 counts the packet itself, also an empty one.
+    body = F.coalesce("pcm", F.array().cast("array<bigint>")).cast("array<bigint>")
+    values = F.concat(F.array(F.lit(None).cast("bigint")), body)
+    mixed = (
+        rows.df.select("channel", "period", "round", F.posexplode(values).alias("_at", "_v"))
+        .groupBy("channel", "period", "round", "_at")
+        .agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("_v"), F.lit(0)).alias("_v"))
+    )
+    at = F.array_sort(F.collect_list(F.when(F.col("_at") > 0, F.struct("_at", "_v"))))
     return (
-        rows.df.groupBy("channel", "period", "round")
-        .agg(F.count(F.lit(1)).alias("speakers"), *sums)
+        mixed.groupBy("channel", "period", "round")
+        .agg(F.max(F.when(F.col("_at") == 0, F.col("_n"))).alias("speakers"), at.alias("_pcm"))
         .select(
             "channel", "period", "round", "speakers",
-            F.array(*[saturate(F.col(f"_s{i}")) for i in range(samples)]).alias("pcm"),
+            F.transform("_pcm", lambda v: saturate(v["_v"])).alias("pcm"),
         )
     )
 

@@ -67,7 +67,7 @@ def duck(streams: DataFrame, trigger, ducked, by: int, scope: str = "device") ->
     """Lower ducked roles by ``by`` while a trigger role plays on the device, or anywhere."""
     triggers = streams.where(F.col("role").isin(*trigger))
     if scope == "global":
-        lowered = F.lit(bool(triggers.head(1)))
+        lowered = triggers.agg(F.count(F.lit(1)) > 0).scalar()
         rows = streams
     else:
         present = triggers.select("device").distinct().withColumn("_present", F.lit(True))

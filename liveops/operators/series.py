@@ -107,61 +107,72 @@ def drift(df: DataFrame, key: str, history: int, min_history: int,
     return drift_rows(df, key, history, min_history, monotonic).result()
 
 
-def clock_begin() -> dict:
-    return {"ready": False}
+def between(start: tuple, goal: tuple, x: int) -> tuple[int, float]:
+    """Value and slope at ``x`` of the cubic through two points (x, y, slope) with their slopes.
+
+    In Hermite form over the unit interval. From the goal on it is the goal's line.
+    """
+    (x0, y0, slope0), (x1, y1, slope1) = start, goal
+    if x >= x1:
+        return max(0, y1 + round(slope1 * (x - x1))), slope1
+    width = x1 - x0
+    u = (x - x0) / width
+    rise = (y1 - y0) * u * u * (3 - 2 * u) + width * u * (1 - u) * ((1 - u) * slope0 - u * slope1)
+    slope = (y1 - y0) / width * 6 * u * (1 - u)
+    slope += slope0 * (1 - u) * (1 - 3 * u) + slope1 * u * (3 * u - 2)
+    return max(0, y0 + round(rise)), slope
 
 
-def estimate(state: dict, x: int) -> tuple[int, float]:
-    """Time and slope at ``x``: linear outside [ex, px], cubic between."""
-    ex, ey, de, px, py, dp = (state[k] for k in ("ex", "ey", "de", "px", "py", "dp"))
-    if x >= px:
-        return max(0, py + round(dp * (x - px))), dp
-    if x <= ex:
-        return max(0, ey - round(de * (ex - x))), de
-    kx, ky = px - ex, py - ey
-    b = (3 * ky / kx - dp - 2 * de) / kx
-    a = (dp / kx - 2 * b - de / kx) / (3 * kx)
-    tx = float(x - ex)
-    ty = tx * (de + tx * (b + tx * a)) + ey
-    return (round(ty) if ty >= 0 else 0), de + tx * (b * 2 + tx * a * 3)
+def clock_begin() -> dict:
+    return {"now": (0, 0, 1.0), "goal": None}
 
 
 def clock_step(state: dict, row: dict) -> list[dict]:
     """Estimate at one sample, then aim to be on the measured line after ``adjust``."""
-    x, y, adjust = row["x"], row["y"], row["adjust"]
-    if not state["ready"]:
-        state.update(ready=True, ex=0, ey=0, de=1.0, px=0, py=0, dp=1.0)
-        if row["_x"] is not None:
-            # The last sample's target is reached, so nothing older matters.
-            dp = row["_slope"]
-            state.update(px=row["_x"] + adjust, py=row["_y"] + round(dp * adjust), dp=dp)
-    at, slope = estimate(state, x)
-    if row["monotonic"] and slope < 0:
-        slope = 0.0
-    dp = row["slope"]
-    state.update(ex=x, ey=at, de=slope, px=x + adjust, py=y + round(dp * adjust), dp=dp)
-    return [{"x": x, "y": y, "smooth": at}]
+
+    def ahead(x, y, slope):
+        return x + row["adjust"], y + round(slope * row["adjust"]), slope
+
+    if state["goal"] is None:
+        # The goal of the sample before is reached, so nothing older matters.
+        known = row["_x"] is not None
+        state["goal"] = ahead(row["_x"], row["_y"], row["_slope"]) if known else (0, 0, 1.0)
+    value, slope = between(state["now"], state["goal"], row["x"])
+    if row["monotonic"]:
+        slope = max(0.0, slope)
+    state["now"] = row["x"], value, slope
+    state["goal"] = ahead(row["x"], row["y"], row["slope"])
+    return [{"x": row["x"], "y": row["y"], "smooth": value}]
 
 
 def smooth_time(df: DataFrame, key: str, history: int, min_history: int, adjust: int,
-                monotonic: bool = False) -> DataFrame:
-    """Smoothed ``y`` at each sample of a key.
+                monotonic: bool = False, smoothing: bool = True) -> DataFrame:
+    """Smoothed ``y`` at each sample of a key; if ``monotonic`` it never falls.
 
     Once a sample comes ``adjust`` or more after the one before, the estimate is
     on that one's line and owes nothing to the past, so series are cut there.
+    Without ``smoothing`` every estimate is on the line of the sample before.
     """
     rows = drift_rows(df, key, history, min_history, monotonic)
     rows = rows.running(_x=previous("x"), _y=previous("y"), _slope=previous("slope"))
-    fresh = F.col("_x").isNull() | (F.col("x") - F.col("_x") >= adjust)
-    rows = rows.map({"_fresh": fresh.cast("bigint")}).running(piece=total("_fresh"))
-    settings = {"adjust": F.lit(adjust).cast("bigint"), "monotonic": F.lit(monotonic)}
-    return fold(
-        rows.map(settings).df.select(
-            key, "piece", "x", "y", "slope", "_x", "_y", "_slope", "adjust", "monotonic"
-        ),
-        [key, "piece"], ["x"], clock_begin, clock_step,
-        f"{key} bigint, x bigint, y bigint, smooth bigint",
-    )
+    if smoothing:
+        fresh = F.col("_x").isNull() | (F.col("x") - F.col("_x") >= adjust)
+        rows = rows.map({"_fresh": fresh.cast("bigint")}).running(piece=total("_fresh"))
+        settings = {"adjust": F.lit(adjust).cast("bigint"), "monotonic": F.lit(monotonic)}
+        out = fold(
+            rows.map(settings).df.select(
+                key, "piece", "x", "y", "slope", "_x", "_y", "_slope", "adjust", "monotonic"
+            ),
+            [key, "piece"], ["x"], clock_begin, clock_step,
+            f"{key} bigint, x bigint, y bigint, smooth bigint",
+        )
+    else:
+        line = F.col("_y") + F.rint(F.col("_slope") * (F.col("x") - F.col("_x"))).cast("bigint")
+        value = F.greatest(F.lit(0).cast("bigint"), F.coalesce(line, F.col("x")))
+        out = rows.map({"smooth": value}).result().select(key, "x", "y", "smooth")
+    if monotonic:
+        out = ordered(out, [key], ["x"]).running(smooth=highest("smooth")).result()
+    return out
 
 
 # spectra --------------------------------------------------------------------------------
@@ -186,7 +197,7 @@ def spectral_score(a: DataFrame, b: DataFrame, bands=BANDS) -> DataFrame:
     ).where(F.col("band").isNotNull())
     per_band = cells.groupBy("frame", "band").agg((F.sum("_e") / F.max("width")).alias("_e"))
     per_frame = per_band.groupBy("frame").agg(
-        (F.sum(F.col("_e") * F.col("_e")) / (len(BANDS) - 1)).alias("_e")
+        (F.sum(F.col("_e") * F.col("_e")) / (len(bands) - 1)).alias("_e")
     )
     return per_frame.agg(F.avg(F.pow("_e", 4)).alias("_e")).select(
         F.pow("_e", F.lit(1 / 16)).alias("error"),

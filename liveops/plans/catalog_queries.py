@@ -55,9 +55,11 @@ VIEWS |= {
         + (user_id % 4) * 65536 + user_id AS ip FROM ticks"""),
     "tones": ((), """SELECT o_orderkey AS stream, o_custkey AS device, o_orderpriority AS role,
         o_orderkey % 1000 AS level FROM orders"""),
-    "chat_events": (("chat",), """SELECT channel, us, speaker, text,
-        CASE WHEN row_number() OVER (PARTITION BY channel, speaker ORDER BY us) = 1 THEN 'join'
-        ELSE 'say' END AS event FROM chat"""),
+    "chat_events": (("chat",), """SELECT *, CASE WHEN leaves IS NOT NULL THEN leaves
+        WHEN inside THEN 'say' ELSE 'join' END AS event FROM (SELECT *, coalesce(lag(leaves IS NULL)
+        OVER (PARTITION BY channel, speaker ORDER BY us), false) AS inside FROM (SELECT *,
+        CASE WHEN text = 'quit' THEN 'quit' WHEN text[1] = chr(3) THEN 'close' END AS leaves
+        FROM chat))"""),
 }
 
 
@@ -329,11 +331,14 @@ def chat_history(t):
     return chat.history(t.chat(), ["speaker", "text"])
 
 
-@query("chat_room", """SELECT channel, us, speaker, event,
-    count(*) FILTER (event = 'join') OVER (PARTITION BY channel ORDER BY us, speaker) AS receivers,
+@query("chat_room", f"""SELECT channel, us, speaker, event,
+    count(*) FILTER (event = 'join') OVER (PARTITION BY channel ORDER BY us, speaker)
+    - count(*) FILTER (leaves IS NOT NULL AND inside) OVER (PARTITION BY channel
+    ORDER BY us, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS receivers,
     strftime(to_timestamp(us), '%Y/%m/%d %H:%M:%S') || ' ' || speaker || CASE event
-    WHEN 'join' THEN ' 加入聊天室' ELSE ' 说: ' || text END AS line FROM chat_events""",
-       "chat_events")
+    WHEN 'join' THEN ' {text.JOINED}' WHEN 'quit' THEN ' {text.QUIT}'
+    WHEN 'close' THEN ' {text.CLOSED}' ELSE ' {text.SAYS}: ' || text END AS line
+    FROM chat_events""", "chat_events")
 def chat_room(t):
     return chat.room(t.chat())
 

@@ -36,17 +36,20 @@ VIEWS |= {
 VIEWS |= {
     "room_signals": (("ticks",), """SELECT (user_id + k) % 8 AS channel, user_id AS client, us,
         event_id, CASE event_type WHEN 'signup' THEN 'JOIN' WHEN 'error' THEN 'LEAVE'
-        WHEN 'view' THEN 'CREATE' ELSE 'CANCEL' END AS action FROM ticks
-        WHERE event_type IN ('signup', 'error', 'view') OR (event_type = 'purchase' AND k < 8)"""),
-    "lives": (("room_signals",), """SELECT channel, us AS from_us, next_us AS to_us FROM (SELECT *,
+        WHEN 'view' THEN 'CREATE' WHEN 'purchase' THEN CASE WHEN k < 8 THEN 'CANCEL'
+        ELSE 'JOIN' END END AS action FROM ticks
+        WHERE event_type IN ('signup', 'error', 'view', 'purchase')"""),
+    "lives": (("room_signals",), """SELECT channel, us AS from_us, event_id AS from_id, next_us AS to_us FROM (SELECT *,
         lead(us) OVER (PARTITION BY channel ORDER BY us, event_id) AS next_us FROM (SELECT *,
         lag(action) OVER (PARTITION BY channel ORDER BY us, event_id) AS was FROM room_signals
         WHERE action IN ('CREATE', 'CANCEL')) WHERE action <> coalesce(was, 'CANCEL'))
         WHERE action = 'CREATE'"""),
-    "asked": (("room_signals", "lives"), """SELECT r.*, l.channel IS NOT NULL AS alive,
+    "asked": (("room_signals", "lives"), """SELECT r.channel, r.client, r.us, r.event_id,
+        CASE r.action WHEN 'CREATE' THEN 'JOIN' ELSE r.action END AS action,
+        l.channel IS NOT NULL AS alive,
         coalesce(l.to_us, 9e18::BIGINT) AS until FROM room_signals r LEFT JOIN lives l
         ON l.channel = r.channel AND r.us >= l.from_us AND (l.to_us IS NULL OR r.us < l.to_us)
-        WHERE r.action IN ('JOIN', 'LEAVE')"""),
+        WHERE r.action IN ('JOIN', 'LEAVE') OR (r.action = 'CREATE' AND r.event_id = l.from_id)"""),
     "joined": (("asked",), """SELECT * FROM (SELECT *, list_reduce(list({'act': action,
         'ch': channel, 'un': until, 'id': event_id, 'al': alive, 't': us}) OVER (
         PARTITION BY client ORDER BY us, event_id), lambda a, x: CASE
@@ -63,11 +66,9 @@ def room_signals(t):
     kind = F.col("event_type")
     action = (
         F.when(kind == "signup", "JOIN").when(kind == "error", "LEAVE")
-        .when(kind == "view", "CREATE").otherwise("CANCEL")
+        .when(kind == "view", "CREATE").when(F.col("k") < 8, "CANCEL").otherwise("JOIN")
     )
-    return t.ticks().where(
-        kind.isin("signup", "error", "view") | ((kind == "purchase") & (F.col("k") < 8))
-    ).select(
+    return t.ticks().where(kind.isin("signup", "error", "view", "purchase")).select(
         ((F.col("user_id") + F.col("k")) % 8).alias("channel"),
         F.col("user_id").alias("client"), "us", "event_id", action.alias("action"),
     )

@@ -18,11 +18,16 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._schemas: dict[str, T.StructType] = {}
         # Times without zone count as UTC, whatever session the caller brings.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The table; its schema is read from the files once."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -108,9 +113,13 @@ class Tables:
         )
 
     def chat(self) -> DataFrame:
+        """Turns; some say quit, also twice in a row or at first, and some close the browser."""
+        turn = F.col("turn")
+        leaves = (turn % 8).isin(3, 5) | ((turn == 0) & (F.col("conv_id") % 4 == 0))
+        said = F.when(leaves, "quit").when(turn % 8 == 6, "\x03").otherwise(F.col("text"))
         return self.conversations.select(
-            F.col("conv_id").alias("channel"), F.col("turn").alias("us"),
-            F.col("role").alias("speaker"), "text",
+            F.col("conv_id").alias("channel"), turn.alias("us"),
+            F.col("role").alias("speaker"), said.alias("text"),
         )
 
     # orders and lineitem ----------------------------------------------------
@@ -233,8 +242,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN event_id % 13 = 0 THEN '{"uptime":' || user_id || ',"room":"r' || k || '"}'
         ELSE '{"areaID":' || k || ',"uptime":' || user_id || ',"room":"r' || k || '"}' END AS body
         FROM ticks"""),
-    "chat": ((), """SELECT conv_id AS channel, turn AS us, role AS speaker, text
-        FROM conversations"""),
+    "chat": ((), """SELECT conv_id AS channel, turn AS us, role AS speaker, CASE
+        WHEN turn % 8 IN (3, 5) OR (turn = 0 AND conv_id % 4 = 0) THEN 'quit'
+        WHEN turn % 8 = 6 THEN chr(3) ELSE text END AS text FROM conversations"""),
     "catalog": ((), """SELECT o_orderkey AS ID, o_custkey AS uid,
         CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS status,
         o_orderpriority AS category, o_orderkey % 8 AS department, o_totalprice AS hot,

@@ -294,28 +294,45 @@ def series_drift(t):
     return series.drift(clock(t), "stream", 6 * HOUR, 4).withColumn("slope", F.round("slope", 6))
 
 
-@query("series_smooth_time", """SELECT stream, x, y, m.ey AS smooth FROM (SELECT stream, x, y,
-    list_reduce(list({'ex': x, 'ey': y, 'de': slope, 'px': 0::BIGINT, 'py': 0::BIGINT,
-    'dp': 0.0::DOUBLE}) OVER (PARTITION BY stream ORDER BY x), lambda a, s: {'ex': s.ex,
-    'ey': CASE WHEN s.ex >= a.px THEN greatest(0::BIGINT, a.py
-    + CAST(round_even(a.dp * (s.ex - a.px), 0) AS BIGINT))
-    ELSE CAST(round_even((s.ex - a.ex) * (a.de + (s.ex - a.ex) * (
-    ((3 * (a.py - a.ey) / (a.px - a.ex)::DOUBLE - a.dp - 2 * a.de) / (a.px - a.ex)::DOUBLE)
-    + (s.ex - a.ex) * ((a.dp / (a.px - a.ex)::DOUBLE
-    - 2 * ((3 * (a.py - a.ey) / (a.px - a.ex)::DOUBLE - a.dp - 2 * a.de) / (a.px - a.ex)::DOUBLE)
-    - a.de / (a.px - a.ex)::DOUBLE) / (3 * (a.px - a.ex))::DOUBLE))) + a.ey, 0) AS BIGINT) END,
-    'de': CASE WHEN s.ex >= a.px THEN a.dp ELSE a.de + (s.ex - a.ex) * (
-    2 * ((3 * (a.py - a.ey) / (a.px - a.ex)::DOUBLE - a.dp - 2 * a.de) / (a.px - a.ex)::DOUBLE)
-    + (s.ex - a.ex) * 3 * ((a.dp / (a.px - a.ex)::DOUBLE
-    - 2 * ((3 * (a.py - a.ey) / (a.px - a.ex)::DOUBLE - a.dp - 2 * a.de) / (a.px - a.ex)::DOUBLE)
-    - a.de / (a.px - a.ex)::DOUBLE) / (3 * (a.px - a.ex))::DOUBLE)) END,
-    'px': s.ex + 43200000000, 'py': s.ey + CAST(round_even(s.de * 43200000000, 0) AS BIGINT),
-    'dp': s.de}, {'ex': 0::BIGINT, 'ey': 0::BIGINT, 'de': 1.0::DOUBLE, 'px': 0::BIGINT,
-    'py': 0::BIGINT, 'dp': 1.0::DOUBLE}) AS m FROM slopes)""", "slopes")
+# One step of the smoothed clock: on the goal's line from the goal on, else the Hermite cubic.
+_CUBIC = """list_transform([(s.x0 - a.x0) / (a.x1 - a.x0)::DOUBLE], lambda u: {})[1]"""
+_VALUE = """CASE WHEN s.x0 >= a.x1 THEN greatest(0::BIGINT, a.y1
+    + CAST(round_even(a.v1 * (s.x0 - a.x1), 0) AS BIGINT)) ELSE """ + _CUBIC.format("""greatest(
+    0::BIGINT, a.y0 + CAST(round_even((a.y1 - a.y0) * u * u * (3 - 2 * u) + (a.x1 - a.x0) * u
+    * (1 - u) * ((1 - u) * a.v0 - u * a.v1), 0) AS BIGINT))""") + " END"
+_SLOPE = "CASE WHEN s.x0 >= a.x1 THEN a.v1 ELSE " + _CUBIC.format("""(a.y1 - a.y0)
+    / (a.x1 - a.x0)::DOUBLE * 6 * u * (1 - u) + (a.v0 * (1 - u) * (1 - 3 * u)
+    + a.v1 * u * (3 * u - 2))""") + " END"
+
+
+def _smoothed(slope: str, sample_slope: str) -> str:
+    return f"""SELECT stream, x, y, list_reduce(list({{'x0': x, 'y0': y, 'v0': {sample_slope},
+    'x1': 0::BIGINT, 'y1': 0::BIGINT, 'v1': 0.0::DOUBLE}}) OVER (PARTITION BY stream ORDER BY x),
+    lambda a, s: {{'x0': s.x0, 'y0': {_VALUE}, 'v0': {slope}, 'x1': s.x0 + 43200000000,
+    'y1': s.y0 + CAST(round_even(s.v0 * 43200000000, 0) AS BIGINT), 'v1': s.v0}},
+    {{'x0': 0::BIGINT, 'y0': 0::BIGINT, 'v0': 1.0::DOUBLE, 'x1': 0::BIGINT, 'y1': 0::BIGINT,
+    'v1': 1.0::DOUBLE}}).y0 AS smooth FROM slopes"""
+
+
+@query("series_smooth_time", _smoothed(_SLOPE, "slope"), "slopes")
 def series_smooth_time(t):
     return series.smooth_time(clock(t), "stream", 6 * HOUR, 4, 12 * HOUR)
 
 
+@query("series_smooth_time_monotonic", f"""SELECT stream, x, y, max(smooth) OVER (
+    PARTITION BY stream ORDER BY x) AS smooth FROM ({_smoothed(
+        f"greatest(0.0::DOUBLE, {_SLOPE})", "greatest(slope, 0.0::DOUBLE)")})""", "slopes")
+def series_smooth_time_monotonic(t):
+    return series.smooth_time(clock(t), "stream", 6 * HOUR, 4, 12 * HOUR, monotonic=True)
+
+
+@query("series_unsmoothed_time", """SELECT stream, x, y, greatest(0::BIGINT, coalesce(
+    lag(y) OVER w + CAST(round_even(lag(slope) OVER w * (x - lag(x) OVER w), 0) AS BIGINT), x))
+    AS smooth FROM slopes WINDOW w AS (PARTITION BY stream ORDER BY x)""", "slopes")
+def series_unsmoothed_time(t):
+    return series.smooth_time(clock(t), "stream", 6 * HOUR, 4, 12 * HOUR, smoothing=False)
+
+
 @query("series_spectral_score", """SELECT round(pow(e, 1 / 16.0), 6) AS error,
     round(100 * (1 - 0.5 * ln(1 + pow(e, 1 / 16.0)) / ln(1.13)), 6) AS score
     FROM (SELECT avg(pow(e, 4)) AS e FROM (SELECT frame, sum(e * e) / 21 AS e FROM (
@@ -403,14 +420,19 @@ def vector_scale(t):
     return vectors(t).select("vec_id", _text(arrays.scale(F.col("a"), levels.NORM)).alias("scaled"))
 
 
-@query("vector_remap", """SELECT vec_id, a[1] || ',' || (a[2] + a[4]) // 2 || ',' || a[3] || ','
-    || (a[1] + a[2] + a[3] + a[4]) // 4 AS remapped FROM gains""", "gains")
+@query("vector_remap", """SELECT vec_id, array_to_string(list_transform(range(0, len(a) // 4),
+    lambda i: a[4 * i + 1] || ',' || (a[4 * i + 2] + a[4 * i + 4]) // 2 || ',' || a[4 * i + 3] || ','
+    || (a[4 * i + 1] + a[4 * i + 2] + a[4 * i + 3] + a[4 * i + 4]) // 4), ',') AS remapped
+    FROM gains""", "gains")
 def vector_remap(t):
-    four = F.slice("a", 1, 4)
-    out = arrays.remap(
-        four, ["front-left", "front-right", "front-center", "rear-right"],
-        ["front-left", "side-right", "mono", "lfe"],
-    )
+    def four(i):
+        return arrays.remap(
+            F.slice("a", 4 * i + 1, 4), ["front-left", "front-right", "front-center", "rear-right"],
+            ["front-left", "side-right", "mono", "lfe"],
+        )
+
+    frames = F.sequence(F.lit(0), F.floor(F.size("a") / 4).cast("int") - 1)
+    out = F.flatten(F.transform(frames, four))
     return vectors(t).select("vec_id", _text(out).alias("remapped"))
 
 
@@ -470,12 +492,12 @@ def binary_reads(t):
 
 
 @query("binary_crc", """SELECT doc_id, list_reduce([4294967295::BIGINT] || list_transform(
-    range(1, length(source) + 1), lambda i: CAST(ascii(source[i]) AS BIGINT)),
+    regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)),
     lambda c, b: list_reduce([xor(c, b * 16777216)] || range(8), lambda d, i:
     CASE WHEN d >= 2147483648 THEN xor((d * 2) & 4294967295, 79764919) ELSE d * 2 END)) AS crc
     FROM documents""")
 def binary_crc(t):
     return t.documents.select(
-        "doc_id", crc32_mpeg(F.encode("source", "utf-8"), 0xFFFFFFFF).alias("crc")
+        "doc_id", crc32_mpeg(F.encode("text", "utf-8"), 0xFFFFFFFF).alias("crc")
     )
 

@@ -253,7 +253,7 @@ def packet_mix_rounds(t):
     pcm = F.array(
         (F.col("seq") * 400).cast("bigint"), (F.col("seq") * -700).cast("bigint"), F.col("rtp_ts")
     )
-    rows = packets.mix_rounds(speech(t).withColumn("pcm", pcm), 3, 6 * HOUR)
+    rows = packets.mix_rounds(speech(t).withColumn("pcm", pcm), 6 * HOUR)
     return rows.select(
         "channel", "period", "round", "speakers",
         *[F.get("pcm", F.lit(i)).alias(n) for i, n in enumerate("abc")],
@@ -264,7 +264,7 @@ def packet_mix_rounds(t):
     HAVING max(us) + 21600000000 >= (SELECT max(us) FROM packets)""", "packets")
 def packet_alive(t):
     rows = t.packets()
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     return packets.alive(rows, now, 6 * HOUR)
 
 

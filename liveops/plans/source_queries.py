@@ -64,7 +64,9 @@ def log_at_most(t):
 @query("log_access_lines", """SELECT page_id, make_timestamp(1700000000000000 + page_id * 1000000)
     AS time, page_id / 8 AS request_time, '10.0.0.' || (page_id % 250) AS addr, 200 AS status,
     page_id * 10 AS bytes, 'GET' AS method, url, '-' AS referer, 'agent x' AS agent, '' AS cookie,
-    'b=' || page_id AS body FROM pages""")
+    'b=' || page_id AS body, NULL::VARCHAR AS rejected FROM pages WHERE page_id % 7 <> 3 UNION ALL
+    SELECT page_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+    'GET ' || url FROM pages WHERE page_id % 7 = 3""")
 def log_access_lines(t):
     stamp = F.date_format(F.timestamp_seconds(F.col("page_id") + 1_700_000_000),
                           "dd/MMM/yyyy:HH:mm:ss Z")
@@ -73,6 +75,7 @@ def log_access_lines(t):
         F.col("page_id") / 8, F.col("page_id") % 250, F.col("page_id") * 10, F.col("url"),
         F.col("page_id"),
     )
+    line = F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("GET "), "url")).otherwise(line)
     rows = logs.access_lines(t.pages.select("page_id", line.alias("value")))
     return rows.withColumn("time", F.col("time").cast("timestamp_ntz"))
 

@@ -55,11 +55,11 @@ def at_most(df: DataFrame, level: str, levels=STREAM_LEVELS) -> DataFrame:
 
 
 def access_lines(df: DataFrame, line: str = "value") -> DataFrame:
-    """Access log lines in eleven columns; lines of another form are left out."""
+    """Access log lines in eleven columns; one of another form has its text in ``rejected``."""
     rest = [c for c in df.columns if c != line]
-    rows = df.where(F.col(line).rlike(ACCESS_LINE)).select(
-        *rest, *_parts(F.col(line), ACCESS_LINE, ACCESS_FIELDS)
-    )
+    fits = F.coalesce(F.col(line).rlike(ACCESS_LINE), F.lit(False))
+    fields = _parts(F.when(fits, F.col(line)), ACCESS_LINE, ACCESS_FIELDS)
+    rows = df.select(*rest, *fields, F.when(~fits, F.col(line)).alias("rejected"))
     return rows.withColumns(
         {
             "time": F.try_to_timestamp("time", F.lit("dd/MMM/yyyy:HH:mm:ss Z")),

@@ -27,13 +27,17 @@ def _close(state, client, us):
 def room_step(state: dict, row: dict) -> list[dict]:
     """CREATE, JOIN, LEAVE and CANCEL of one server; emits spans as they end.
 
-    A client is in one channel at most; repeats and requests for unknown
-    channels change nothing.
+    Who opens a channel is its first member. A client is in one channel at most;
+    repeats and requests for unknown channels change nothing.
     """
     rooms, channel, client = state["channels"], row["channel"], row["client"]
     action, us = row["action"], row["us"]
     if action == "CREATE":
-        rooms.setdefault(channel, set())
+        if channel not in rooms:
+            rooms[channel] = set()
+            if client not in state["of"]:
+                rooms[channel].add(client)
+                state["of"][client] = (channel, us, row["event_id"])
     elif channel not in rooms:
         return []
     elif action == "CANCEL":

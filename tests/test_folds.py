@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liveops.operators import channels, limits, membership, packets, playlist, queues, series
-from liveops.operators.ordered import HOT_ROWS
+from liveops.operators.ordered import HOT_ROWS, ordered, smooth
 from liveops.streaming import streams
 
 
@@ -173,6 +173,45 @@ def test_smooth_time(spark):
     same(series.smooth_time(df, "stream", 3000, 4, 1000), expected, ["stream", "x", "smooth"])
 
 
+def test_monotonic_time_never_falls(spark):
+    rng, x, rows = random.Random(9), 0, []
+    for i in range(200):
+        x += rng.choice([100, 400, 900])
+        rows.append({"stream": 0, "x": x, "y": x - (4000 if i % 40 > 20 else 0)})
+    df = frame(spark, rows, "stream bigint, x bigint, y bigint")
+
+    def read(**mode):
+        got = series.smooth_time(df, "stream", 3000, 4, 1000, **mode).orderBy("x")
+        return [r["smooth"] for r in got.collect()]
+
+    assert any(b < a for a, b in zip(read(), read()[1:]))
+    for smoothing in (True, False):
+        steady = read(monotonic=True, smoothing=smoothing)
+        assert all(b >= a for a, b in zip(steady, steady[1:]))
+
+
+@pytest.mark.parametrize("gain", [1e-4, 1 / 512, 1 / 16, 0.5, 0.97, 1.0])
+def test_smooth_of_any_gain(spark, gain):
+    """An exponential mean against a plain loop, over many chunks and groups of chunks."""
+    n = 3000 if gain < 0.5 else 1600
+    df = spark.range(n).select(
+        F.lit(0).alias("k"), F.col("id"), F.when(F.col("id") < 512, 1000.0).otherwise(
+            F.when(F.col("id") % 7 == 0, 5.0).otherwise(0.0)).alias("v"),
+    )
+    got = smooth(ordered(df, ["k"], ["id"]), "v", gain, "m", start=2.0).result().orderBy("id").collect()
+    mean = 2.0
+    for r in got:
+        mean += gain * (r["v"] - mean)
+        assert r["m"] == pytest.approx(mean, rel=1e-9, abs=1e-12)
+
+
+def test_mix_of_unequal_packets(spark):
+    rows = [(0, s, 10 * s, s, p) for s, p in enumerate([[1, 2, 3], [10], [], [30000, 30000, 5, 7], None])]
+    df = spark.createDataFrame(rows, "channel long, speaker long, us long, event_id long, pcm array<bigint>")
+    row = packets.mix_rounds(df).first()
+    assert (row["speakers"], list(row["pcm"])) == (5, [30011, 30002, 8, 7])
+
+
 def test_drift_of_a_straight_line(spark):
     df = spark.range(200).select(
         F.lit(1).cast("bigint").alias("stream"), (F.col("id") * 10).alias("x"),

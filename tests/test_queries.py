@@ -5,6 +5,8 @@ from compare import check, connect
 
 import __spark_entry__ as entry
 from liveops.operators.ordered import HOT_ROWS
+from liveops.plans import QUERIES as PLANNED
+from liveops.plans.fixtures import Tables
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Queries whose operators scan per key; a low threshold cuts most of their keys.
@@ -41,5 +43,26 @@ def test_hot_keys(spark, con, folder, name):
         spark.conf.unset(HOT_ROWS)
 
 
+def test_plans_start_no_jobs(spark, folder, monkeypatch):
+    """Building a query reads nothing but the schemas of its tables."""
+    read, schemas = Tables.table, {}
+
+    def table(self, name):
+        if name not in schemas:
+            spark.sparkContext.setJobGroup("schemas", "")
+            schemas[name] = read(self, name).schema
+            spark.sparkContext.setJobGroup("plans", "")
+        return spark.read.schema(schemas[name]).parquet(f"{folder}/{name}.parquet")
+
+    monkeypatch.setattr(Tables, "table", table)
+    spark.sparkContext.setJobGroup("plans", "")
+    try:
+        for name in PLANNED:
+            QUERIES[name](spark, folder)
+            assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans"), name
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+
+
 def test_oracles_have_queries():
     assert set(ORACLES) <= set(QUERIES)

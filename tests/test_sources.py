@@ -29,8 +29,9 @@ def test_access_log(spark, tmp_path):
         '[02/Jan/2024:03:04:05 +0800] 0.012 10.1.1.1 200 345 POST http://h/a?b=1  - "curl" "-" '
         '"{\\x22a\\x22:1}"\nbroken\n'
     )
-    row = logs.access(spark, str(tmp_path)).collect()
-    assert len(row) == 1 and row[0].status == 200 and row[0].url == "http://h/a?b=1"
+    row = sorted(logs.access(spark, str(tmp_path)).collect(), key=lambda r: r.rejected or "")
+    assert len(row) == 2 and row[1].rejected == "broken" and row[1].status is row[1].url is None
+    assert row[0].rejected is None and row[0].status == 200 and row[0].url == "http://h/a?b=1"
     assert str(row[0].time) and row[0].agent == "curl" and row[0].request_time == 0.012
 
 

@@ -84,7 +84,7 @@ def test_mix_rounds(spark, tables):
         "pcm", F.array(F.col("seq").cast("bigint"), F.col("rtp_ts"))
     )
     got = streamed(spark, rows, lambda s: streams.mix_rounds(s, 6 * HOUR))
-    batch = packets.mix_rounds(rows, 2, 6 * HOUR)
+    batch = packets.mix_rounds(rows, 6 * HOUR)
     # The stream holds each channel's last period until a later packet comes.
     last = batch.groupBy("channel").agg(F.max("period").alias("_last"))
     done = batch.join(last, "channel").where(F.col("period") < F.col("_last"))
@@ -171,6 +171,6 @@ def test_memberships(spark):
     )
     got = streamed(spark, df, streams.memberships)
     spans = sorted((r.channel, r.client, r.from_us, r.to_us) for r in got.collect())
-    assert spans == [(1, 5, 2, 5), (1, 6, 4, 6)]
+    assert spans == [(1, 0, 1, 6), (1, 5, 2, 5), (1, 6, 4, 6)]
 
 
