@@ -30,7 +30,7 @@ DOCS, SPAN = 500, 150
 BITS = 18
 EPOCHS, RATE = 4, 0.3
 #: Texts of the pipeline below this mean probability of their best language go.
-LEAST = 0.4
+LEAST = 0.3
 UNKNOWN = "und"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

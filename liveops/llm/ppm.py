@@ -28,7 +28,7 @@ from liveops.llm.words import PLAIN, hash_words, split, text_bytes
 from liveops.session import written
 
 ORDER = 4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 EDGE = 255
 SMOOTH = 0.1
 #: The key of the token that ends a text.
