@@ -376,6 +376,32 @@ def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None =
     )
 
 
+def playout_report(df: DataFrame, depth_us: int, payload_us: int,
+                   max_us: int | None = None) -> DataFrame:
+    """Per stream what its play-out buffer did: played, late, overflow, skipped, emptied.
+
+    skipped counts sequence numbers passed over on the way out, emptied how often the
+    buffer had run out when the next packet was heard.
+    """
+    fates = playout(df, depth_us, payload_us, max_us)
+    out = F.col("status") == "played"
+    # A packet finds the buffer empty if all that came before has left.
+    stored = F.col("status") != "late"
+    rows = ordered(fates, ["stream"], ARRIVAL).running(
+        _gone=highest(F.when(stored, F.col("out_us")), inclusive=False)
+    )
+    return rows.df.groupBy("stream").agg(
+        F.count_if(out).alias("played"),
+        F.count_if(F.col("status") == "late").alias("late"),
+        F.count_if(F.col("status") == "overflow").alias("overflow"),
+        F.coalesce(
+            F.max(F.when(out, F.col("useq"))) - F.min(F.when(out, F.col("useq"))) + 1
+            - F.count_distinct(F.when(out, F.col("useq"))), F.lit(0),
+        ).cast("bigint").alias("skipped"),
+        F.count_if(F.col("_gone") <= F.col("us")).alias("emptied"),
+    )
+
+
 # connections -------------------------------------------------------------------------------
 WINDOW, MAX_RETRANSMITS, RETRANSMIT_US = 3, 5, 2_000_000
 

@@ -288,7 +288,7 @@ def keyed_idle(t):
     return keyed.idle(t.ticks(), "user_id", F.timestamp_micros("us"), gap, "event_id")
 
 
-@query("packet_playout", """, folded AS (SELECT stream, list_reduce(
+_FOLDED = """, folded AS (SELECT stream, list_reduce(
     list({'buf': [{'u': seq::BIGINT, 't': us, 'id': event_id}], 'pl': -1::BIGINT, 'bf': true,
     'out': []::STRUCT(u BIGINT, t BIGINT, id BIGINT, st VARCHAR, o BIGINT)[]} ORDER BY us, event_id),
     lambda a, x: list_transform([list_transform([{'a': a, 'x': x.buf[1],
@@ -310,14 +310,30 @@ def keyed_idle(t):
     ELSE {'buf': list_sort(s.buf || [s.x]), 'pl': s.pl, 'bf': s.bf, 'out': s.out} END)[1],
     {'buf': []::STRUCT(u BIGINT, t BIGINT, id BIGINT)[], 'pl': -1::BIGINT, 'bf': true,
     'out': []::STRUCT(u BIGINT, t BIGINT, id BIGINT, st VARCHAR, o BIGINT)[]}) AS m
-    FROM packets GROUP BY stream)
-    SELECT stream, r.u AS useq, r.t AS us, r.id AS event_id, r.st AS status, r.o AS out_us
+    FROM packets GROUP BY stream)"""
+_FATES = """SELECT stream, r.u AS useq, r.t AS us, r.id AS event_id, r.st AS status, r.o AS out_us
     FROM (SELECT stream, unnest(m.out || list_transform(m.buf, lambda e: {'u': e.u, 't': e.t,
-    'id': e.id, 'st': 'played', 'o': e.t + 3600000000})) AS r FROM folded)""", "packets")
+    'id': e.id, 'st': 'played', 'o': e.t + 3600000000})) AS r FROM folded)"""
+
+
+@query("packet_playout", f"{_FOLDED} {_FATES}", "packets")
 def packet_playout(t):
     return packets.playout(t.packets(), HOUR, HOUR // 4)
 
 
+@query("packet_playout_report", f"""{_FOLDED}, fates AS ({_FATES})
+    SELECT stream, count(*) FILTER (status = 'played') AS played,
+    count(*) FILTER (status = 'late') AS late, count(*) FILTER (status = 'overflow') AS overflow,
+    coalesce(max(useq) FILTER (status = 'played') - min(useq) FILTER (status = 'played') + 1
+    - count(DISTINCT useq) FILTER (status = 'played'), 0) AS skipped,
+    count(*) FILTER (gone <= us) AS emptied FROM (SELECT *, max(CASE WHEN status <> 'late'
+    THEN out_us END) OVER (PARTITION BY stream ORDER BY us, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM fates) GROUP BY stream""",
+       "packets")
+def packet_playout_report(t):
+    return packets.playout_report(t.packets(), HOUR, HOUR // 4)
+
+
 @query("packet_connections", """SELECT stream, us, event_id, kind, seq, m.st AS state,
     m.dl AS delivered FROM (SELECT *, list_reduce(list({'st': kind, 'ex': seq::BIGINT, 'dl': false})
     OVER (PARTITION BY stream ORDER BY us, event_id), lambda a, x: CASE
