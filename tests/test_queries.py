@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from liveops.operators.ordered import HOT_ROWS
 from liveops.plans import QUERIES as PLANNED
 from liveops.plans.fixtures import Tables
+from liveops.plans.stored_queries import STORED
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Queries whose operators scan per key; a low threshold cuts most of their keys.
@@ -57,7 +58,7 @@ def test_plans_start_no_jobs(spark, folder, monkeypatch):
     monkeypatch.setattr(Tables, "table", table)
     spark.sparkContext.setJobGroup("plans", "")
     try:
-        for name in PLANNED:
+        for name in sorted(set(PLANNED) - set(STORED)):
             QUERIES[name](spark, folder)
             assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans"), name
     finally:
