@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -28,46 +29,82 @@ def _value(value, integral=False):
 
 
 class Machine(StatefulProcessor):
-    """Runs ``step(state, row)`` over each key's rows of a micro-batch in order."""
+    """Runs ``step(state, row)`` over each key's rows of a micro-batch in order.
 
-    def __init__(self, keys, order, begin, step, integral, out):
+    With ``silence_us`` a timer goes off once event time is that far past a key's last
+    row; ``finish(state)`` then returns output rows and the state to keep, if any.
+    """
+
+    def __init__(self, keys, order, begin, step, integral, out, finish=None, silence_us=None):
         self.keys, self.order, self.begin = list(keys), list(order), begin
         self.step, self.integral, self.out = step, integral, out
+        self.finish, self.silence_us = finish, silence_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "blob binary")
 
+    def _frame(self, key, rows: list[dict]) -> pd.DataFrame:
+        plain_key = dict(zip(self.keys, map(_value, key)))
+        rows = [plain_key | row for row in rows]
+        return pd.DataFrame(
+            {
+                n: pd.array([r.get(n) for r in rows], dtype="Int64" if kind in INTEGRAL else object)
+                for n, kind in self.out
+            }
+        )
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.begin()
         batch = pd.concat(list(rows)).sort_values(self.order)
-        plain_key, out = dict(zip(self.keys, map(_value, key))), []
+        out = []
         columns = [(name, name in self.integral) for name in batch.columns]
         for values in batch.itertuples(index=False, name=None):
             row = {n: _value(v, whole) for (n, whole), v in zip(columns, values)}
-            out.extend(plain_key | made for made in self.step(state, row))
+            out.extend(self.step(state, row))
         self.state.update((pickle.dumps(state),))
-        yield pd.DataFrame(
-            {
-                n: pd.array([r.get(n) for r in out], dtype="Int64" if kind in INTEGRAL else object)
-                for n, kind in self.out
-            }
-        )
+        if self.silence_us is not None:
+            timers = list(self.handle.listTimers())
+            # Rows of an earlier time leave the later timer as it is.
+            at = max([-(-(int(batch["us"].max()) + self.silence_us) // 1000), *timers])
+            for timer in timers:
+                if timer != at:
+                    self.handle.deleteTimer(timer)
+            if at not in timers:
+                self.handle.registerTimer(at)
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            rows, state = self.finish(pickle.loads(self.state.get()[0]))
+            if state is None:
+                self.state.clear()
+            else:
+                self.state.update((pickle.dumps(state),))
+            yield self._frame(key, rows)
 
     def close(self) -> None:
         pass
 
 
 def stream_fold(stream: DataFrame, keys, order, begin: Callable[[], dict], step: Callable,
-                schema: str, mode: str = "Append") -> DataFrame:
+                schema: str, mode: str = "Append", finish: Callable | None = None,
+                silence_us: int | None = None, delay: str = "1 second") -> DataFrame:
     """Streaming twin of ``fold``: the same step, the state kept per key between batches.
 
     Rows of a micro-batch are taken in ``order``; across batches arrival decides.
     The rows of one key in one micro-batch must fit in memory: bound batches with
-    ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``.
+    ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``. With ``silence_us`` the column
+    ``us`` is event time with a watermark of ``delay`` (rows not after it are dropped), and ``finish(state)`` runs once a
+    key has been silent for that long, without further rows of it.
     """
+    timed = silence_us is not None
+    if timed:
+        stream = stream.withColumn("_time", F.timestamp_micros("us")).withWatermark("_time", delay)
     struct = StructType.fromDDL(schema)
     integral = {n for n, kind in stream.dtypes if kind in INTEGRAL}
     out = [(f.name, f.dataType.simpleString()) for f in struct.fields]
     return stream.groupBy(*keys).transformWithStateInPandas(
-        Machine(keys, order, begin, step, integral, out), struct, mode, "None"
+        Machine(keys, order, begin, step, integral, out, finish, silence_us), struct, mode,
+        "EventTime" if timed else "None",
     )

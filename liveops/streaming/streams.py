@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,16 +254,23 @@ def playout_step(state: dict, row: dict) -> list[dict]:
 
 
 def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None = None) -> DataFrame:
-    """Fate of each packet once decided; what a stream still buffers comes with later arrivals."""
+    """Fate of each packet once decided; after a silence of ``depth_us`` all that is buffered."""
     limit = max_us if max_us is not None else 2 * depth_us
     settings = {
         "depth_us": F.lit(depth_us).cast("bigint"),
         "payload_us": F.lit(payload_us).cast("bigint"),
         "max_us": F.lit(limit).cast("bigint"),
     }
+
+    def drain(state):
+        rows = packets.playout_finish(state | {"depth": depth_us})
+        top = [r["useq"] for r in rows] + ([] if state["played"] is None else [state["played"]])
+        return rows, state | {"buffer": [], "played": max(top, default=None), "buffering": True}
+
     return stream_fold(
         df.withColumns(settings), ["stream"], ORDER, playout_begin, playout_step,
         "stream bigint, useq bigint, us bigint, event_id bigint, status string, out_us bigint",
+        finish=drain, silence_us=depth_us,
     )
 
 
@@ -301,24 +309,33 @@ def mix_step(state: dict, row: dict) -> list[dict]:
     """Sum each speaker's n-th packet of a period; rounds come out when the period is over."""
     out, period = [], row["us"] // row["period_us"]
     if state["period"] is not None and period > state["period"]:
-        for turn, (speakers, pcm) in sorted(state["rounds"].items()):
-            clipped = [max(-32768, min(32767, x)) for x in pcm]
-            out.append({"period": state["period"], "round": turn, "speakers": speakers,
-                        "pcm": clipped})
+        out += mixed(state)
         state.update(rounds={}, heard={})
     state["period"] = period if state["period"] is None else max(period, state["period"])
     turn = state["heard"].get(row["speaker"], 0) + 1
     state["heard"][row["speaker"]] = turn
-    speakers, pcm = state["rounds"].get(turn, (0, [0] * len(row["pcm"])))
-    state["rounds"][turn] = (speakers + 1, [a + int(b) for a, b in zip(pcm, row["pcm"])])
+    speakers, pcm = state["rounds"].get(turn, (0, []))
+    both = zip_longest(pcm, [] if row["pcm"] is None else row["pcm"], fillvalue=0)
+    state["rounds"][turn] = (speakers + 1, [a + int(b) for a, b in both])
     return out
 
 
+def mixed(state: dict) -> list[dict]:
+    """The rounds of the period at hand."""
+    return [
+        {"period": state["period"], "round": turn, "speakers": speakers,
+         "pcm": [max(-32768, min(32767, x)) for x in pcm]}
+        for turn, (speakers, pcm) in sorted(state["rounds"].items())
+    ]
+
+
 def mix_rounds(df: DataFrame, period_us: int = 300_000) -> DataFrame:
+    """Rounds of a period once the next begins, or once the channel is silent for that long."""
     return stream_fold(
         df.withColumn("period_us", F.lit(period_us).cast("bigint")), ["channel"], ORDER,
         mix_begin, mix_step,
         "channel bigint, period bigint, round bigint, speakers bigint, pcm array<bigint>",
+        finish=lambda state: (mixed(state), None), silence_us=period_us,
     )
 
 
@@ -339,6 +356,39 @@ def rate_limit(df: DataFrame, interval_us: int, burst: int) -> DataFrame:
     )
 
 
+# idle keys ------------------------------------------------------------------------------
+def idle_begin() -> dict:
+    return {"from": None, "last": None, "rows": 0}
+
+
+def idle_step(state: dict, row: dict) -> list[dict]:
+    """Ends the span before once a row comes after the gap."""
+    out = []
+    if state["last"] is not None and row["us"] - state["last"] >= row["gap_us"]:
+        out = idle_span(state, row["gap_us"])
+        state.update(idle_begin())
+    if state["from"] is None:
+        state["from"] = row["us"]
+    state.update(last=row["us"], rows=state["rows"] + 1)
+    return out
+
+
+def idle_span(state: dict, gap_us: int) -> list[dict]:
+    return [{"from_us": state["from"], "last_us": state["last"], "rows": state["rows"],
+             "suspend_us": state["last"] + gap_us}]
+
+
+def idle(stream: DataFrame, key: str, gap_us: int, delay: str = "1 second") -> DataFrame:
+    """An alert for each active span of a ``key`` (bigint), ``gap_us`` of event time after its last
+    row, without waiting for another row of it; the key's state is dropped then."""
+    return stream_fold(
+        stream.withColumn("gap_us", F.lit(gap_us).cast("bigint")), [key], ORDER,
+        idle_begin, idle_step,
+        f"{key} bigint, from_us bigint, last_us bigint, rows bigint, suspend_us bigint",
+        finish=lambda state: (idle_span(state, gap_us), None), silence_us=gap_us, delay=delay,
+    )
+
+
 # windows ------------------------------------------------------------------------------------
 def sessions(df: DataFrame, key: str, gap: str | Column, delay: str, ts: str = "ts") -> DataFrame:
     """Active spans per key, out once the watermark passes their end; gap may vary by row."""

@@ -85,11 +85,33 @@ def test_mix_rounds(spark, tables):
     )
     got = streamed(spark, rows, lambda s: streams.mix_rounds(s, 6 * HOUR))
     batch = packets.mix_rounds(rows, 6 * HOUR)
-    # The stream holds each channel's last period until a later packet comes.
-    last = batch.groupBy("channel").agg(F.max("period").alias("_last"))
-    done = batch.join(last, "channel").where(F.col("period") < F.col("_last"))
+    # A channel's last period comes out once event time is a period past its last packet.
+    ends = rows.groupBy("channel").agg(F.max("us").alias("_last"))
+    newest = rows.agg(F.max("us")).first()[0]
+    last = F.floor(F.col("_last") / (6 * HOUR))
+    done = batch.join(ends, "channel").where(
+        (F.col("period") < last) | (F.col("_last") + 6 * HOUR <= newest - 1_001_000)
+    )
     same(got, done, ["channel", "period", "round", "speakers", "pcm"])
 
+def test_alerts_without_further_rows(spark):
+    """Idle alerts and the rest of a play-out buffer come by time alone."""
+    second = 1_000_000
+    rows = [
+        (1, 10 * second, 0, 1), (1, 11 * second, 1, 2), (2, 10 * second, 2, 1),
+        (2, 100 * second, 3, 2),
+    ]
+    df = spark.createDataFrame(rows, "stream bigint, us bigint, event_id bigint, seq bigint")
+    got = streamed(spark, df, lambda s: streams.idle(s, "stream", 5 * second), files=4)
+    assert {tuple(r) for r in got.collect()} == {
+        (1, 10 * second, 11 * second, 2, 16 * second),
+        (2, 10 * second, 10 * second, 1, 15 * second),
+    }
+    played = streamed(spark, df, lambda s: streams.playout(s, 2 * second, second // 2), files=4)
+    assert {(r.stream, r.useq, r.status) for r in played.collect()} == {
+        (1, 1, "played"), (1, 2, "played"), (2, 1, "played"),
+    }
+
 
 def test_backlog(spark, tables):
     kind = F.col("event_type")
