@@ -34,9 +34,10 @@ VIEWS |= {
         CAST(floor(value * 8) AS BIGINT) AS w1, user_id AS w2, k FROM ticks"""),
     "speech": (("packets",), """SELECT stream % 16 AS channel, stream AS speaker,
         us, us // 60000000 AS spoken, event_id, seq, rtp_ts FROM packets"""),
-    "trace": (("ticks",), """SELECT user_id AS stream, us, event_id, k AS seq,
-        CASE event_type WHEN 'signup' THEN 'SYN' WHEN 'error' THEN 'FIN' ELSE 'DATA' END AS kind
-        FROM ticks"""),
+    "trace": (("ticks",), """SELECT user_id AS stream, us, event_id, k % 3 AS seq,
+        CASE WHEN event_type = 'signup' THEN 'SYN' WHEN event_type = 'error' THEN 'FIN'
+        WHEN k % 10 < 2 THEN 'CONNECT' WHEN k % 10 = 2 THEN 'CLOSE' WHEN event_type = 'purchase'
+        THEN 'ACK' ELSE 'DATA' END AS kind FROM ticks"""),
 }
 RATE = 0.00812347
 
@@ -88,10 +89,15 @@ def speech(t):
 
 
 def trace(t):
-    kind = F.col("event_type")
+    """Every kind of row, with few sequence numbers, so that all states are met."""
+    event, part = F.col("event_type"), F.col("k") % 10
+    kind = (
+        F.when(event == "signup", "SYN").when(event == "error", "FIN").when(part < 2, "CONNECT")
+        .when(part == 2, "CLOSE").when(event == "purchase", "ACK").otherwise("DATA")
+    )
     return t.ticks().select(
-        F.col("user_id").alias("stream"), "us", "event_id", F.col("k").alias("seq"),
-        F.when(kind == "signup", "SYN").when(kind == "error", "FIN").otherwise("DATA").alias("kind"),
+        F.col("user_id").alias("stream"), "us", "event_id", (F.col("k") % 3).alias("seq"),
+        kind.alias("kind"),
     )
 
 
@@ -337,10 +343,20 @@ def packet_playout_report(t):
 @query("packet_connections", """SELECT stream, us, event_id, kind, seq, m.st AS state,
     m.dl AS delivered FROM (SELECT *, list_reduce(list({'st': kind, 'ex': seq::BIGINT, 'dl': false})
     OVER (PARTITION BY stream ORDER BY us, event_id), lambda a, x: CASE
-    WHEN x.st = 'FIN' THEN {'st': 'LISTEN', 'ex': a.ex, 'dl': false}
+    WHEN x.st = 'FIN' AND a.st IN ('SYN_SENT', 'ESTABLISHED')
+    THEN {'st': 'LISTEN', 'ex': a.ex, 'dl': false}
+    WHEN x.st = 'CONNECT' AND a.st = 'LISTEN' THEN {'st': 'SYN_SENT', 'ex': x.ex, 'dl': false}
     WHEN x.st = 'SYN' AND a.st = 'LISTEN' THEN {'st': 'ESTABLISHED', 'ex': x.ex + 1, 'dl': false}
+    WHEN x.st = 'ACK' AND a.st = 'SYN_SENT' AND x.ex = a.ex + 1
+    THEN {'st': 'ESTABLISHED', 'ex': x.ex, 'dl': false}
+    WHEN x.st = 'CLOSE' AND a.st = 'ESTABLISHED'
+    THEN {'st': 'CLOSE_WAIT', 'ex': x.ex, 'dl': false}
     WHEN x.st = 'DATA' AND a.st = 'ESTABLISHED' AND x.ex = a.ex
     THEN {'st': a.st, 'ex': a.ex + 1, 'dl': true}
+    WHEN x.st = 'ACK' AND a.st = 'ESTABLISHED' AND x.ex > a.ex
+    THEN {'st': a.st, 'ex': x.ex, 'dl': false}
+    WHEN x.st = 'ACK' AND a.st = 'CLOSE_WAIT' AND x.ex = a.ex + 1
+    THEN {'st': 'CLOSED', 'ex': a.ex, 'dl': false}
     ELSE {'st': a.st, 'ex': a.ex, 'dl': false} END,
     {'st': 'LISTEN', 'ex': 0::BIGINT, 'dl': false}) AS m FROM trace)""", "trace")
 def packet_connections(t):
