@@ -459,11 +459,12 @@ def integer_power(t):
 
 
 @query("property_maps", """SELECT doc_id, lang || '|' || source AS merged,
-    'xx|' || source AS replaced, 'xx|' AS taken, true AS has_lang, source AS unset_rest,
-    lang = 'xx' AS same FROM documents""")
+    'de|' || source AS replaced, 'de|' AS taken, lang <> 'fr' AS has_lang, source AS unset_rest,
+    lang = 'de' AS same FROM documents""")
 def property_maps(t):
     old = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
-    new = F.create_map(F.lit("lang"), F.lit("xx"))
+    new = F.create_map(F.lit("lang"), F.lit("de"))
+    some = F.when(F.col("lang") == "fr", maps.unset(old, ["lang"])).otherwise(old)
 
     def shown(props):
         return F.concat_ws(
@@ -476,7 +477,7 @@ def property_maps(t):
         shown(maps.update(old, new, "merge")).alias("merged"),
         shown(maps.update(old, new, "replace")).alias("replaced"),
         shown(maps.update(old, new, "set")).alias("taken"),
-        maps.contains(old, "lang").alias("has_lang"),
+        maps.contains(some, "lang").alias("has_lang"),
         F.array_join(F.map_values(maps.unset(old, ["lang"])), ",").alias("unset_rest"),
         maps.equal(maps.unset(old, ["source"]), new).alias("same"),
     )
