@@ -231,29 +231,32 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         .drop("set_id")
     )
     nodes = written(nodes)
-    short = nodes.select("node", F.posexplode("keys").alias("place", "short"))
+    short = nodes.select("node", "n_shingles", F.posexplode("keys").alias("place", "short"))
     repeated = short.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     sides = (
         short.join(repeated, "short")
-        .groupBy("node")
+        .groupBy("node", "n_shingles")
         .agg(
             F.collect_list(F.when(F.col("place") < SIDE, F.col("short"))).alias("first"),
             F.collect_list(F.when(F.col("place") >= SIDE, F.col("short"))).alias("second"),
         )
-        .select("node", F.explode("first").alias("one"), "second")
-        .select("node", "one", F.explode("second").alias("two"))
-        .select("node", F.xxhash64("one", "two").alias("key"))
+        .select("node", "n_shingles", F.explode("first").alias("one"), "second")
+        .select("node", "n_shingles", "one", F.explode("second").alias("two"))
+        .select("node", "n_shingles", F.xxhash64("one", "two").alias("key"))
     )
     keyed = written(sides)
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
-    members = written(keyed.join(buckets.where("n > 1"), "key"))
-    size = nodes.select("node", "n_shingles")
+    buckets = keyed.groupBy("key").agg(
+        F.min(F.struct("node", "n_shingles")).alias("least"), F.count("*").alias("n")
+    )
+    members = written(
+        keyed.join(buckets.where("n > 1"), "key").select(
+            "key", "node", "n_shingles", F.col("least.node").alias("leader"),
+            F.col("least.n_shingles").alias("leader_shingles"),
+        )
+    )
     stars = (
-        members.where("node <> leader").select("leader", "node").distinct()
-        .join(size, "node")
-        .join(size.select(F.col("node").alias("leader"), F.col("n_shingles").alias("m")), "leader")
-        .where(_sizes_allow("n_shingles", "m"))
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        members.where("node <> leader").where(_sizes_allow("n_shingles", "leader_shingles"))
+        .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     )
     near = members.select("node").distinct()
     texts = docs.select("doc_id", "text").join(
