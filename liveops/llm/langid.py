@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from liveops.llm.words import CASED, Words, chunks, mix, split, text_bytes
 
 #: The bound of the training sample: texts of each language, and words of each text.
-DOCS, SPAN = 500, 150
+DOCS, SPAN = 300, 120
 BITS = 18
 EPOCHS, RATE = 4, 0.3
 #: Texts of the pipeline below this mean probability of their best language go.
@@ -260,10 +260,12 @@ def fit(docs: DataFrame) -> Field:
         return field
     coded = pa.array([w for _, ws in sorted(rows.items()) for w in ws]).dictionary_encode()
     codes, rng = coded.indices.to_numpy(), np.random.default_rng(3)
+    lengths = {key: len(words) for key, words in sorted(rows.items())}
+    del rows
     pieces, at = [], 0
-    for (lang, _), words in sorted(rows.items()):
-        mine = codes[at : at + len(words)]
-        at += len(words)
+    for (lang, _), length in lengths.items():
+        mine = codes[at : at + length]
+        at += length
         cut = 0
         while cut < len(mine):
             n = int(rng.integers(4, 40))
@@ -278,7 +280,7 @@ def fit(docs: DataFrame) -> Field:
         ))
     numbers, owners = (np.concatenate(x) for x in zip(*_features(coded.dictionary), strict=True))
     order = np.argsort(owners, kind="stable")
-    numbers, owners = numbers[order], owners[order]
+    numbers, owners = numbers[order].astype(np.int32), owners[order]
     starts = np.searchsorted(owners, np.arange(len(coded.dictionary)))
     _fit(field, sequences, numbers, starts)
     return field
