@@ -13,7 +13,6 @@ different languages, from which the cost of a switch is learned. Prediction read
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
