@@ -1,10 +1,12 @@
 """Benchmark questions in documents, also with other numbers, names and units put in.
 
-Words are canonicalised: a number, a unit and a name (a capital inside a sentence) become typed
-placeholders, other words are lower-cased without punctuation at their ends. Windows of ``SIZE``
-words of benchmark items, as they stand and as templates, are joined by equality with those of
-documents. Before the join documents drop windows whose hash is not in a bit map of the
-benchmark's windows; its size is fixed (``MAP_BITS``), and a false hit only costs a row.
+Words are canonicalised: a number, a unit and a name become typed placeholders, other words are
+lower-cased without punctuation at their ends. What a word may be depends on the word alone: one
+with a capital, unless it is in ``FUNCTION``, is read both as a name and as a plain word, and a
+template window is made for every combination of readings. Windows of ``SIZE`` words of benchmark
+items, as they stand and as templates, are joined by equality with those of documents. Before the
+join documents drop windows whose hash is not in a bit map of the benchmark's windows; its size is
+fixed (``MAP_BITS``), and a false hit only costs a row.
 
 Hits of one document and item on one alignment must agree on the slots: equal values of the item
 stand for equal values of the document and different ones for different ones. A document is
@@ -14,6 +16,7 @@ reported when agreeing hits cover ``COVER`` words of an item, or all of a shorte
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,10 @@ COVER = 13
 #: A template window holds at least so many words that are no placeholders.
 LITERAL = 5
 MAP_BITS = 24
+#: So many readings of windows are held at once.
+READINGS = 1 << 20
+#: The factor between places of a window in its hash.
+_STEP = 0x9E3779B97F4A7C15
 
 #: Units.
 UNITS = (
@@ -40,6 +47,15 @@ UNITS = (
     "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "metre", "metres",
     "kilometer", "kilometers", "kilometre", "kilometres", "centimeters", "kmh", "mph",
 )
+#: Words that are no names when a capital opens them.
+FUNCTION = (
+    "a", "an", "the", "this", "that", "these", "those", "he", "she", "it", "we", "you", "they",
+    "his", "her", "its", "our", "your", "their", "my", "what", "which", "who", "whom", "whose",
+    "when", "where", "why", "how", "if", "then", "and", "or", "but", "so", "because", "while",
+    "after", "before", "in", "on", "at", "by", "for", "from", "to", "of", "with", "as", "into",
+    "is", "are", "was", "were", "be", "do", "does", "did", "has", "have", "had", "there", "not",
+    "each", "every", "all", "some", "no",
+)
 PLAIN, NUMBER, UNIT, NAME = range(4)
 SLOTS = np.array(["", "<number>", "<unit>", "<name>"], object)
 #: Punctuation that separates words; full stops and commas may stand in numbers.
@@ -52,87 +68,115 @@ class _Canon:
 
     def __init__(self, texts: pa.Array):
         words = split(texts, _BREAKS)
-        raw = words.words
-        core = pc.utf8_lower(pc.ascii_trim(raw, ".,!?'"))
-        ends = pc.match_substring_regex(raw, "[.!?]'*$").to_numpy(False)
-        first = pc.utf8_slice_codeunits(pc.ascii_trim(raw, ".,!?'"), 0, 1)
-        capital = pc.utf8_is_upper(first).to_numpy(False)
+        raw = pc.ascii_trim(words.words, ".,!?'")
+        core = pc.utf8_lower(raw)
         kind = np.zeros(len(raw), np.int8)
+        capital = pc.utf8_is_upper(pc.utf8_slice_codeunits(raw, 0, 1))
+        capital = pc.and_not(capital, pc.is_in(core, pa.array(FUNCTION)))
+        kind[capital.to_numpy(False)] = NAME
         kind[pc.is_in(core, pa.array(UNITS)).to_numpy(False)] = UNIT
         kind[pc.match_substring_regex(core, "^[0-9][0-9.,]*$").to_numpy(False)] = NUMBER
         real = pc.binary_length(core).to_numpy(False) > 0
         codes, offsets = words.codes, words.offsets
-        ended = ends[codes]
         if not real.all():
             full = real[codes]
-            # A mark on its own ends the sentence of the word before.
-            stop = np.flatnonzero(ended & ~full)
-            ended[stop[stop > 0] - 1] = True
             sums = np.concatenate(([0], np.cumsum(full)))
-            offsets, codes, ended = sums[offsets], codes[full], ended[full]
-        starts = np.zeros(len(codes) + 1, bool)
-        starts[offsets[:-1]] = True
-        starts[1:][ended] = True
+            offsets, codes = sums[offsets], codes[full]
         self.codes, self.offsets, self.core = codes, offsets, core
         self.kind = kind[codes]
-        self.kind[(self.kind == PLAIN) & capital[codes] & ~starts[:-1]] = NAME
-        plain = hash_words(core)
-        self.plain = plain[codes]
-        slot = mix(np.arange(1, 5, dtype=np.uint64))
-        self.template = np.where(self.kind == PLAIN, self.plain, slot[self.kind])
-
-    def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        return windows(hashes, self.offsets, size)
-
-    def rows(self, places: np.ndarray, size: int, template: bool) -> list[tuple[list[str], list[str]]]:
-        """The windows at ``places`` as text, and the words that stand in their slots."""
+        self.plain = hash_words(core)[codes]
+        self.slot = mix(np.arange(1, 5, dtype=np.uint64))
+
+    def exact(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, places and readings (no slot) of the windows as they stand."""
+        hashes, places = windows(self.plain, self.offsets, size)
+        return hashes, places, np.zeros(len(places), np.int64)
+
+    def templates(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes, places and readings (a bit for each place read as a name) of all templates.
+
+        A template has a slot and enough other words.
+        """
+        n = len(self.plain) - size + 1
+        if n <= 0:
+            return
+        names = self.kind == NAME
+        fixed = (self.kind == NUMBER) | (self.kind == UNIT)
+        hashes = np.where(fixed, self.slot[self.kind], self.plain)
+        delta = self.slot[NAME] - self.plain
+        power = np.array([pow(_STEP, size - 1 - k, 1 << 64) for k in range(size)], np.uint64)
+        totals, used, open_ = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in range(size):
+            totals += hashes[k : k + n] * power[k]
+            used += fixed[k : k + n]
+            open_ += names[k : k + n]
+        most = size - min(LITERAL, size)
+        inside = np.arange(n) + size <= np.repeat(self.offsets[1:], np.diff(self.offsets))[:n]
+        starts = np.flatnonzero(inside & (used <= most) & (used + open_ > 0))
+        ends = np.cumsum(1 << open_[starts])
+        first = 0
+        while first < len(starts):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + READINGS, "right")))
+            at = starts[first:last]
+            total, slots, read = totals[at], used[at], np.zeros(len(at), np.int64)
+            for k in range(size):
+                on = np.flatnonzero(names[at + k] & (slots < most))
+                total = np.concatenate((total, total[on] + delta[at[on] + k] * power[k]))
+                slots = np.concatenate((slots, slots[on] + 1))
+                read = np.concatenate((read, read[on] | 1 << k))
+                at = np.concatenate((at, at[on]))
+            full = slots > 0
+            yield mix(total[full]), at[full], read[full]
+            first = last
+
+    def rows(self, places: np.ndarray, read: np.ndarray, size: int, template: bool):
+        """The windows at ``places`` as text, their words, and which of these may be slots."""
         out = []
-        for at in places:
+        for at, names in zip(places, read.tolist(), strict=True):
             words = self.core.take(pa.array(self.codes[at : at + size])).to_pylist()
-            kinds = self.kind[at : at + size]
-            shown = [SLOTS[k] or w for w, k in zip(words, kinds, strict=True)] if template else words
-            out.append((" ".join(shown), [w for w, k in zip(words, kinds, strict=True) if k]))
+            kinds = self.kind[at : at + size].tolist()
+            shown = [
+                SLOTS[k] if k in (NUMBER, UNIT) or k == NAME and names >> i & 1 else w
+                for i, (w, k) in enumerate(zip(words, kinds, strict=True))
+            ] if template else words
+            out.append((" ".join(shown), words, [k != PLAIN for k in kinds]))
         return out
 
-    def allowed(self, places: np.ndarray, size: int) -> np.ndarray:
-        """Which template windows have a slot and enough other words."""
-        sums = np.concatenate(([0], np.cumsum(self.kind != PLAIN)))
-        slots = sums[places + size] - sums[places]
-        return (slots > 0) & (size - slots >= min(LITERAL, size))
 
-
-_SCHEMA = "id long, place int, size int, template boolean, window string, slots array<string>, hash long"
+_SCHEMA = (
+    "id long, place int, size int, template boolean, window string, words array<string>, slots array<boolean>, "
+    "hash long"
+)
 
 
-def _emitted(ids, owner, places, size, template, canon: _Canon, hashes) -> pa.RecordBatch:
-    rows = canon.rows(places, size, template)
+def _emitted(ids, owner, places, read, size, template, canon: _Canon, hashes) -> pa.RecordBatch:
+    rows = canon.rows(places, read, size, template)
     first = canon.offsets[owner]
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(owner)), pa.array((places - first).astype(np.int32)),
             pa.array(np.full(len(places), size, np.int32)), pa.array([template] * len(places), pa.bool_()),
             pa.array([r[0] for r in rows], pa.string()),
-            pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array(hashes.view(np.int64)),
+            pa.array([r[1] for r in rows], pa.list_(pa.string())),
+            pa.array([r[2] for r in rows], pa.list_(pa.bool_())), pa.array(hashes.view(np.int64)),
         ],
-        names=["id", "place", "size", "template", "window", "slots", "hash"],
+        names=["id", "place", "size", "template", "window", "words", "slots", "hash"],
     )
 
 
 def _windows(texts: pa.Array, ids: pa.Array, sizes: list[int], bits: np.ndarray | None):
     canon = _Canon(texts)
     for size in sizes:
-        for template in (False, True):
-            hashes, places = canon.windows(canon.template if template else canon.plain, size)
-            kept = np.ones(len(places), bool)
+        cut = [(False, canon.exact(size))]
+        for template, (hashes, places, read) in chain(cut, ((True, t) for t in canon.templates(size))):
             if bits is not None:
                 spot = hashes >> np.uint64(64 - MAP_BITS)
                 kept = (bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            if template:
-                kept &= canon.allowed(places, size)
-            hashes, places = hashes[kept], places[kept]
+                hashes, places, read = hashes[kept], places[kept], read[kept]
             if len(places):
                 owner = np.searchsorted(canon.offsets, places, "right") - 1
-                yield _emitted(ids, owner, places, size, template, canon, hashes)
+                yield _emitted(ids, owner, places, read, size, template, canon, hashes)
 
 
 def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -179,14 +223,17 @@ def find(docs: DataFrame, items: DataFrame, size: int = SIZE, cover: int = COVER
     ours = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, _SCHEMA)
     theirs = theirs.select(
         F.col("id").alias("item_id"), F.col("place").alias("at"), "size", "template", "window",
-        F.col("slots").alias("item_slots"),
+        F.col("words").alias("item_text"), F.col("slots").alias("item_slots"),
     ).distinct()
-    pair = F.arrays_zip(F.col("item_slots").alias("in_item"), F.col("slots").alias("in_doc"))
+    pair = F.arrays_zip(
+        F.col("item_text").alias("in_item"), F.col("words").alias("in_doc"), F.col("item_slots").alias("slot")
+    )
     hits = ours.join(theirs, ["window", "size", "template"]).select(
         F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("at")).alias("shift"),
         "at", "size", "template",
-        F.when(F.col("template"), pair).otherwise(
-            F.arrays_zip(F.col("item_slots").alias("in_item"), F.col("item_slots").alias("in_doc"))
+        F.transform(
+            F.filter(pair, lambda p: p["slot"]),
+            lambda p: F.struct(p["in_item"].alias("in_item"), p["in_doc"].alias("in_doc")),
         ).alias("pairs"),
     )
     words = F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)

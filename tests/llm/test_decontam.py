@@ -46,6 +46,32 @@ def test_clash_alone(spark, make_docs):
     assert set(found(make_docs({1: other, 2: wrong}), bench)) == {(1, 1)}
 
 
+def test_openers(spark, make_docs):
+    """Names that open sentences are slots; what stands before an item makes no difference."""
+    bench = items(spark, [
+        (1, "Tom has 5 apples. Mary has 3 pears. How many pears do they have?"),
+        (2, "Add pears to plums. Tom eats 5 of them and keeps the rest for later"),
+    ])
+    other = "Ann has 7 apples. Bob has 4 pears. How many pears do they have?"
+    docs = make_docs({
+        1: other, 2: f"Question: {other}", 3: f"A heading\n{other}", 4: f'He said "{other}"',
+        5: f"then {other.replace('How', 'how')}", 6: "What is here",
+        7: "so add pears to plums. Ann eats 6 of them and keeps the rest for later",
+    })
+    got = found(docs, bench)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 2)}
+    assert all(r.covered >= 13 for r in got.values())
+    assert {(s.in_item, s.in_doc) for s in got[3, 1].slots} >= {("mary", "bob"), ("3", "4")}
+    assert ("tom", "ann") in {(s.in_item, s.in_doc) for s in got[7, 2].slots}
+
+
+def test_function_words(spark, make_docs):
+    """A question word that opens an item is no name."""
+    bench = items(spark, [(1, "What is the capital of France?")])
+    docs = make_docs({1: "Paris is the capital of France.", 2: "What is the capital of Spain?"})
+    assert set(found(docs, bench)) == {(2, 1)}
+
+
 def test_tables(spark, folder):
     """Every document that holds an item's whole text is found, and no other of the tables."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
