@@ -8,9 +8,11 @@ items, as they stand and as templates, are joined by equality with those of docu
 join documents drop windows whose hash is not in a bit map of the benchmark's windows; its size is
 fixed (``MAP_BITS``), and a false hit only costs a row.
 
-Hits of one document and item on one alignment must agree on the slots: equal values of the item
-stand for equal values of the document and different ones for different ones. A document is
-reported when agreeing hits cover ``COVER`` words of an item, or all of a shorter one.
+Hits of one document and item on one alignment agree when each value of the item stands for one
+value of the document. Where they do not all agree, agreeing hits are gathered outwards from every
+hit, and the set that covers most words counts: no less than the longest stretch of hits that
+agree, and no less than the words as they stand. A document is reported when agreeing hits cover
+``COVER`` words of an item, or all of a shorter one.
 """
 
 from __future__ import annotations
@@ -204,6 +206,49 @@ def _bit_map(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
+_PAIRS = pa.list_(pa.struct([("in_item", pa.string()), ("in_doc", pa.string())]))
+
+
+def _settled(hits: list[dict]) -> tuple[set[int], bool, list[dict]]:
+    """The words that agreeing hits of an alignment cover, whether as they stand, differing slots."""
+    found, values = [], {}
+    own: set[int] = set()
+    for hit in hits:
+        words = range(hit["at"], hit["at"] + hit["size"])
+        if hit["own"]:
+            own.update(words)
+        pairs = {(p["in_item"], p["in_doc"]) for p in hit["pairs"]}
+        for mine, theirs in pairs:
+            values.setdefault(mine, set()).add(theirs)
+        found.append((words, pairs))
+    clash = {mine for mine, theirs in values.items() if len(theirs) > 1}
+    # Hits that say the same of the clashing values stand or fall together at one place.
+    marked = {(words.start, words.stop, frozenset(p for p in pairs if p[0] in clash)) for words, pairs in found}
+    # A hit that gives one value two others agrees with nothing, itself included.
+    marked = sorted(
+        (m for m in marked if len({mine for mine, _ in m[2]}) == len(m[2])), key=lambda m: (m[0], m[1], sorted(m[2]))
+    )
+    best: set[int] = set()
+    chosen: dict[str, str] = {}
+    for seed in marked if clash else marked[:1]:
+        names: dict[str, str] = {}
+        covered: set[int] = set()
+        middle = seed[0] + seed[1]
+        for start, stop, pairs in sorted(marked, key=lambda m: (m is not seed, abs(m[0] + m[1] - middle))):
+            if all(names.get(mine, theirs) == theirs for mine, theirs in pairs):
+                names.update(pairs)
+                covered.update(range(start, stop))
+        if len(covered) > len(best):
+            best, chosen = covered, names
+    if len(own) >= len(best):
+        return own, True, []
+    slots = {
+        p for words, pairs in found for p in pairs
+        if p[0] != p[1] and best.issuperset(words) and all(chosen.get(q[0], q[1]) == q[1] for q in pairs)
+    }
+    return best, False, [{"in_item": a, "in_doc": b} for a, b in sorted(slots)]
+
+
 def find(docs: DataFrame, items: DataFrame, size: int = SIZE, cover: int = COVER) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, covered, item_words, exact, slots.
 
@@ -236,22 +281,30 @@ def find(docs: DataFrame, items: DataFrame, size: int = SIZE, cover: int = COVER
             lambda p: F.struct(p["in_item"].alias("in_item"), p["in_doc"].alias("in_doc")),
         ).alias("pairs"),
     )
-    words = F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)
     aligned = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        F.array_distinct(F.flatten(F.collect_set(words))).alias("words"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("template"), words)))).alias("own"),
+        F.collect_set(F.struct("at", "size", (~F.col("template")).alias("own"), "pairs")).alias("hits")
     )
-    agree = (F.size("pairs") == F.size(F.array_distinct("pairs.in_item"))) & (
-        F.size("pairs") == F.size(F.array_distinct("pairs.in_doc"))
-    )
-    covered = F.when(agree, F.size("words")).otherwise(F.size("own"))
-    differ = F.when(agree, F.filter("pairs", lambda p: p["in_item"] != p["in_doc"]))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_settled(batch.column("hits")[i].as_py()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("doc_id", "item_id", "shift")),
+                    pa.array([len(words) for words, _, _ in out], pa.int32()),
+                    pa.array([exact for _, exact, _ in out], pa.bool_()),
+                    pa.array([slots for _, _, slots in out], _PAIRS),
+                ],
+                names=["doc_id", "item_id", "shift", "covered", "exact", "slots"],
+            )
+
     best = (
-        aligned.select("doc_id", "item_id", F.struct(
-            covered.alias("covered"), -F.col("shift").alias("place"), F.array_sort(
-                F.coalesce(differ, F.array().cast("array<struct<in_item:string,in_doc:string>>"))
-            ).alias("slots"), (F.size("own") == covered).alias("exact"),
+        aligned.mapInArrow(
+            settle, "doc_id long, item_id long, shift int, covered int, exact boolean, "
+            "slots array<struct<in_item:string,in_doc:string>>"
+        )
+        .select("doc_id", "item_id", F.struct(
+            "covered", (-F.col("shift")).alias("place"), "slots", "exact"
         ).alias("best"))
         .groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
         .join(counts.select(F.col("id").alias("item_id"), "item_words"), "item_id")

@@ -72,6 +72,26 @@ def test_function_words(spark, make_docs):
     assert set(found(docs, bench)) == {(2, 1)}
 
 
+def test_clash_in_part(spark, make_docs):
+    """Different values may become equal, and a clash costs only the windows that hold it."""
+    long = (
+        "a farm has 12 cows and 30 hens and the owner wants to sell 7 of the cows at noon "
+        "but later the trader with 2 trains waits for 2 hours before the rest of the herd of the farm is sold"
+    )
+    bench = items(spark, [
+        (1, "that day the boy had 5 apples and 3 pears in a bag and ate them all"), (2, long),
+    ])
+    docs = make_docs({
+        1: "that day the boy had 4 apples and 4 pears in a bag and ate them all",
+        2: long.replace("12", "8").replace("30", "9").replace("2 trains", "4 trains").replace("2 hours", "6 hours"),
+    })
+    got = found(docs, bench)
+    assert set(got) == {(1, 1), (2, 2)}
+    assert got[1, 1].covered == 17 and [tuple(s) for s in got[1, 1].slots] == [("3", "4"), ("5", "4")]
+    assert not got[2, 2].exact and 28 <= got[2, 2].covered < got[2, 2].item_words
+    assert {tuple(s) for s in got[2, 2].slots} >= {("12", "8"), ("30", "9")}
+
+
 def test_tables(spark, folder):
     """Every document that holds an item's whole text is found, and no other of the tables."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
