@@ -8,6 +8,11 @@ items, as they stand and as templates, are joined by equality with those of docu
 join documents drop windows whose hash is not in a bit map of the benchmark's windows; its size is
 fixed (``MAP_BITS``), and a false hit only costs a row.
 
+A window with all its capitals read as names that has fewer than half of ``SIZE`` literal words is
+widened, from its start to the right and from its end to the left, until it has. Items shorter
+than ``SIZE`` are one window, with at least half and at least two literal words; an item without so
+many, or a longer one without half of ``SIZE`` in all, is found by its own words only.
+
 Hits of one document and item on one alignment agree when each value of the item stands for one
 value of the document. Where they do not all agree, agreeing hits are gathered outwards from every
 hit, and the set that covers most words counts: no less than the longest stretch of hits that
@@ -17,6 +22,7 @@ agree, and no less than the words as they stand. A document is reported when agr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,14 +37,19 @@ from liveops.session import written
 
 SIZE = 8
 COVER = 13
-#: A template window holds at least so many words that are no placeholders.
-LITERAL = 5
+#: A template window holds at least this part of its size, and two, of words that are no placeholders.
+LITERAL = 0.5
 MAP_BITS = 24
 #: So many readings of windows are held at once.
 READINGS = 1 << 20
 #: The factor between places of a window in its hash.
 _STEP = 0x9E3779B97F4A7C15
 
+
+def _least(size: int) -> int:
+    """Literal words of a template window of ``size`` words."""
+    return max(2, math.ceil(LITERAL * size))
+
 #: Units.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
@@ -89,13 +100,41 @@ class _Canon:
         self.plain = hash_words(core)[codes]
         self.slot = mix(np.arange(1, 5, dtype=np.uint64))
 
-    def exact(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, places and readings (no slot) of the windows as they stand."""
+    def exact(self, size: int) -> tuple[np.ndarray, ...]:
+        """Hashes, places, sizes and readings (no slot) of the windows as they stand."""
         hashes, places = windows(self.plain, self.offsets, size)
-        return hashes, places, np.zeros(len(places), np.int64)
-
-    def templates(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Hashes, places and readings (a bit for each place read as a name) of all templates.
+        return hashes, places, np.full(len(places), size), np.zeros(len(places), np.int64)
+
+    def wide(self, size: int) -> tuple[np.ndarray, ...]:
+        """Dense windows of ``size`` words, widened; all capitals are read as names (-1)."""
+        literal = np.flatnonzero(self.kind == PLAIN)
+        before = np.concatenate(([0], np.cumsum(self.kind == PLAIN)))
+        ends = np.repeat(self.offsets[1:], np.diff(self.offsets))
+        starts = np.repeat(self.offsets[:-1], np.diff(self.offsets))
+        at = np.arange(max(0, len(self.kind) - size + 1))
+        least = _least(size)
+        at = at[(at + size <= ends[at]) & (before[at + size] - before[at] < least)]
+        right = at[before[at] + least <= len(literal)]
+        stop = literal[before[right] + least - 1] + 1
+        inside = stop <= ends[right]
+        left = at[before[at + size] >= least]
+        start = literal[before[left + size] - least]
+        within = start >= starts[left]
+        place = np.concatenate((right[inside], start[within]))
+        sizes = np.concatenate((stop[inside], left[within] + size)) - place
+        # A prefix sum of hash times power, moved to the window's place by the inverse power.
+        n = len(self.kind)
+        power, back = np.full(n, _STEP, np.uint64), np.full(n, pow(_STEP, -1, 1 << 64), np.uint64)
+        power[:1] = back[:1] = 1
+        power, back = np.cumprod(power), np.cumprod(back)
+        hashes = np.where(self.kind == PLAIN, self.plain, self.slot[self.kind])
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power, dtype=np.uint64)))
+        total = (sums[place + sizes] - sums[place]) * back[place]
+        # Apart from the windows of one size.
+        return mix(total + mix(sizes.astype(np.uint64))), place, sizes, np.full(len(place), -1)
+
+    def templates(self, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Hashes, places, sizes and readings (a bit for each place read as a name) of all templates.
 
         A template has a slot and enough other words.
         """
@@ -112,7 +151,7 @@ class _Canon:
             totals += hashes[k : k + n] * power[k]
             used += fixed[k : k + n]
             open_ += names[k : k + n]
-        most = size - min(LITERAL, size)
+        most = size - _least(size)
         inside = np.arange(n) + size <= np.repeat(self.offsets[1:], np.diff(self.offsets))[:n]
         starts = np.flatnonzero(inside & (used <= most) & (used + open_ > 0))
         ends = np.cumsum(1 << open_[starts])
@@ -129,13 +168,13 @@ class _Canon:
                 read = np.concatenate((read, read[on] | 1 << k))
                 at = np.concatenate((at, at[on]))
             full = slots > 0
-            yield mix(total[full]), at[full], read[full]
+            yield mix(total[full]), at[full], np.full(full.sum(), size), read[full]
             first = last
 
-    def rows(self, places: np.ndarray, read: np.ndarray, size: int, template: bool):
+    def rows(self, places: np.ndarray, sizes: np.ndarray, read: np.ndarray, template: bool):
         """The windows at ``places`` as text, their words, and which of these may be slots."""
         out = []
-        for at, names in zip(places, read.tolist(), strict=True):
+        for at, size, names in zip(places, sizes, read.tolist(), strict=True):
             words = self.core.take(pa.array(self.codes[at : at + size])).to_pylist()
             kinds = self.kind[at : at + size].tolist()
             shown = [
@@ -152,13 +191,13 @@ _SCHEMA = (
 )
 
 
-def _emitted(ids, owner, places, read, size, template, canon: _Canon, hashes) -> pa.RecordBatch:
-    rows = canon.rows(places, read, size, template)
+def _emitted(ids, owner, places, sizes, read, template, canon: _Canon, hashes) -> pa.RecordBatch:
+    rows = canon.rows(places, sizes, read, template)
     first = canon.offsets[owner]
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(owner)), pa.array((places - first).astype(np.int32)),
-            pa.array(np.full(len(places), size, np.int32)), pa.array([template] * len(places), pa.bool_()),
+            pa.array(sizes.astype(np.int32)), pa.array([template] * len(places), pa.bool_()),
             pa.array([r[0] for r in rows], pa.string()),
             pa.array([r[1] for r in rows], pa.list_(pa.string())),
             pa.array([r[2] for r in rows], pa.list_(pa.bool_())), pa.array(hashes.view(np.int64)),
@@ -167,18 +206,21 @@ def _emitted(ids, owner, places, read, size, template, canon: _Canon, hashes) ->
     )
 
 
-def _windows(texts: pa.Array, ids: pa.Array, sizes: list[int], bits: np.ndarray | None):
+def _windows(texts: pa.Array, ids: pa.Array, sizes: list[int], whole: int, bits: np.ndarray | None):
+    """All windows of ``sizes`` words; those of ``whole`` words also widened."""
     canon = _Canon(texts)
     for size in sizes:
-        cut = [(False, canon.exact(size))]
-        for template, (hashes, places, read) in chain(cut, ((True, t) for t in canon.templates(size))):
+        cut = chain([(False, canon.exact(size))], ((True, t) for t in canon.templates(size)))
+        if size == whole:
+            cut = chain(cut, [(True, canon.wide(size))])
+        for template, (hashes, places, lengths, read) in cut:
             if bits is not None:
                 spot = hashes >> np.uint64(64 - MAP_BITS)
                 kept = (bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                hashes, places, read = hashes[kept], places[kept], read[kept]
+                hashes, places, lengths, read = hashes[kept], places[kept], lengths[kept], read[kept]
             if len(places):
                 owner = np.searchsorted(canon.offsets, places, "right") - 1
-                yield _emitted(ids, owner, places, read, size, template, canon, hashes)
+                yield _emitted(ids, owner, places, lengths, read, template, canon, hashes)
 
 
 def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -190,7 +232,7 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
             for n in np.unique(np.minimum(counts, size)):
                 if n:
                     mine = batch.filter(pa.array(np.minimum(counts, size) == n))
-                    yield from _windows(mine.column("text"), mine.column("item_id"), [int(n)], None)
+                    yield from _windows(mine.column("text"), mine.column("item_id"), [int(n)], size, None)
 
     return items.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(run, _SCHEMA)
 
@@ -257,13 +299,13 @@ def find(docs: DataFrame, items: DataFrame, size: int = SIZE, cover: int = COVER
     nothing, null ids take no part, and rows that repeat count once.
     """
     theirs = written(item_windows(items, size))
-    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())
+    sizes = sorted(r["size"] for r in theirs.where(F.col("size") <= size).select("size").distinct().collect())
     counts = theirs.groupBy("id").agg((F.max(F.col("place") + F.col("size"))).alias("item_words"))
     bits = _bit_map(theirs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            yield from _windows(batch.column("text"), batch.column("doc_id"), sizes, bits)
+            yield from _windows(batch.column("text"), batch.column("doc_id"), sizes, size, bits)
 
     ours = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, _SCHEMA)
     theirs = theirs.select(

@@ -92,6 +92,26 @@ def test_clash_in_part(spark, make_docs):
     assert {tuple(s) for s in got[2, 2].slots} >= {("12", "8"), ("30", "9")}
 
 
+def test_dense(spark, make_docs):
+    """Short items, and items dense in numbers in the middle and at their end, are templates too."""
+    bench = items(spark, [
+        (1, "What is 12 plus 7?"), (2, "from 3 to 4 and then 3 to 5"),
+        (3, "take the sum of 3 4 5 6 7 8 9 and then divide it by the first one"),
+        (4, "please add up these numbers 1 2 3 4 5 6 7 8 9"), (5, "12 and 7"), (6, "1 2 3 4 5 6 7 8 9"),
+        (7, "compare Ann Bob Cid Dan Eve Fay Gus Hal by their age"),
+    ])
+    docs = make_docs({
+        1: "So what is 40 plus 2? Yes.", 2: "x from 8 to 9 and then 8 to 7 x",
+        3: "x take the sum of 9 8 7 6 5 4 3 and then divide it by the first one x",
+        4: "x please add up these numbers 9 8 7 6 5 4 3 2 1 x", 5: "1 2 " * 5000, 6: "9 and 8",
+        7: "compare Ida Jim Kit Lea Max Ned Oda Pam by their age",
+        8: "take the sum of 9 8 7 6 5 4 3 2 and then", 9: "what is 12 minus 7?",
+    })
+    got = found(docs, bench)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (7, 7)}
+    assert all(r.covered == r.item_words for r in got.values())
+
+
 def test_tables(spark, folder):
     """Every document that holds an item's whole text is found, and no other of the tables."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
