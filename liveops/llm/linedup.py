@@ -2,7 +2,8 @@
 
 A document is the sequence of its lines that are not blank. A run is repeated when the same
 lines stand consecutively at an earlier place (by doc_id, then line; places may overlap). Every
-line inside a repeated run of at least ``min_words`` words (blanks between words plus one) goes.
+line inside a repeated run of at least ``min_words`` words goes. ``native`` counts the words of a
+line; ``blanks`` (blanks plus one) is the measure that the SQL of op9_lines states.
 
 Ranks in the suffix array of all lines that occur twice or more come from prefix doubling: the
 rank of a place at depth 2h is its rank at depth h, moved by the number of suffixes in the same
@@ -18,6 +19,8 @@ intersection of two intervals of depth 2^k <= n; its earliest place is kept, the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +31,22 @@ MIN_WORDS = 50
 #: A document: its doc_id (null: the least number) and a hash that tells rows of one doc_id with
 #: different texts apart.
 DOC = ["doc", "version"]
+#: Scripts without blanks: each character counts as a word.
+SCRIPTS = "".join(
+    rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+)
+_WORD = rf"[{SCRIPTS}]|[^\x20\x09-\x0D{SCRIPTS}]+"
+
+
+def native(line: Column) -> Column:
+    """Words between ASCII white space, and characters of ``SCRIPTS``; a blank line has none."""
+    return F.regexp_count(line, F.lit(_WORD))
+
+
+def blanks(line: Column) -> Column:
+    """Blanks of a line plus one; a line of blanks has none."""
+    count = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.trim(line) != "", count).otherwise(0)
 
 
 def _lines(text: Column) -> Column:
@@ -40,16 +59,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     })
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
+def _ranked(docs: DataFrame, words: Callable[[Column], Column]) -> DataFrame:
     """Lines that occur twice or more: place in its document, words, and rank at depth 1."""
     lines = (
         _keyed(docs.select("doc_id", "text")).select(*DOC, F.posexplode(_lines(F.col("text"))))
-        .where("trim(col) <> ''")
         .select(
             *DOC, F.col("pos").alias("line"),
             F.xxhash64("col").alias("high"), F.xxhash64(F.lit(1), "col").alias("low"),
-            (F.length("col") - F.length(F.replace("col", F.lit(" "), F.lit(""))) + 1).alias("words"),
+            words(F.col("col")).alias("words"),
         )
+        .where("words > 0")
         # Rows that repeat a document are one document here.
         .repartition(*DOC)
         .dropDuplicates([*DOC, "line"])
@@ -112,9 +131,11 @@ def _parts(places: DataFrame, min_words: int) -> DataFrame:
     ).distinct()
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, words: Callable[[Column], Column] = native
+) -> DataFrame:
     """(doc_id, version, lines): numbers, from 0, of the lines of each document that go."""
-    places = written(_ranked(docs))
+    places = written(_ranked(docs, words))
     depth, level = 1, 0
     while 2 * depth <= min_words:
         places = _doubled(places, depth, level)
@@ -157,7 +178,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, min_words: int = MIN_WORDS, words: Callable[[Column], Column] = native
+) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, …), ``text`` without its repeated lines.
 
     Adds n_lines and n_deleted. The rest of a text stays as it is, with its blank lines; a text
@@ -165,7 +188,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text are one document and get the same result; a null doc_id comes first. An earlier column
     n_lines or n_deleted is replaced.
     """
-    gone = repeated_lines(docs, min_words).withColumnRenamed("lines", "_gone")
+    gone = repeated_lines(docs, min_words, words).withColumnRenamed("lines", "_gone")
     keyed = _keyed(docs.drop("n_lines", "n_deleted").withColumnsRenamed(
         {c: f"_{c}" for c in docs.columns if c in (*DOC, "_gone")}
     ))

@@ -198,7 +198,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 )
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return linedup.line_dedup(_table(spark, folder, "documents")).select(
+    return linedup.line_dedup(_table(spark, folder, "documents"), words=linedup.blanks).select(
         "doc_id", "text", "n_lines", "n_deleted"
     )
 

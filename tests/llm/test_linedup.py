@@ -48,3 +48,18 @@ def test_rows(make_docs):
     assert {r.n_chars for r in kept.where("doc_id = 2").collect()} == {4}
     assert linedup.line_dedup(docs.limit(0)).count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_words(make_docs):
+    """Tabs part words, blanks of an indentation are none, characters count where blanks are not used."""
+    tabs = "\t".join(f"cell{i}" for i in range(60))
+    code = "\n".join(f"{' ' * 12}x{i} = y{i}" for i in range(5))
+    han = "\u6587" * 60
+    pairs = [(d, f"{d}\n{t}") for d, t in enumerate([tabs, tabs, code, code, han, han, "\t\n\t", "\t\n\t"])]
+    docs = make_docs(pairs)
+    assert got(docs, 50) == {1: [1], 5: [1]}
+    kept = {r.doc_id: r.text for r in linedup.without_repeats(docs).collect()}
+    assert kept == dict(pairs) | {1: "1", 5: "5"}
+    # The measure of the SQL of op9_lines.
+    counted = {r.doc: r.lines for r in linedup.repeated_lines(docs, 50, linedup.blanks).collect()}
+    assert counted == {3: [1, 2, 3, 4, 5]}
