@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveops.llm import decontam, langid, licences, linedup, neardup, packing, ppm, preference, vafile, warc
+from liveops.llm import audit, decontam, langid, licences, linedup, neardup, packing, ppm, preference, vafile, warc
 from liveops.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,56 @@ def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query(
+    """
+WITH word AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+), fail AS (
+  SELECT doc_id, part, [
+    CAST(len(words) < 100 AS BIGINT), CAST(100 * len(list_distinct(words)) < 80 * len(words) AS BIGINT),
+    CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) AS BIGINT),
+    CAST(regexp_matches(text, '[#$%&*|]') AS BIGINT), CAST(coalesce(doc_id > least, false) AS BIGINT)
+  ] AS bad FROM word
+), label AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS BIGINT)) AS good,
+    max(CAST(coalesce(toxic = 1, false) AS BIGINT)) AS toxic
+  FROM labels GROUP BY 1
+), kind AS (
+  SELECT part, bad, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM fail LEFT JOIN label USING (doc_id) GROUP BY ALL
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), step AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS filter,
+    list_transform(range(1, s + 1), lambda i: ascii(filter_order[i]) - 64) AS upto
+  FROM orders, range(1, 6) AS r(s)
+), outcome AS (
+  SELECT part, filter_order, step, filter, n, good, toxic,
+    bad[upto[-1]] AS fails, list_sum(list_transform(upto, lambda i: bad[i])) AS so_far, list_sum(bad) AS of_all
+  FROM kind, step
+), counted AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN so_far = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails = 1 AND so_far = 1 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails = 1 AND so_far > 1 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = 1 AND of_all = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails = 1 AND so_far = 1 THEN n * good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails = 1 AND so_far = 1 THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM outcome GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM counted
+"""
+)
+def op13_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
