@@ -40,18 +40,22 @@ def splitters(df: DataFrame, order, parts: int) -> Column:
     return sample.agg(tuples.alias("_all")).select(cuts.alias("_cuts")).scalar()
 
 
-def parted(df: DataFrame, order, parts: int, out: str = "_part") -> DataFrame:
-    """``df`` with the number of its part: how many of the ``splitters`` are at most its row."""
+def place(order, parts: int, cuts: str = "_cuts") -> Column:
+    """How many of the rising tuples of the column ``cuts`` are at most a row, by bisection."""
     steps = [1 << b for b in range((parts + 1).bit_length(), -1, -1)]
     key = F.struct(*order)
-    place = F.aggregate(
+    return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda at, step: at + F.when(F.get("_cuts", at + step - 1) <= key, step).otherwise(0),
+        lambda at, step: at + F.when(F.get(cuts, at + step - 1) <= key, step).otherwise(0),
     )
+
+
+def parted(df: DataFrame, order, parts: int, out: str = "_part") -> DataFrame:
+    """``df`` with the number of its part: how many of the ``splitters`` are at most its row."""
     # A column of its own: a subquery cannot stand inside a lambda.
     cut = df.withColumn("_cuts", splitters(df, order, parts))
-    return cut.withColumn(out, place).drop("_cuts")
+    return cut.withColumn(out, place(order, parts)).drop("_cuts")
 
 
 def numbered(df: DataFrame, order, out: str = "n") -> DataFrame:
