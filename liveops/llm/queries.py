@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liveops.llm import audit, decontam, langid, licences, linedup, neardup, packing, ppm, preference, vafile, warc
+from liveops.llm import (
+    audit, decontam, langid, licences, linedup, neardup, packing, ppm, preference, resample, vafile, warc,
+    winnow,
+)
 from liveops.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,6 +211,78 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
 
+@_query()
+def op11_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnow.edited(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        winnow.shown(F.col("found")).alias("fingerprint"),
+        winnow.shown(F.col("edited_found")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
+def _features(table: str) -> str:
+    return f"""
+SELECT doc_id, len(words) AS n_words,
+  unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature
+FROM (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM {table}
+)"""
+
+
+@_query(
+    f"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, list_value(0, 0, 0, 0, 0, 0, 0, 0)), lambda c, unused:
+      CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(i))
+), ours AS ({_features("documents")}), theirs AS ({_features("(SELECT 0 AS doc_id, text FROM benchmark)")}
+), bucket AS (
+  SELECT feature, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+    range(1, strlen(feature) + 1), lambda i: (instr('123456789ABCDEF', hex(feature)[2 * i - 1]) * 16
+      + instr('123456789ABCDEF', hex(feature)[2 * i])))),
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) % {resample.BUCKETS} AS bucket
+  FROM (SELECT feature FROM ours UNION SELECT feature FROM theirs), crc
+), s AS (SELECT bucket, count(*) AS n FROM ours JOIN bucket USING (feature) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM theirs JOIN bucket USING (feature) GROUP BY 1),
+gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln(
+    CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM ours) + {resample.BUCKETS} AS DOUBLE)
+    / (CAST(s.n + 1 AS DOUBLE) * CAST((SELECT count(*) FROM theirs) + {resample.BUCKETS} AS DOUBLE))
+  )) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)
+), weighed AS (
+  SELECT doc_id, max(n_words) AS n_words, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total
+  FROM ours JOIN bucket USING (feature) JOIN gain USING (bucket) GROUP BY 1
+), hashed AS (
+  SELECT doc_id, list_reduce(list_prepend(0, list_transform(range(1, 9), lambda i:
+    instr('123456789abcdef', sha256('{resample.SEED}:' || doc_id)[i]))), lambda h, x: h * 16 + x) AS h
+  FROM documents
+), scored AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n, 0) AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE (total - (total % n + n) % n) // n END AS weight,
+    CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM hashed LEFT JOIN weighed USING (doc_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= {resample.MIN_WORDS} ORDER BY weight + noise DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n_words >= {resample.MIN_WORDS}) AS able
+  FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight,
+  CAST(weight + noise AS BIGINT) AS score,
+  CASE WHEN n_words >= {resample.MIN_WORDS} AND place <= {resample.SHARE} * able // 100 THEN place END AS rank
+FROM ranked
+"""
+)
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @_query(
     """
 WITH word AS (
