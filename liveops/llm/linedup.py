@@ -2,8 +2,8 @@
 
 A document is the sequence of its lines that are not blank. A run is repeated when the same
 lines stand consecutively at an earlier place (by doc_id, then line; places may overlap). Every
-line inside a repeated run of at least ``min_words`` words goes. ``native`` counts the words of a
-line; ``blanks`` (blanks plus one) is the measure that the SQL of op9_lines states.
+line inside a repeated run of at least ``min_words`` words goes; ``native`` counts the words of a
+line.
 
 Ranks in the suffix array of all lines that occur twice or more come from prefix doubling: the
 rank of a place at depth 2h is its rank at depth h, moved by the number of suffixes in the same
@@ -36,6 +36,8 @@ SCRIPTS = "".join(
     rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 )
 _WORD = rf"[{SCRIPTS}]|[^\x20\x09-\x0D{SCRIPTS}]+"
+#: The same for DuckDB, which names scripts without ``Is``.
+SQL_WORD = _WORD.replace("{Is", "{")
 
 
 def native(line: Column) -> Column:
@@ -43,12 +45,6 @@ def native(line: Column) -> Column:
     return F.regexp_count(line, F.lit(_WORD))
 
 
-def blanks(line: Column) -> Column:
-    """Blanks of a line plus one; a line of blanks has none."""
-    count = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.when(F.trim(line) != "", count).otherwise(0)
-
-
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

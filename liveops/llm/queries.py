@@ -167,10 +167,11 @@ def op8_ppm(spark: SparkSession, folder: str) -> DataFrame:
 @_query(
     f"""
 WITH line AS (
-  SELECT doc_id, u.i - 1 AS line, u.line AS words_of,
-    length(u.line) - length(replace(u.line, ' ', '')) + 1 AS words
-  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)
-  WHERE trim(u.line) <> ''
+  SELECT * FROM (
+    SELECT doc_id, u.i - 1 AS line, u.line AS words_of,
+      len(list_filter(regexp_extract_all(u.line, '{linedup.SQL_WORD}'), lambda w: w <> '')) AS words
+    FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)
+  ) WHERE words > 0
 ), seq AS (
   SELECT *, row_number() OVER w AS seq, sum(words) OVER w AS upto FROM line
   WINDOW w AS (PARTITION BY doc_id ORDER BY line)
@@ -201,7 +202,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 )
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return linedup.line_dedup(_table(spark, folder, "documents"), words=linedup.blanks).select(
+    return linedup.line_dedup(_table(spark, folder, "documents")).select(
         "doc_id", "text", "n_lines", "n_deleted"
     )
 

@@ -2,6 +2,8 @@
 
 import re
 
+import regex
+
 LOWER = {c: c + 32 for c in range(65, 91)}
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,11 +44,21 @@ def near_duplicates(docs):
     return {d: (len(sets[d]), find(parent, d)) for d in docs}
 
 
+SCRIPTS = regex.compile(
+    r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+)
+
+
+def line_words(line):
+    """Words between white space; each character of a script without blanks is one."""
+    return len(SPACE.findall(SCRIPTS.sub(" ", line))) + len(SCRIPTS.findall(line))
+
+
 def repeated_lines(docs, least):
     """doc_id -> numbers of lines inside a run of ``least`` words that stands earlier too."""
     seqs = []
     for d in sorted(docs):
-        lines = [(i, x) for i, x in enumerate((docs[d] or "").split("\n")) if x.strip(" ")]
+        lines = [(i, x) for i, x in enumerate((docs[d] or "").split("\n")) if line_words(x)]
         seqs.append((d, [i for i, _ in lines], [x for _, x in lines]))
     gone = {d: set() for d in docs}
     for k, (d, at, mine) in enumerate(seqs):
@@ -58,7 +70,7 @@ def repeated_lines(docs, least):
                     while i + n < len(mine) and p + n < len(other) and mine[i + n] == other[p + n]:
                         n += 1
                     longest = max(longest, n)
-            if sum(x.count(" ") + 1 for x in mine[i : i + longest]) >= least:
+            if sum(map(line_words, mine[i : i + longest])) >= least:
                 gone[d] |= set(at[i : i + longest])
     return {d: sorted(x) for d, x in gone.items() if x}
 

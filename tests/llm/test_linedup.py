@@ -60,6 +60,21 @@ def test_words(make_docs):
     assert got(docs, 50) == {1: [1], 5: [1]}
     kept = {r.doc_id: r.text for r in linedup.without_repeats(docs).collect()}
     assert kept == dict(pairs) | {1: "1", 5: "5"}
-    # The measure of the SQL of op9_lines.
-    counted = {r.doc: r.lines for r in linedup.repeated_lines(docs, 50, linedup.blanks).collect()}
-    assert counted == {3: [1, 2, 3, 4, 5]}
+
+
+def test_registered_query(spark, tmp_path, make_docs):
+    """Through the query and its SQL: a tab-separated copy goes, an indented one of few words stays."""
+    import duckdb
+
+    from liveops.llm.queries import ORACLES, QUERIES
+
+    tabs = "\t".join(f"cell{i}" for i in range(60))
+    code = "\n".join(f"{' ' * 12}x{i} = y{i}" for i in range(5))
+    pairs = [(1, tabs), (2, f"{tabs}\nrest"), (3, code), (4, f"{code}\nend"), (5, "\u6587" * 50), (6, "\u6587" * 50)]
+    make_docs(pairs).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.text, r.n_deleted) for r in QUERIES["op9_lines"](spark, str(tmp_path)).collect()}
+    assert rows == {d: (t, 0) for d, t in pairs} | {2: ("rest", 1), 6: ("", 1)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = con.sql(f"SELECT doc_id, text, n_deleted FROM ({ORACLES['op9_lines']})").fetchall()
+    assert {d: (t, n) for d, t, n in sql} == rows
