@@ -15,6 +15,7 @@ proportion to their length; what two blocks choose alike at their seam is kept o
 ``edited`` needs each document's successor by doc_id. Rows are cut into parts of like size by
 splitters over (doc_id, hash of the text); the first row of a part is a splitter itself and is
 copied to the part before, so successors come from one shuffle of the texts and no wider window.
+The edited text is spliced from two, and so is its fingerprint: each text is hashed once.
 """
 
 from __future__ import annotations
@@ -48,9 +49,8 @@ def _numbers(block: Column, gram: int) -> Column:
         # The dot moves on by a code point; the look-ahead holds the run that starts there.
         F.regexp_extract_all(block, F.lit(rf"(?s)(?=(.{{{gram}}}))."), F.lit(1))
     )
-    return F.transform(runs, lambda run, i: F.shiftleft(
-        F.xxhash64(run).bitwiseAND(F.lit((1 << HASH_BITS) - 1)), _PLACE
-    ) + (F.lit(_MOST) - i))
+    high = F.lit(((1 << HASH_BITS) - 1) << _PLACE)
+    return F.transform(runs, lambda run, i: F.xxhash64(run).bitwiseAND(high) + (F.lit(_MOST) - i))
 
 
 def _chosen(block: Column, gram: int, window: int) -> Column:
@@ -77,6 +77,13 @@ def _placed(numbers: Column, before: Column) -> Column:
     ))
 
 
+def _joined(parts: Column) -> Column:
+    """The fingerprints of stretches that follow each other; what two choose alike is kept once."""
+    return _let(F.flatten(parts), lambda found: F.filter(
+        found, lambda x, i: (i == 0) | (F.get(found, i - 1)["position"] != x["position"])
+    ))
+
+
 def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, block: int = BLOCK) -> Column:
     """The fingerprint of a text: an array of (hash, position), by position.
 
@@ -94,12 +101,48 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, block: int
         (b == 0) | (F.length(part) > reach),
         _placed(_chosen(part, gram, window), b.cast("long") * block),
     ).otherwise(F.array()))
-    seams = _let(F.flatten(each), lambda found: F.filter(
-        found, lambda x, i: (i == 0) | (F.get(found, i - 1)["position"] != x["position"])
-    ))
     return F.when(F.length(text) <= block + reach, F.when(
         F.length(text) > 0, _placed(_chosen(text, gram, window), F.lit(0).cast("long"))
-    ).otherwise(F.array())).otherwise(seams)
+    ).otherwise(F.array())).otherwise(_joined(each))
+
+
+def _head(found: Column, size: Column, window: int, reach: int) -> Column:
+    """What the windows inside the first ``size`` code points of a text choose, from its ``found``.
+
+    Choices never go back as windows go on, and the choice of a window is the least hash that the
+    fingerprint holds inside it. So these are all up to the choice of the last such window.
+    """
+    last = size - reach - 1
+    inside = F.filter(found, lambda x: (x["position"] >= last) & (x["position"] < last + window))
+    least = F.array_min(F.transform(inside, lambda x: F.struct(x["hash"], (-x["position"]).alias("at"))))
+    upto = _let(least, lambda x: F.filter(found, lambda y: y["position"] <= -x["at"]))
+    return F.when(last >= 0, upto).otherwise(F.array())
+
+
+def spliced(
+    text: Column, found: Column, other: Column, other_found: Column, head: Column, tail: Column,
+    gram: int = GRAM, window: int = WINDOW,
+) -> Column:
+    """The fingerprint of the first ``head`` code points of a text, then ``tail`` of an other one.
+
+    It comes from both fingerprints: only windows that stand across the seam are hashed anew.
+    ``head`` and ``tail`` are at most the lengths of the texts.
+    """
+    reach = gram + window - 2
+    before, after = F.least(head, F.lit(reach)), F.least(tail, F.lit(reach))
+    across = F.concat(text.substr(head - before + 1, before), other.substr(F.lit(1), after))
+    start = (head - before).cast("long")
+    moved = F.transform(_head(other_found, tail, window, reach), lambda x: F.struct(
+        x["hash"].alias("hash"), (x["position"] + head).alias("position")
+    ))
+    return F.when(
+        # Too short for a window, all of it is across the seam.
+        head + tail <= reach, fingerprint(across, gram, window)
+    ).otherwise(_joined(F.array(
+        _head(found, head, window, reach),
+        F.when(F.length(across) > reach, _placed(_chosen(across, gram, window), start)).otherwise(F.array()),
+        moved,
+    )))
 
 
 def hashes(found: Column) -> Column:
@@ -166,12 +209,17 @@ def edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("version", F.xxhash64("text"))
     found = followed(rows, ["doc_id", "version"], {"found": fingerprint(F.col("text"), gram, window)})
-    size = F.length("text")
-    half = F.floor(size / 2).cast("int")
-    text = F.concat(F.col("text").substr(F.lit(1), size - half), F.col("next_text").substr(F.lit(1), half))
-    both = found.withColumn("edited_text", text).withColumn(
-        "edited_found", fingerprint(F.col("edited_text"), gram, window)
-    )
+    half = F.floor(F.length("text") / 2).cast("int")
+    sized = found.withColumns({
+        "_head": F.length("text") - half, "_tail": F.least(half, F.length("next_text")),
+    })
+    text, other = F.col("text"), F.col("next_text")
+    both = sized.withColumns({
+        "edited_text": F.concat(text.substr(F.lit(1), F.col("_head")), other.substr(F.lit(1), F.col("_tail"))),
+        "edited_found": spliced(
+            text, F.col("found"), other, F.col("next_found"), F.col("_head"), F.col("_tail"), gram, window
+        ),
+    })
     near = both.withColumns({
         "_own": hashes(F.col("found")), "_edited": hashes(F.col("edited_found")),
         "_next": hashes(F.col("next_found")),

@@ -17,7 +17,7 @@ def plain(text, gram=winnow.GRAM, window=winnow.WINDOW):
     if not text:
         return []
     runs = [text[i : i + gram] for i in range(len(text) - gram + 1)] or [text]
-    values = [xxhash.xxh64(r.encode(), seed=42).intdigest() & MASK for r in runs]
+    values = [xxhash.xxh64(r.encode(), seed=42).intdigest() >> (63 - winnow.HASH_BITS) & MASK for r in runs]
     out = []
     for i in range(max(1, len(values) - window + 1)):
         seen = values[i : i + window]
