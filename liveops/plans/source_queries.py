@@ -22,7 +22,7 @@ def hexed(value, digits: int):
     return F.lpad(F.hex(value), digits, "0")
 
 
-def _joined(rows, key, place, piece):
+def joined(rows, key, place, piece):
     """Bytes of each bounded group in order."""
     return rows.groupBy(key).agg(
         F.array_join(
@@ -110,6 +110,11 @@ def playlist_entries(t):
     CAST(CASE WHEN (type = 9 AND b0 % 16 = 7) OR (type = 8 AND b0 // 16 = 10) THEN b1 END AS INTEGER)
     AS packet_type FROM flv_rows""", "flv_rows")
 def media_flv_tags(t):
+    return media_files.flv_tags(flv_files(t, 8)).drop("offset", "stream_id", "data", "error")
+
+
+def flv_files(t, tags: int):
+    """(path, kind, content) of files of ``tags`` consecutive ticks."""
     ts = F.col("user_id") * 100 + F.col("k") + 16777216 * (F.col("k") % 2)
     kind = F.element_at(F.array(F.lit("08"), F.lit("09"), F.lit("12")), F.col("k") % 3 + 1)
     first = F.element_at(
@@ -121,12 +126,11 @@ def media_flv_tags(t):
         F.lit("000000"), first, hexed(F.col("k") % 2, 2), F.repeat(F.lit("00"), extra),
         hexed(13 + extra, 8),
     )
-    rows = t.ticks().select(F.expr("event_id div 8").alias("file"), "event_id", tag.alias("tag"))
-    files = _joined(rows, "file", F.col("event_id"), F.col("tag")).select(
+    rows = t.ticks().select(F.expr(f"event_id div {tags}").alias("file"), "event_id", tag.alias("tag"))
+    return joined(rows, "file", F.col("event_id"), F.col("tag")).select(
         F.col("file").cast("string").alias("path"), F.lit("flv").alias("kind"),
         F.unhex(F.concat(F.lit("464C5601050000000900000000"), "_hex")).alias("content"),
     )
-    return media_files.flv_tags(files).drop("offset", "stream_id", "data", "error")
 
 
 @query("media_ts_packets", """SELECT CAST(event_id AS VARCHAR) AS path, CAST(0 AS BIGINT) AS pos,
@@ -156,10 +160,16 @@ def _box(name: str, body, size: int):
     o_orderkey * track AS duration, 'eng' AS language,
     CASE track WHEN 1 THEN 'vide' ELSE 'soun' END AS handler FROM orders, range(1, 3) r(track)""")
 def media_mp4_tracks(t):
+    return media_files.mp4_tracks(media_files.mp4_boxes(mp4_files(t.orders, "o_orderkey", 5)))
+
+
+def mp4_files(rows, key: str, body: int):
+    """(path, kind, content) of a file of two tracks and ``body`` media bytes for each row."""
+
     def track(n, scale, handler):
         # Version 0 header: times, scale, duration, packed language "eng".
         mdhd = F.concat(
-            F.lit("00" * 12), hexed(F.lit(scale), 8), hexed(F.col("o_orderkey") * n, 8),
+            F.lit("00" * 12), hexed(F.lit(scale), 8), hexed(F.col(key) * n, 8),
             F.lit("15C70000"),
         )
         hdlr = F.concat(F.lit("00" * 8), F.lit(handler.encode().hex()), F.lit("00" * 13))
@@ -167,32 +177,34 @@ def media_mp4_tracks(t):
         return _box("trak", _box("mdia", media, 65), 73)
 
     content = F.concat(
-        _box("mdat", F.lit("00" * 5), 5),
+        _box("mdat", F.lit("00" * body), body),
         _box("moov", F.concat(track(1, 90000, "vide"), track(2, 48000, "soun")), 162),
     )
-    files = t.orders.select(
-        F.col("o_orderkey").cast("string").alias("path"), F.lit("mp4").alias("kind"),
+    return rows.select(
+        F.col(key).cast("string").alias("path"), F.lit("mp4").alias("kind"),
         F.unhex(content).alias("content"),
     )
-    return media_files.mp4_tracks(media_files.mp4_boxes(files))
 
 
 @query("media_ws_frames", """SELECT CAST(doc_id AS VARCHAR) AS path, CAST(0 AS BIGINT) AS pos, true AS final,
     1 AS opcode, text FROM documents""")
 def media_ws_frames(t):
-    size = F.octet_length("text")
+    captures = t.documents.select(
+        F.col("doc_id").cast("string").alias("path"),
+        F.unhex(framed(F.col("text"), F.lit("00000000"))).alias("content"),
+    )
+    return media_files.ws_frames(captures).select("path", "pos", "final", "opcode", "text")
+
+
+def framed(text, mask):
+    """Hex of a text frame; ``mask`` is zero, so the body stands as it is."""
+    size = F.octet_length(text)
     length = (
         F.when(size < 126, hexed(size + 128, 2))
         .when(size < 65536, F.concat(F.lit("FE"), hexed(size, 4)))
         .otherwise(F.concat(F.lit("FF"), hexed(size, 16)))
     )
-    content = F.unhex(
-        F.concat(F.lit("81"), length, F.lit("00000000"), F.hex(F.encode("text", "utf-8")))
-    )
-    captures = t.documents.select(
-        F.col("doc_id").cast("string").alias("path"), content.alias("content")
-    )
-    return media_files.ws_frames(captures).select("path", "pos", "final", "opcode", "text")
+    return F.concat(F.lit("81"), length, mask, F.hex(F.encode(text, "utf-8")))
 
 
 @query("packet_rtmp", """SELECT event_id, CAST(k % 4 AS INTEGER) AS format,

@@ -1,22 +1,24 @@
 """Media files to rows: FLV tags, MP4 boxes and tracks, transport packets, frames.
 
-Files come from ``binaryFile``, one row each, so Spark spreads a corpus over the
-tasks; a task holds one file at a time. A damaged file gives the rows up to the
-damage and a last row that says what is wrong.
+These forms take whole files as values, from ``binaryFile`` or a table: for corpora of small
+files, and stores that only Spark reads. ``slices`` reads large files by ranges, with the same
+walks (``records``) and the same rows. A damaged file gives the rows up to the damage and a last
+row that says what is wrong; transport streams go on at the next packet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from liveops.sources.records import FORMATS, TS_SCHEMA, Bytes, batch_ts
+
 SUFFIXES = {".mp4": "mp4", ".flv": "flv", ".ts": "ts"}
 
 
@@ -29,8 +31,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return read.select("path", "length", kind.alias("kind"), "content")
 
 
-def _rows(df: DataFrame, parse: Callable[[bytes], Iterator[dict]], schema: str,
-          kind: str | None, batch: int = 4096) -> DataFrame:
+def _rows(df: DataFrame, parse, schema: str, kind: str | None, batch: int = 4096) -> DataFrame:
     """``parse`` each file's bytes into rows, sent on in small Arrow batches."""
     struct = StructType.fromDDL(f"path string, {schema}")
     arrow = to_arrow_schema(struct)
@@ -47,7 +48,7 @@ def _rows(df: DataFrame, parse: Callable[[bytes], Iterator[dict]], schema: str,
             rows = (
                 (path.as_py(), row)
                 for path, content in zip(held.column("path"), held.column("content"))
-                for row in parse(content.as_py())
+                for row in parse(Bytes(content.as_py()))
             )
             while made := list(islice(rows, batch)):
                 yield table(made)
@@ -56,46 +57,27 @@ def _rows(df: DataFrame, parse: Callable[[bytes], Iterator[dict]], schema: str,
     return chosen.select("path", "content").mapInArrow(run, struct)
 
 
-def _int(data: bytes, at: int, size: int) -> int:
-    return int.from_bytes(data[at : at + size], "big")
+def _walked(name: str):
+    """The rows of a whole file, numbered."""
 
+    def parse(source: Bytes) -> Iterator[dict]:
+        walk = FORMATS[name].walk(source, 0, False, source.length)
+        rows = (row for block in walk for row in block)
+        return ({"pos": pos, **row} for pos, row in enumerate(rows))
 
-# FLV --------------------------------------------------------------------------------------
-FLV_SCHEMA = (
-    "pos bigint, offset bigint, type int, size int, ts bigint, stream_id int, data binary, "
-    "error string"
-)
-
-
-def parse_flv(data: bytes) -> Iterator[dict]:
-    """Header, then previous-size words and tags of 11 header bytes and a body."""
-    if len(data) < 9 or data[:3] != b"FLV":
-        yield {"error": "no FLV header"}
-        return
-    at, pos = _int(data, 5, 4) + 4, 0
-    while at < len(data):
-        if at + 11 > len(data):
-            yield {"pos": pos, "offset": at, "error": "tag header cut"}
-            return
-        size = _int(data, at + 1, 3)
-        body = data[at + 11 : at + 11 + size]
-        if len(body) < size:
-            yield {"pos": pos, "offset": at, "error": "tag body cut"}
-            return
-        yield {
-            "pos": pos, "offset": at, "type": data[at] & 0x1F, "size": size,
-            # The eighth byte extends the 24-bit time upwards.
-            "ts": _int(data, at + 4, 3) | data[at + 7] << 24,
-            "stream_id": _int(data, at + 8, 3), "data": body,
-        }
-        at, pos = at + 11 + size + 4, pos + 1
+    return parse
 
 
+# FLV --------------------------------------------------------------------------------------
 def flv_tags(df: DataFrame) -> DataFrame:
     """One row per tag; frame type, codec and packet type from the first body bytes."""
+    return with_codecs(_rows(df, _walked("flv"), FORMATS["flv"].schema, "flv"))
+
+
+def with_codecs(rows: DataFrame) -> DataFrame:
+    """Tags with frame type, codec and packet type from the first bytes of their bodies."""
     from liveops.functions.binary import uint
 
-    rows = _rows(df, parse_flv, FLV_SCHEMA, "flv")
     first, second = uint("data", 0, 1), uint("data", 1, 1)
     audio, video = F.col("type") == 8, F.col("type") == 9
     return rows.withColumns(
@@ -117,9 +99,9 @@ MP4_SCHEMA = "depth int, box string, offset bigint, size bigint, track int, data
 KEPT = (b"mdhd", b"hdlr", b"tkhd", b"mvhd", b"ftyp")
 
 
-def parse_mp4(data: bytes) -> Iterator[dict]:
-    """Every box depth first; small header boxes with their body."""
-    spans, track = [(0, len(data), 0, None)], 0
+def parse_mp4(source: Bytes) -> Iterator[dict]:
+    """Every box depth first; small header boxes with their body. Other bodies are not read."""
+    spans, track = [(0, source.length, 0, None)], 0
     while spans:
         at, end, depth, owner = spans.pop()
         if at >= end:
@@ -127,12 +109,12 @@ def parse_mp4(data: bytes) -> Iterator[dict]:
         if at + 8 > end:
             yield {"depth": depth, "offset": at, "track": owner, "error": "box header cut"}
             return
-        size, name, head = _int(data, at, 4), data[at + 4 : at + 8], 8
+        size, name, head = source.number(at, 4), source.get(at + 4, 4), 8
         if size == 1:
             if at + 16 > end:
                 yield {"depth": depth, "offset": at, "track": owner, "error": "box header cut"}
                 return
-            size, head = _int(data, at + 8, 8), 16
+            size, head = source.number(at + 8, 8), 16
         elif size == 0:
             size = end - at
         label = name.decode("latin-1")
@@ -144,7 +126,7 @@ def parse_mp4(data: bytes) -> Iterator[dict]:
         if name == b"trak":
             track += 1
             mine = track
-        body = data[at + head : at + size] if name in KEPT else None
+        body = source.get(at + head, size - head) if name in KEPT else None
         yield {"depth": depth, "box": label, "offset": at, "size": size, "track": mine,
                "data": body}
         spans.append((at + size, end, depth, owner))
@@ -182,87 +164,32 @@ def mp4_tracks(boxes: DataFrame) -> DataFrame:
 
 
 # transport stream ---------------------------------------------------------------------------
-PACKET, SYNC = 188, 0x47
-
-
-def ts_packets(df: DataFrame) -> DataFrame:
+def ts_packets(df: DataFrame, step: int = 1 << 16) -> DataFrame:
     """Header fields of every 188-byte packet, read as columns of a byte matrix.
 
-    ``error`` marks packets without the sync byte and a cut last packet.
+    ``error`` marks packets without the sync byte, short of bytes, and a cut last packet.
     """
-    struct = StructType.fromDDL(
-        "path string, pos bigint, pid int, error_flag int, unit_start int, priority int, "
-        "scrambling int, adaptation int, cc int, error string"
-    )
+    struct = StructType.fromDDL(f"path string, {TS_SCHEMA}")
     arrow = to_arrow_schema(struct)
 
-    def run(batches, step=65536):
+    def run(batches):
         for held in batches:
             parts, count = [], 0
             for path, content in zip(held.column("path"), held.column("content")):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)
-                whole, rest = divmod(len(raw), PACKET)
-                matrix = raw[: whole * PACKET].reshape(whole, PACKET)
-                for low in range(0, whole, step):
-                    head = matrix[low : low + step, :4].astype(np.int32)
-                    parts.append((path.as_py(), low, head, False))
-                    count += len(head)
+                source, first = Bytes(content.as_py()), 0
+                for packets in FORMATS["ts"].walk(source, 0, False, source.length):
+                    parts.append((path.as_py(), first, packets))
+                    first, count = first + len(packets), count + len(packets)
                     if count >= step:
-                        yield table(parts)
+                        yield batch_ts(parts, arrow)
                         parts, count = [], 0
-                if rest:
-                    parts.append((path.as_py(), whole, np.zeros((1, 4), np.int32), True))
             if parts:
-                yield table(parts)
-
-    def table(parts):
-        paths = [path for path, _, head, _ in parts for _ in range(len(head))]
-        pos = np.concatenate([low + np.arange(len(head)) for _, low, head, _ in parts])
-        cut = np.concatenate([np.full(len(head), short) for _, _, head, short in parts])
-        b0, b1, b2, b3 = np.concatenate([head for _, _, head, _ in parts]).T
-        fields = (
-            (b1 & 31) << 8 | b2, b1 >> 7, b1 >> 6 & 1, b1 >> 5 & 1, b3 >> 6, b3 >> 4 & 3, b3 & 15,
-        )
-        error = np.where(cut, "packet cut", np.where(b0 == SYNC, "", "no sync byte"))
-        columns = [pa.array(paths, pa.string()), pa.array(pos, pa.int64())]
-        columns += [pa.array(v, pa.int32(), mask=cut) for v in fields]
-        columns.append(pa.array(error, pa.string(), mask=error == ""))
-        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+                yield batch_ts(parts, arrow)
 
     return df.where(F.col("kind") == "ts").select("path", "content").mapInArrow(run, struct)
 
 
 # web-socket frames ---------------------------------------------------------------------------
-WS_SCHEMA = "pos bigint, offset bigint, final boolean, opcode int, size bigint, text string, error string"
-
-
-def parse_ws(data: bytes) -> Iterator[dict]:
-    """Masked client frames one after another; lengths of 7, 16 or 64 bits."""
-    at, pos = 0, 0
-    while at < len(data):
-        if at + 2 > len(data):
-            yield {"pos": pos, "offset": at, "error": "frame header cut"}
-            return
-        size, head = data[at + 1] & 127, 2
-        if size >= 126:
-            extra = 2 if size == 126 else 8
-            size, head = _int(data, at + 2, extra), 2 + extra
-        masked = data[at + 1] >> 7
-        begin = at + head + 4 * masked
-        if begin + size > len(data):
-            yield {"pos": pos, "offset": at, "size": size, "error": "frame cut"}
-            return
-        body = np.frombuffer(data, np.uint8, size, begin)
-        if masked:
-            mask = np.frombuffer(data, np.uint8, 4, at + head)
-            body = body ^ np.resize(mask, size)
-        yield {
-            "pos": pos, "offset": at, "final": bool(data[at] >> 7), "opcode": data[at] & 15,
-            "size": size, "text": body.tobytes().decode("utf-8", "replace"),
-        }
-        at, pos = begin + size, pos + 1
-
-
 def ws_frames(captures: DataFrame) -> DataFrame:
     """Unmasked text of the frames in each capture (path, content)."""
-    return _rows(captures, parse_ws, WS_SCHEMA, None)
+    return _rows(captures, _walked("ws"), FORMATS["ws"].schema, None)
