@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liveops.operators import keyed
-from liveops.operators.fold import fold
 from liveops.operators.membership import steps
 from liveops.operators.numbered import numbered
 from liveops.operators.ordered import following, ordered, position, previous, total
+from liveops.operators.replay import Steps, coupled
 
 
 def all_channels(cameras: DataFrame, relays: DataFrame) -> DataFrame:
@@ -101,11 +101,18 @@ def admit_step(state: dict, row: dict) -> list[dict]:
              "http": status}]
 
 
+ADMISSION = Steps(
+    full_begin, admit_step,
+    freeze=lambda state: sorted(state["inside"]), thaw=lambda frozen: {"inside": set(frozen)},
+)
+
+
 def admit_live(signals: DataFrame, limit: int, inclusive_overflow: bool = True) -> DataFrame:
     """Admission where leaving viewers free their place.
 
     Whoever is admitted also asked, so a channel nobody asks for is empty: its
-    rows are cut there into stretches that run independently.
+    rows are cut there into stretches that run independently. A long stretch is run in blocks,
+    from nobody inside and from who the block before leaves inside, until both runs agree.
     """
     step = F.when(F.col("action") == "JOIN", 1).otherwise(-1).cast("bigint")
     rows = ordered(
@@ -118,14 +125,13 @@ def admit_live(signals: DataFrame, limit: int, inclusive_overflow: bool = True)
     stretched = by_channel.running(
         stretch=total(F.when(F.col("_asked") == 0, 1).otherwise(0).cast("bigint"), inclusive=False)
     ).map({"stretch": F.coalesce("stretch", F.lit(0).cast("bigint"))})
-    return fold(
+    return coupled(
         stretched.df.select("channel", "stretch", "client", "action", "us", "event_id").withColumn(
             "allowed", F.lit(_allowed(limit, inclusive_overflow))
         ),
         ["channel", "stretch"],
         ["us", "event_id"],
-        full_begin,
-        admit_step,
+        ADMISSION,
         "channel bigint, client bigint, us bigint, event_id bigint, http int",
     )
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liveops.operators.fold import fold
 from liveops.operators.joins import during
 from liveops.operators.ordered import following, ordered, previous, total
+from liveops.operators.replay import composed
 
 TYPES = ("CAMERA", "PC")
 ACTIONS = ("CREATE", "JOIN", "LEAVE", "CANCEL")
@@ -98,6 +98,46 @@ def member_finish(state: dict) -> list[dict]:
     return [_spell(state, state["until"])] if state["channel"] is not None else []
 
 
+class Member:
+    """The machine of a client; who enters a block inside is one of two open classes.
+
+    A client inside is out again when the channel ends (``upto``) or by a LEAVE of the channel,
+    whichever is first; nothing else changes for them.
+    """
+
+    begin, step, finish = staticmethod(_begin), staticmethod(member_step), staticmethod(member_finish)
+
+    def freeze(self, state):
+        if state["channel"] is None:
+            return None
+        return [state["channel"], state["until"], state["since"], state["since_id"]]
+
+    def thaw(self, frozen):
+        return _begin() if frozen is None else dict(zip(("channel", "until", "since", "since_id"), frozen))
+
+    def known(self):
+        return [None]
+
+    def before(self, opened, row):
+        if opened.get("upto") == row["us"]:
+            return []
+        opened["upto"] = row["us"]
+        return [({"upto": row["us"]}, None)]
+
+    def after(self, opened, row):
+        left = opened.setdefault("left", set())
+        if row["action"] != "LEAVE" or row["channel"] in left:
+            return []
+        left.add(row["channel"])
+        return [({"channel": row["channel"]}, None)]
+
+    def matches(self, kind, frozen):
+        if frozen is None:
+            return False
+        channel, until = frozen[:2]
+        return kind["channel"] == channel if "channel" in kind else until is not None and until <= kind["upto"]
+
+
 def machine(signals: DataFrame) -> DataFrame:
     """Membership spans under CREATE, JOIN, LEAVE and CANCEL.
 
@@ -117,14 +157,12 @@ def machine(signals: DataFrame) -> DataFrame:
     known = known.where((action != "CREATE") | opened).withColumn(
         "action", F.when(opened, "JOIN").otherwise(action)
     )
-    return fold(
+    return composed(
         known.select("client", "channel", "action", "us", "event_id", "alive", "alive_until"),
         ["client"],
         ["us", "event_id"],
-        _begin,
-        member_step,
+        Member(),
         "client bigint, channel bigint, from_us bigint, to_us bigint, from_id bigint",
-        member_finish,
     )
 
 

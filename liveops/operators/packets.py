@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from liveops.functions.arrays import saturate
 from liveops.functions.binary import bits, uint
 from liveops.operators import keyed
-from liveops.operators.fold import fold
 from liveops.operators.ordered import (
     Ordered, highest, latest, ordered, position, previous, smooth, total,
 )
+from liveops.operators.replay import Steps, composed, coupled
 
 ARRIVAL = ["us", "event_id"]
 RTP_VERSION = 2
@@ -344,12 +344,22 @@ def playout_finish(state: dict) -> list[dict]:
     return [_emit(e, "played", e[1] + state["depth"]) for e in state["buffer"] or []]
 
 
+def playout_freeze(state: dict):
+    return [state["buffer"], state["played"], state["buffering"]]
+
+
+def playout_thaw(frozen) -> dict:
+    buffer, played, buffering = frozen
+    return {"buffer": [tuple(entry) for entry in buffer], "played": played, "buffering": buffering}
+
+
 def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None = None) -> DataFrame:
     """Fate of every packet in a play-out buffer: played, late or overflow.
 
     After a silence of ``depth_us`` the buffer has drained and the last packet
     played is the highest so far, so each stream is cut at such silences and the
-    pieces run independently.
+    pieces run independently. A stream without silences is run in blocks, from an empty buffer
+    and from the one the block before leaves, until both runs hold the same.
     """
     rows = unwrap(arrivals(df.select("stream", "seq", *ARRIVAL)), "seq", 16, "useq").running(
         _us=previous("us"), _top=highest("useq", inclusive=False)
@@ -363,16 +373,16 @@ def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None =
         "played": F.col("_top"),
     }
 
-    def finish(state):
-        return playout_finish(state | {"depth": depth_us})
-
-    return fold(
+    machine = Steps(
+        playout_begin, playout_step, playout_freeze, playout_thaw,
+        finish=lambda state: playout_finish(state | {"depth": depth_us}),
+    )
+    return coupled(
         rows.map(settings).df.select(
             "stream", "piece", *ARRIVAL, "useq", "played", "depth_us", "payload_us", "max_us"
         ),
-        ["stream", "piece"], ARRIVAL, playout_begin, playout_step,
+        ["stream", "piece"], ARRIVAL, machine,
         "stream bigint, useq bigint, us bigint, event_id bigint, status string, out_us bigint",
-        finish,
     )
 
 
@@ -442,20 +452,89 @@ def connection_step(state: dict, row: dict) -> list[dict]:
     }]
 
 
+class Connection:
+    """The machine of a connection, whose expected number is unbounded."""
+
+    #: Entry states with an expected number that matters; in the others it does not.
+    counting = ("SYN_SENT", "ESTABLISHED", "CLOSE_WAIT")
+
+    begin, step = staticmethod(connection_begin), staticmethod(connection_step)
+
+    def finish(self, state):
+        return []
+
+    def freeze(self, state):
+        return [state["state"], state["expected"] if state["state"] in self.counting else 0]
+
+    def thaw(self, frozen):
+        return dict(zip(("state", "expected"), frozen))
+
+    def known(self):
+        return [["LISTEN", 0], ["CLOSED", 0]]
+
+    def before(self, opened, row):
+        return []
+
+    def after(self, opened, row):
+        """Expected numbers that the row tells apart from others, with where it leads them.
+
+        A row compares the expected number with its own, one less or one more, so numbers beyond
+        those all go one way; two of them show whether that is to one state or to where they were.
+        """
+        seq = row["seq"] if row["seq"] is not None else 0
+        out = []
+        for name in self.counting:
+            low = opened.setdefault(name, {"above": None, "done": set(), "all": False})
+            if low["all"]:
+                continue
+
+            def led(expected, name=name):
+                state = {"state": name, "expected": expected}
+                connection_step(state, row)
+                return self.freeze(state)
+
+            ends = {x: led(x) for x in range(seq - 3, seq + 4)}
+            under, over = (
+                ends[a] if ends[a] == ends[b] else None for a, b in ((seq - 3, seq - 2), (seq + 2, seq + 3))
+            )
+            if under is not None and all(end == under for end in ends.values()):
+                out.append(({"state": name, "low": None, "high": None}, under))
+                low["all"] = True
+                continue
+            if over is not None:
+                raise ValueError("rows must not tell large numbers from small ones only")
+            if under is not None:
+                high = max(x for x in ends if all(ends[y] == under for y in range(seq - 3, x + 1)))
+                if low["above"] is None or high > low["above"]:
+                    out.append(({"state": name, "low": None, "high": high}, under))
+                    low["above"] = high
+            for x in (seq - 1, seq, seq + 1):
+                known = x in low["done"] or (low["above"] is not None and x <= low["above"])
+                if not known and ends[x] != [name, x]:
+                    out.append(({"state": name, "low": x, "high": x}, ends[x]))
+                    low["done"].add(x)
+        return out
+
+    def matches(self, kind, frozen):
+        return kind["state"] == frozen[0] and (
+            kind["low"] is None or kind["low"] <= frozen[1]
+        ) and (kind["high"] is None or frozen[1] <= kind["high"])
+
+
 def connections(trace: DataFrame) -> DataFrame:
     """State after each row of a trace per ``stream`` and whether its data were delivered.
 
     A FIN leaves every state but those after a local CLOSE in LISTEN, so traces
-    are cut after each FIN until a CLOSE is seen.
+    are cut after each FIN until a CLOSE is seen. Long pieces are shared by their maps of states.
     """
     closed = F.col("kind").isin("CLOSE").cast("bigint")
     rows = ordered(trace, ["stream"], ARRIVAL).running(_closed=total(closed))
     cut = ((F.col("kind") == "FIN") & (F.col("_closed") == 0)).cast("bigint")
     rows = rows.map({"_cut": cut}).running(piece=total("_cut", inclusive=False))
     rows = rows.map({"piece": F.coalesce("piece", F.lit(0).cast("bigint"))})
-    return fold(
+    return composed(
         rows.df.select("stream", "piece", *ARRIVAL, "kind", "seq"),
-        ["stream", "piece"], ARRIVAL, connection_begin, connection_step,
+        ["stream", "piece"], ARRIVAL, Connection(),
         "stream bigint, us bigint, event_id bigint, kind string, seq int, state string, "
         "delivered boolean",
     )

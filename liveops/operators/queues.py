@@ -7,8 +7,8 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liveops.operators.fold import fold
 from liveops.operators.ordered import lowest, ordered, total
+from liveops.operators.replay import Steps, coupled
 
 ARRIVAL = ["us", "event_id"]
 # Fixed value: frames queued per viewer.
@@ -37,13 +37,20 @@ def queue_step(state: dict, row: dict) -> list[dict]:
     return out
 
 
+QUEUE = Steps(
+    queue_begin, queue_step,
+    freeze=lambda state: list(state["queue"]), thaw=lambda frozen: {"queue": deque(map(tuple, frozen))},
+)
+
+
 def backlog(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Frames dropped from each ``viewer``'s queue and the arrival that pushed them out.
 
     ``rows`` hold arrivals (``is_key``) and services (``served`` frames) in order.
     A queue without a bound is never shorter, so wherever that one, found by
     running sums, is empty, the bounded one is too: rows are cut there, and where
-    a whole queue's worth is served at once.
+    a whole queue's worth is served at once. A queue that never empties is run in blocks, from
+    empty and from what the block before leaves, until both runs hold the same frames.
     """
     step = F.when(F.col("served").isNull(), F.lit(1)).otherwise(-F.col("served")).cast("bigint")
     timed = ordered(rows.withColumn("_step", step), ["viewer"], ARRIVAL).running(_sum=total("_step"))
@@ -55,11 +62,11 @@ def backlog(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     timed = timed.map({"_empty": empty.cast("bigint")}).running(
         piece=total("_empty", inclusive=False)
     )
-    return fold(
+    return coupled(
         timed.df.select(
             "viewer", F.coalesce("piece", zero).alias("piece"), *ARRIVAL, "is_key", "served",
             F.lit(capacity).alias("capacity"),
         ),
-        ["viewer", "piece"], ARRIVAL, queue_begin, queue_step,
+        ["viewer", "piece"], ARRIVAL, QUEUE,
         "viewer bigint, event_id bigint, dropped_by bigint",
     )

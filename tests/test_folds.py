@@ -6,15 +6,23 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from liveops.operators import channels, limits, membership, packets, playlist, queues, series
+from liveops.operators import channels, limits, membership, packets, playlist, queues, replay, series
 from liveops.operators.ordered import HOT_ROWS, ordered, smooth
 from liveops.streaming import streams
 
 
-@pytest.fixture(params=[None, "20"], ids=["whole", "blocks"], autouse=True)
-def hot(request, spark):
-    if request.param:
-        spark.conf.set(HOT_ROWS, request.param)
+SHARED = ("test_backlog", "test_admit_live", "test_playout", "test_connections", "test_membership_machine")
+
+
+@pytest.fixture(params=["whole", "blocks", "parts"], autouse=True)
+def hot(request, spark, monkeypatch):
+    """Keys as a whole, keys over a row threshold in blocks, and rows in few parts of like size."""
+    if request.param == "blocks":
+        spark.conf.set(HOT_ROWS, "20")
+    if request.param == "parts":
+        if request.function.__name__ not in SHARED:
+            pytest.skip("runs no shared replay")
+        monkeypatch.setattr(replay, "part_count", lambda df: 9)
     yield
     spark.conf.unset(HOT_ROWS)
 
