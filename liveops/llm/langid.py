@@ -5,8 +5,8 @@ four bytes and for the whole word (a lexicon), hashed into one table of weights
 of neighbouring words are tied by learned transitions. Texts are read whole: forward-backward
 gives each word's probabilities, and a text's language is the one with the largest mean.
 
-The field is fitted on the driver on a bounded sample: of every language the ``DOCS`` labelled
-texts of least hash, and of each of them ``SPAN`` words from a hashed start. Texts of one
+The field is fitted on the driver on a bounded sample: of each of at most ``LABELS`` languages
+``DOCS`` labelled texts of least hash, and of each of them ``SPAN`` words from a hashed start. Texts of one
 language never change label, so the sample is spliced into sequences of short spans from
 different languages, from which the cost of a switch is learned. Prediction reads every word.
 """
@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 
 from liveops.llm.words import CASED, Words, chunks, mix, split, text_bytes
 
-#: The bound of the training sample: texts of each language, and words of each text.
-DOCS, SPAN = 300, 120
+#: The bounds of the training sample: texts of each language, words of each text, languages.
+DOCS, SPAN, LABELS = 300, 120, 64
+#: Ranges of hashes in which the texts of a language are looked for.
+RANGES = 4096
+#: Words whose probabilities are held at a time, and bytes of distinct words with their features.
+PIECE, FEATURE_BYTES = 1 << 16, 1 << 18
 BITS = 18
 EPOCHS, RATE = 4, 0.3
 #: Texts of the pipeline below this mean probability of their best language go.
@@ -103,74 +107,152 @@ class Field:
     def scores(self, words: pa.Array) -> np.ndarray:
         """The score of each label for each distinct word."""
         out = np.zeros((len(words), len(self.labels)))
+        ends = np.cumsum(pc.binary_length(words).to_numpy(False), dtype=np.int64)
+        start = 0
+        while start < len(words):
+            # Features of some words at a time: a dozen for each byte.
+            upto = (ends[start - 1] if start else 0) + FEATURE_BYTES
+            stop = max(start + 1, int(np.searchsorted(ends, upto, "right")))
+            self._score(words.slice(start, stop - start), out[start:stop])
+            start = stop
+        return out
+
+    def _score(self, words: pa.Array, out: np.ndarray) -> None:
         for numbers, owners in _features(words):
             values = self.weights[numbers]
             heads = np.flatnonzero(np.diff(owners, prepend=-1))
             if len(heads) < len(owners):
                 values = np.add.reduceat(values, heads, axis=0)
             out[owners[heads]] += values
-        return out
+
+    def steps(self, scores: np.ndarray, first: np.ndarray) -> _Steps:
+        return _Steps(self, scores, first)
 
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities of words in one row, and those given only what stands before.
 
         ``first`` marks the first word of each text.
+        """
+        return self.steps(scores, first).marginals()
+
+    def chances(self, scores: np.ndarray, codes: np.ndarray, starts: np.ndarray):
+        """Label probabilities of a row of words, in pieces: (place of the first word, matrix).
+
+        ``scores`` are those of the distinct words, ``starts`` the first words of texts. Whole
+        texts go together up to ``PIECE`` words. A longer text is cut: the product of each piece
+        is taken first, and what it hands on in either direction makes the pieces exact.
+        """
+        first = np.zeros(len(codes), bool)
+        first[starts] = True
+        ends = np.append(starts[1:], len(codes))
+        a = 0
+        while a < len(codes):
+            within = int(np.searchsorted(ends, a + PIECE, "right"))
+            b = int(ends[within - 1]) if within and ends[within - 1] > a else a
+            if b > a:
+                yield a, self.marginals(scores[codes[a:b]], first[a:b])[0]
+                a = b
+                continue
+            b = int(ends[within])
+            cuts = [(c, min(c + PIECE, b)) for c in range(a, b, PIECE)]
+            products = [self.steps(scores[codes[c:d]], first[c:d]).product() for c, d in cuts]
+            k = len(self.labels)
+            ahead, behind = [np.full(k, 1 / k)], [np.full(k, 1 / k)]
+            for product in products[:-1]:
+                ahead.append(_share(ahead[-1] @ product))
+            for product in products[:0:-1]:
+                behind.append(_share(product @ behind[-1]))
+            for (c, d), before, after in zip(cuts, ahead, behind[::-1], strict=True):
+                yield c, self.steps(scores[codes[c:d]], first[c:d]).marginals(before, after)[0]
+            a = b
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    return x / x.sum()
+
+
+class _Steps:
+    """Forward-backward over words in one row, exact and run in parallel.
+
+    The row is cut into blocks that lie side by side; the product of the steps of each block is
+    taken for all blocks at once, and these are chained. At the first word of a text a step
+    forgets what came before. Only the last block can be shorter: it ends before the others.
+    """
+
+    def __init__(self, field: Field, scores: np.ndarray, first: np.ndarray):
+        self.total, self.k = total, k = scores.shape
+        self.length = length = max(1, int(np.sqrt(total)))
+        self.blocks = blocks = -(-total // length)
+        emit = np.ones((blocks * length, k))
+        emit[:total] = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -50))
+        self.emit = np.ascontiguousarray(emit.reshape(blocks, length, k).transpose(1, 0, 2))
+        fresh = np.zeros(blocks * length, bool)
+        fresh[:total] = first
+        self.fresh = [np.flatnonzero(row) for row in fresh.reshape(blocks, length).T]
+        filled = total - (blocks - 1) * length
+        self.live = [blocks if i < filled else blocks - 1 for i in range(length)]
+        self.move = np.exp(field.transition - field.transition.max())
+        self.begin = np.exp(field.start - field.start.max())
+
+    def products(self) -> np.ndarray:
+        """The product of the steps of each block, up to a factor."""
+        k = self.k
+        out = np.tile(np.eye(k), (self.blocks, 1, 1))
+        for i, (n, fresh) in enumerate(zip(self.live, self.fresh, strict=True)):
+            moved = (out[:n].reshape(-1, k) @ self.move).reshape(n, k, k)
+            if len(fresh):
+                moved[fresh] = out[fresh].sum(2)[:, :, None] * self.begin
+            out[:n] = moved * self.emit[i][:n, None, :]
+            if i % 6 == 5 or i == self.length - 1:
+                out /= out.sum((1, 2), keepdims=True)
+        return out
+
+    def product(self) -> np.ndarray:
+        """The product of all steps, up to a factor."""
+        out = np.eye(self.k)
+        for one in self.products():
+            out = out @ one
+            out /= out.sum()
+        return out
+
+    def marginals(self, before=None, after=None) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities, and those given only what stands before.
 
-        Exact forward-backward, run in parallel: the row is cut into blocks, the product of the
-        steps of each block is taken for all blocks at once, and these are chained. At the first
-        word of a text a step forgets what came before.
+        ``before`` and ``after`` weigh the labels at either end, if the row is part of a text.
         """
-        total, k = scores.shape
-        length = max(1, int(np.sqrt(total)))
-        blocks = -(-total // length)
-        pad = blocks * length - total
-        emit = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -50))
-        emit = np.concatenate([emit, np.ones((pad, k))]).reshape(blocks, length, k)
-        emit = np.ascontiguousarray(emit.transpose(1, 0, 2))
-        fresh = np.concatenate([first, np.zeros(pad, bool)]).reshape(blocks, length).T
-        fresh = [np.flatnonzero(row) for row in fresh]
-        move = np.exp(self.transition - self.transition.max())
-        begin = np.exp(self.start - self.start.max())
-
-        product = np.broadcast_to(np.eye(k), (blocks, k, k))
-        for i in range(length):
-            moved = (product.reshape(-1, k) @ move).reshape(blocks, k, k)
-            if len(fresh[i]):
-                moved[fresh[i]] = product[fresh[i]].sum(2)[:, :, None] * begin
-            product = moved * emit[i][:, None, :]
-            if i % 6 == 5 or i == length - 1:
-                product /= product.sum((1, 2), keepdims=True)
+        blocks, k, emit, move = self.blocks, self.k, self.emit, self.move
+        product = self.products()
         ahead, behind = np.empty((blocks, k)), np.empty((blocks, k))
-        vector = np.full(k, 1 / k)
+        vector = np.full(k, 1 / k) if before is None else before
         for b in range(blocks):
             ahead[b] = vector
-            vector = vector @ product[b]
-            vector = vector / vector.sum()
-        vector = np.full(k, 1 / k)
+            vector = _share(vector @ product[b])
+        vector = np.full(k, 1 / k) if after is None else after
         for b in range(blocks - 1, -1, -1):
             behind[b] = vector
-            vector = product[b] @ vector
-            vector = vector / vector.sum()
-        forward = np.empty((length, blocks, k))
-        both = np.empty((length, blocks, k))
+            vector = _share(product[b] @ vector)
+        del product
+        forward, both = np.zeros((2, self.length, blocks, k))
         state = ahead
-        for i in range(length):
-            moved = state @ move
-            if len(fresh[i]):
-                moved[fresh[i]] = state[fresh[i]].sum(1)[:, None] * begin
-            state = moved * emit[i]
-            state /= state.sum(1, keepdims=True)
+        for i, (n, fresh) in enumerate(zip(self.live, self.fresh, strict=True)):
+            moved = state[:n] @ move
+            if len(fresh):
+                moved[fresh] = state[fresh].sum(1)[:, None] * self.begin
+            moved *= emit[i][:n]
+            state[:n] = moved / moved.sum(1, keepdims=True)
             forward[i] = state
         state = behind
-        for i in range(length - 1, -1, -1):
-            both[i] = forward[i] * state
-            state = state * emit[i]
-            moved = state @ move.T
-            if len(fresh[i]):
-                moved[fresh[i]] = (state[fresh[i]] @ begin)[:, None]
-            state = moved / moved.sum(1, keepdims=True)
-        forward, both = (x.transpose(1, 0, 2).reshape(-1, k)[:total] for x in (forward, both))
-        return both / both.sum(1, keepdims=True), forward
+        for i in range(self.length - 1, -1, -1):
+            n, fresh = self.live[i], self.fresh[i]
+            both[i, :n] = forward[i, :n] * state[:n]
+            seen = state[:n] * emit[i][:n]
+            moved = seen @ move.T
+            if len(fresh):
+                moved[fresh] = (seen[fresh] @ self.begin)[:, None]
+            state[:n] = moved / moved.sum(1, keepdims=True)
+        forward, both = (x.transpose(1, 0, 2).reshape(-1, k)[: self.total] for x in (forward, both))
+        both /= both.sum(1, keepdims=True)
+        return both, forward
 
 
 def _fit(field: Field, sequences: list[tuple[np.ndarray, np.ndarray]], numbers, starts) -> None:
@@ -220,17 +302,24 @@ def _fit(field: Field, sequences: list[tuple[np.ndarray, np.ndarray]], numbers,
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The bounded training sample: lang, text and hash of ``DOCS`` texts of each language."""
+    """The bounded training sample: lang, text and hash of ``DOCS`` texts of each language.
+
+    Of more than ``LABELS`` languages those with the most rows are learned (ties by name). Texts
+    are found by least hash, first in ``RANGES`` ranges of hashes, where rows combine before the
+    shuffle, then among the ranges: no task sees more than ``RANGES`` rows of a language.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", "text", F.xxhash64("text").alias("hash")
     )
-    chosen = (
-        known.select("lang", "hash").distinct()
-        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("hash")))
+    learned = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
+    least = (
+        known.groupBy("lang", F.pmod("hash", F.lit(RANGES)).alias("range"))
+        .agg(F.min(F.xxhash64("hash")).alias("order"), F.min_by("hash", F.xxhash64("hash")).alias("hash"))
+        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("order")))
         .where(F.col("n") <= DOCS)
-        .drop("n")
     )
-    # At most ``DOCS`` hashes of each language.
+    # At most ``LABELS`` languages, and ``DOCS`` hashes of each.
+    chosen = least.join(F.broadcast(learned.select("lang")), "lang", "left_semi").select("lang", "hash")
     return known.join(F.broadcast(chosen), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
 
 
@@ -285,24 +374,26 @@ def fit(docs: DataFrame) -> Field:
     return field
 
 
-def _chances(field: Field, texts: pa.Array) -> tuple[Words, np.ndarray]:
-    words, lower = _worded(texts)
-    if not len(words.codes):
-        return words, np.zeros((0, len(field.labels)))
-    first = np.zeros(len(words.codes) + 1, bool)
-    first[words.offsets[:-1]] = True
-    return words, field.marginals(field.scores(lower)[words.codes], first[:-1])[0]
+def _chances(field: Field, words: Words, lower: pa.Array):
+    starts = words.offsets[:-1][words.counts > 0]
+    return field.chances(field.scores(lower), words.codes, starts)
 
 
 def _predicted(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if field.labels:
-        words, chance = _chances(field, texts)
+        words, lower = _worded(texts)
         full = np.flatnonzero(words.counts)
+        starts, sums = words.offsets[:-1][full], np.zeros((len(full), len(field.labels)))
+        for a, chance in _chances(field, words, lower):
+            # Texts with words in this piece; the first may have begun in one before.
+            low = int(np.searchsorted(starts, a, "right")) - 1
+            high = int(np.searchsorted(starts, a + len(chance)))
+            sums[low:high] += np.add.reduceat(chance, np.maximum(starts[low:high], a) - a, axis=0)
+        mean = sums / words.counts[full][:, None]
         if len(full):
-            sums = np.add.reduceat(chance, words.offsets[:-1][full], axis=0)
-            mean = sums / words.counts[full][:, None]
-            best[full] = np.clip(mean.max(1), 0, 1)
+            # Sums of other neighbours in a piece differ in the last digits.
+            best[full] = np.clip(mean.max(1), 0, 1).round(9)
             for d, j in zip(full, mean.argmax(1), strict=True):
                 names[d] = field.labels[j]
     return names, best
@@ -312,8 +403,8 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text).
 
     lang_pred is ``und`` and score 0 for a null text, one without a letter, or if nothing was
-    learned. Otherwise score is the mean probability of lang_pred over the words with a letter;
-    ties go to the first label by name. Rows that repeat are each predicted.
+    learned. Otherwise score is the mean probability of lang_pred over the words with a letter,
+    to nine digits; ties go to the first label by name. Rows that repeat are each predicted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +420,8 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
 
 def word_labels(texts: list[str | None], field: Field) -> list[list[str]]:
     """The likeliest label of each word with a letter, for a few texts at hand."""
-    words, chance = _chances(field, pa.array(texts, pa.string()))
-    named = [field.labels[j] for j in chance.argmax(1)] if len(chance) else []
+    words, lower = _worded(pa.array(texts, pa.string()))
+    named = [field.labels[j] for _, chance in _chances(field, words, lower) for j in chance.argmax(1)]
     return [named[a:b] for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
 
 
