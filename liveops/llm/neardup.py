@@ -282,7 +282,11 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         .groupBy("least", "most", "count", "who").agg(F.min("key").alias("key"))
         .select("key", "count")
     )
-    buckets = others.select("key", "node").join(mixed, "key").join(known, "node")
+    # A node has at most one key in each table, so its keys fit a row, and it is joined once.
+    keys = others.select("key", "node").join(mixed, "key").groupBy("node").agg(
+        F.collect_list(F.struct("key", "count")).alias("keys")
+    )
+    buckets = keys.join(known, "node").select("*", F.inline("keys")).drop("keys")
     buckets = _paired(buckets, "key", F.ceil(F.col("count") / BLOCK))
     rough = buckets.groupBy("key", "low", "high").applyInArrow(_likely_forest, "a long, b long")
     trees = components(rough).withColumnRenamed("component", "tree")
