@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: When a row came in: the time of its micro-batch, never behind the watermark.
+ARRIVED = "_arrived"
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -31,14 +33,14 @@ def _value(value, integral=False):
 class Machine(StatefulProcessor):
     """Runs ``step(state, row)`` over each key's rows of a micro-batch in order.
 
-    With ``silence_us`` a timer goes off once event time is that far past a key's last
-    row; ``finish(state)`` then returns output rows and the state to keep, if any.
+    With ``patience_us`` a timer goes off once nothing of a key has arrived for that long;
+    ``finish(state)`` then returns output rows and the state to keep, if any.
     """
 
-    def __init__(self, keys, order, begin, step, integral, out, finish=None, silence_us=None):
+    def __init__(self, keys, order, begin, step, integral, out, finish=None, patience_us=None):
         self.keys, self.order, self.begin = list(keys), list(order), begin
         self.step, self.integral, self.out = step, integral, out
-        self.finish, self.silence_us = finish, silence_us
+        self.finish, self.patience_us = finish, patience_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -63,15 +65,12 @@ class Machine(StatefulProcessor):
             row = {n: _value(v, whole) for (n, whole), v in zip(columns, values)}
             out.extend(self.step(state, row))
         self.state.update((pickle.dumps(state),))
-        if self.silence_us is not None:
-            timers = list(self.handle.listTimers())
-            # Rows of an earlier time leave the later timer as it is.
-            at = max([-(-(int(batch["us"].max()) + self.silence_us) // 1000), *timers])
-            for timer in timers:
-                if timer != at:
-                    self.handle.deleteTimer(timer)
-            if at not in timers:
-                self.handle.registerTimer(at)
+        if self.patience_us is not None:
+            # The clock of the micro-batch, which is also the watermark of the next.
+            at = timerValues.getCurrentProcessingTimeInMs() + self.patience_us // 1000
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -89,22 +88,24 @@ class Machine(StatefulProcessor):
 
 def stream_fold(stream: DataFrame, keys, order, begin: Callable[[], dict], step: Callable,
                 schema: str, mode: str = "Append", finish: Callable | None = None,
-                silence_us: int | None = None, delay: str = "1 second") -> DataFrame:
+                patience_us: int | None = None) -> DataFrame:
     """Streaming twin of ``fold``: the same step, the state kept per key between batches.
 
     Rows of a micro-batch are taken in ``order``; across batches arrival decides.
     The rows of one key in one micro-batch must fit in memory: bound batches with
-    ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``. With ``silence_us`` the column
-    ``us`` is event time with a watermark of ``delay`` (rows not after it are dropped), and ``finish(state)`` runs once a
-    key has been silent for that long, without further rows of it.
+    ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``.
+
+    No row is dropped: each key goes by the times of its own rows, however far it is behind
+    others. With ``patience_us``, ``finish(state)`` runs once nothing of a key has arrived for
+    that long (by the clock of the micro-batches, which is the only watermark).
     """
-    timed = silence_us is not None
+    timed = patience_us is not None
     if timed:
-        stream = stream.withColumn("_time", F.timestamp_micros("us")).withWatermark("_time", delay)
+        stream = stream.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, "0 seconds")
     struct = StructType.fromDDL(schema)
     integral = {n for n, kind in stream.dtypes if kind in INTEGRAL}
     out = [(f.name, f.dataType.simpleString()) for f in struct.fields]
     return stream.groupBy(*keys).transformWithStateInPandas(
-        Machine(keys, order, begin, step, integral, out, finish, silence_us), struct, mode,
+        Machine(keys, order, begin, step, integral, out, finish, patience_us), struct, mode,
         "EventTime" if timed else "None",
     )

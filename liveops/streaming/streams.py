@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liveops.operators import channels, keyed, limits, packets, playlist, queues
+from liveops.streaming import versioned
 from liveops.streaming.stateful import stream_fold
 
 ORDER = ["us", "event_id"]
@@ -122,10 +123,10 @@ def publish(stream: DataFrame, path: str, checkpoint: str, **trigger):
 
 
 def publish_latest(snapshots: DataFrame, key: str, order, path: str, checkpoint: str, **trigger):
-    """Every five seconds append the batch's latest row per key; read with ``read_latest``."""
+    """Every five seconds add the batch's latest row per key; read with ``read_latest``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        keyed.latest(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        versioned.append_latest(batch, epoch, checkpoint, path, key, order)
 
     return (
         snapshots.writeStream.foreachBatch(write)
@@ -135,8 +136,7 @@ def publish_latest(snapshots: DataFrame, key: str, order, path: str, checkpoint:
     )
 
 
-def read_latest(spark, key: str, order, path: str) -> DataFrame:
-    return keyed.latest(spark.read.parquet(path).drop("batch"), key, order)
+read_latest = versioned.read_latest
 
 
 def admissions(signals: DataFrame, limit: int, inclusive_overflow: bool = True) -> DataFrame:
@@ -253,8 +253,18 @@ def playout_step(state: dict, row: dict) -> list[dict]:
     )
 
 
-def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None = None) -> DataFrame:
-    """Fate of each packet once decided; after a silence of ``depth_us`` all that is buffered."""
+#: How long nothing of a key arrives until what is held back for more rows of it comes out.
+PATIENCE_US = 600_000_000
+
+
+def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None = None,
+            patience_us: int = PATIENCE_US) -> DataFrame:
+    """Fate of each packet once decided, by the times of its own stream.
+
+    The packets of a stream behind others by any time get the fate they have in the batch form.
+    What is buffered is played once nothing of a stream has arrived for ``patience_us``; packets
+    that come after that, and belong before it, are late. Every packet has a row in the end.
+    """
     limit = max_us if max_us is not None else 2 * depth_us
     settings = {
         "depth_us": F.lit(depth_us).cast("bigint"),
@@ -270,7 +280,7 @@ def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None =
     return stream_fold(
         df.withColumns(settings), ["stream"], ORDER, playout_begin, playout_step,
         "stream bigint, useq bigint, us bigint, event_id bigint, status string, out_us bigint",
-        finish=drain, silence_us=depth_us,
+        finish=drain, patience_us=patience_us,
     )
 
 
@@ -329,13 +339,17 @@ def mixed(state: dict) -> list[dict]:
     ]
 
 
-def mix_rounds(df: DataFrame, period_us: int = 300_000) -> DataFrame:
-    """Rounds of a period once the next begins, or once the channel is silent for that long."""
+def mix_rounds(df: DataFrame, period_us: int = 300_000, patience_us: int = PATIENCE_US) -> DataFrame:
+    """Rounds of a channel's period once its next begins, or nothing arrives for ``patience_us``.
+
+    A channel goes by its own packets, however far it is behind others. A packet that comes when
+    its period is over is mixed into the one at hand, as in order of arrival it belongs there.
+    """
     return stream_fold(
         df.withColumn("period_us", F.lit(period_us).cast("bigint")), ["channel"], ORDER,
         mix_begin, mix_step,
         "channel bigint, period bigint, round bigint, speakers bigint, pcm array<bigint>",
-        finish=lambda state: (mixed(state), None), silence_us=period_us,
+        finish=lambda state: (mixed(state), None), patience_us=patience_us,
     )
 
 
@@ -378,14 +392,19 @@ def idle_span(state: dict, gap_us: int) -> list[dict]:
              "suspend_us": state["last"] + gap_us}]
 
 
-def idle(stream: DataFrame, key: str, gap_us: int, delay: str = "1 second") -> DataFrame:
-    """An alert for each active span of a ``key`` (bigint), ``gap_us`` of event time after its last
-    row, without waiting for another row of it; the key's state is dropped then."""
+def idle(stream: DataFrame, key: str, gap_us: int, patience_us: int | None = None) -> DataFrame:
+    """An alert for each active span of a ``key`` (bigint): its rows are less than ``gap_us`` apart.
+
+    A span ends with the key's next row after a gap, or once nothing of it has arrived for
+    ``patience_us`` (by default ``gap_us``), without waiting for another row; the key's state is
+    dropped then, and a row after it opens a new span.
+    """
     return stream_fold(
         stream.withColumn("gap_us", F.lit(gap_us).cast("bigint")), [key], ORDER,
         idle_begin, idle_step,
         f"{key} bigint, from_us bigint, last_us bigint, rows bigint, suspend_us bigint",
-        finish=lambda state: (idle_span(state, gap_us), None), silence_us=gap_us, delay=delay,
+        finish=lambda state: (idle_span(state, gap_us), None),
+        patience_us=gap_us if patience_us is None else patience_us,
     )
 
 

@@ -64,6 +64,31 @@ def test_playlists(spark, tmp_path):
     texts = {r.channel: r.value for r in spark.read.text(out, wholetext=True).collect()}
     assert set(texts) == {"x", "y"}
     assert "#EXT-X-MEDIA-SEQUENCE:3\n#EXTINF:15,\n3.ts\n" in texts["x"]
+    odd = first.limit(1).withColumn("channel", F.explode(F.array(F.lit("a b/ü%=c"), F.lit(None))))
+    assert playlists.write(odd, str(tmp_path / "odd")) == 2
+    read = spark.read.text(str(tmp_path / "odd"), wholetext=True).collect()
+    assert {r.channel for r in read} == {"a b/ü%=c", None}
+
+
+def test_playlists_are_never_missing(spark, tmp_path):
+    """A reader that looks all the time while a playlist is written over and over."""
+    import threading
+
+    rows = spark.createDataFrame([("x", 1, ["1.ts"], 1)], "channel string, seq bigint, urls array<string>, media_sequence bigint")
+    playlists.write(rows, str(tmp_path))
+    file, seen, over = tmp_path / "channel=x" / "playlist.m3u8", [], threading.Event()
+
+    def look():
+        while not over.is_set():
+            seen.append(file.read_text().endswith("1.ts\n"))
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for n in range(5):
+        playlists.write(rows.withColumn("seq", F.lit(n)), str(tmp_path))
+    over.set()
+    reader.join()
+    assert seen and all(seen)
 
 
 def test_fleet_config(spark, tmp_path):
