@@ -7,9 +7,10 @@ is a list of (filling, how often); each filling of a sequence is a multiset of l
 Planning is bin completion branch and bound. The largest length left opens a sequence; its
 undominated fillings are enumerated (no length left over could take the place of one or two of
 the filling's and use more of the room), least waste first, and a filling is used as often as
-the histogram allows. A branch is cut when the sequences used and the least number that the rest
-can need (total length over capacity) reach the best solution known. Best fit decreasing gives
-the first solution; the search ends when the bound is met or after ``NODES`` nodes.
+the histogram allows, or half as often, and so on. A branch is cut when the sequences used and the
+least number that the rest can need (total length over capacity) reach the best solution known.
+Best fit decreasing gives the first solution; the search ends when the bound is met or after
+``NODES`` nodes. Then a few sequences at a time are taken apart and searched again.
 
 Places are dealt by rank: a piece's rank among those of its length is its rank in its input
 partition plus the counts of partitions before, so no length is ever gathered in one task. The
@@ -18,6 +19,7 @@ plan's intervals of ranks are at most a few per length and filling and travel wi
 
 from __future__ import annotations
 
+import random
 import unicodedata
 import zlib
 from array import array
@@ -40,7 +42,11 @@ END = 0
 #: Words whose ids a worker remembers between chunks; about 100 MB.
 KNOWN_WORDS = 400_000
 #: Bounds of the search, not of the result: nodes, fillings tried at a node, steps to find them.
-NODES, WIDTH, STEPS = 6_000, 8, 300
+NODES, WIDTH, STEPS = 3_000, 8, 120
+#: Rounds of improvement, sequences with waste (and full ones) taken apart in one, and its nodes.
+ROUNDS, APART, APART_NODES = 3_000, 8, 40
+#: Pieces a length from which an eighth of the histogram is planned first.
+MANY = 40
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -209,35 +215,49 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
     return [group for groups in open_.values() for group in groups]
 
 
-def _fillings(counts: dict[int, int], lengths: list[int], room: int):
+def _sums(counts: dict[int, int], lengths: list[int], room: int) -> int:
+    """Bits of all sums up to ``room`` of the rising ``lengths``, each at most ``counts`` times."""
+    mask, sums = (1 << (room + 1)) - 1, 1
+    for x in lengths:
+        for _ in range(min(counts[x], room // x)):
+            sums |= sums << x & mask
+    return sums
+
+
+def _fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` from ``counts`` (``lengths``: their rising lengths).
 
-    Least waste first, then those of fewer and larger lengths.
+    Least waste first; of equal waste those with the smallest second length, which pair large
+    lengths with small ones and leave middling ones for each other. A length is tried only where
+    the rest of the room is a sum of lengths, so hardly a step leads nowhere.
     """
-    found: set[tuple[int, tuple[int, ...]]] = set()
-    steps, exact = STEPS, 0
-
-    def grow(room: int, largest: int, filling: tuple[int, ...]) -> None:
-        nonlocal steps, exact
-        at = bisect_right(lengths, min(room, largest))
-        tried = 0
-        while at and tried < WIDTH and steps > 0 and exact < WIDTH:
+    found: list[tuple[int, ...]] = []
+    steps, sums = STEPS, _sums(counts, lengths, room)
+
+    def grow(rest: int, at: int, filling: tuple[int, ...]) -> None:
+        nonlocal steps
+        if not rest:
+            found.append(filling)
+            return
+        at = min(at, bisect_right(lengths, rest))
+        while at and steps > 0 and len(found) < WIDTH:
             at -= 1
-            length = lengths[at]
-            if counts[length] > filling.count(length):
+            x = lengths[at]
+            if sums >> (rest - x) & 1 and counts[x] > filling.count(x):
                 steps -= 1
-                tried += 1
-                grow(room - length, length, (*filling, length))
-        if not tried:
-            found.add((room, filling))
-            exact += room == 0
-
-    grow(room, room, ())
-    out = []
-    for waste, filling in sorted(found, key=lambda f: (f[0], len(f[1]), [-x for x in f[1]])):
-        smaller = set(filling) | {y + z for i, y in enumerate(filling) for z in filling[i + 1 :]}
-        if not waste or not any(_between(counts, lengths, filling, y, y + waste) for y in smaller):
-            out.append(filling)
+                grow(rest - x, at + 1, (*filling, x))
+
+    left, out = sums, []
+    while left and len(out) < WIDTH and steps > 0:
+        total = left.bit_length() - 1
+        left ^= 1 << total
+        found.clear()
+        grow(total, len(lengths), ())
+        waste = room - total
+        for filling in sorted(found):
+            smaller = set(filling) | {y + z for i, y in enumerate(filling) for z in filling[i + 1 :]}
+            if not waste or not any(_between(counts, lengths, filling, y, y + waste) for y in smaller):
+                out.append(filling)
     return out[:WIDTH] or [()]
 
 
@@ -251,33 +271,46 @@ def _between(counts, lengths, filling, low: int, high: int) -> bool:
     return False
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(filling, number of sequences) that use up ``histogram`` (length: how many)."""
-    counts = {x: n for x, n in histogram.items() if n}
-    best = _best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
-    left = sum(x * n for x, n in counts.items())
-    bound, used = -(-left // capacity), 0
-    lengths = sorted(counts)
-    chosen: list[tuple[tuple[int, ...], int]] = []
-
-    def options() -> Iterator[tuple[int, ...]]:
-        """Fillings of a sequence that the largest length left opens."""
-        largest = next(x for x in reversed(lengths) if counts[x])
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def _search(counts: dict[int, int], capacity: int, fewest: int, bound: int, nodes: int) -> Plan | None:
+    """The best plan of fewer than ``fewest`` sequences found by bin completion, if any.
+
+    Depth first; a filling is used as often as the histogram allows, then, going back, half as
+    often, and so on. Ends at ``bound`` sequences or after ``nodes`` nodes.
+    """
+    counts = {x: n for x, n in counts.items() if n}
+    lengths, left = sorted(counts), sum(x * n for x, n in counts.items())
+    used, chosen, best = 0, [], None
+
+    def options() -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings of a sequence that the largest length left opens, and how often."""
+        largest = lengths[-1]
         counts[largest] -= 1
         found = _fillings(counts, [x for x in lengths if counts[x]], capacity - largest)
         counts[largest] += 1
-        return iter([(largest, *filling) for filling in found])
+        often = [
+            ((largest, *f), min(counts[x] // (f.count(x) + (x == largest)) for x in {largest, *f})) for f in found
+        ]
+        while often:
+            yield from often
+            often = [(f, n // 2) for f, n in often if n > 1]
 
     def use(filling: tuple[int, ...], n: int) -> None:
         nonlocal used, left
-        for x in filling:
-            counts[x] -= n
+        for x in set(filling):
+            was = counts[x]
+            counts[x] -= n * filling.count(x)
+            if not counts[x]:
+                del lengths[bisect_left(lengths, x)]
+            elif not was:
+                insort(lengths, x)
         used, left = used + n, left - sum(filling) * n
 
-    tries, nodes = [options()] if counts else [], NODES
+    tries = [options()] if lengths else []
     while tries and fewest > bound and nodes:
-        filling = next(tries[-1], None)
+        filling, n = next(tries[-1], (None, 0))
         if filling is None:
             tries.pop()
             if chosen:
@@ -285,7 +318,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 use(filling, -n)
             continue
         nodes -= 1
-        n = min(counts[x] // filling.count(x) for x in set(filling))
         if used + n + -(-(left - sum(filling) * n) // capacity) >= fewest:
             continue
         use(filling, n)
@@ -298,6 +330,85 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return best
 
 
+def _count(planned: Plan) -> int:
+    return sum(n for _, n in planned)
+
+
+def _merged(*plans: Plan) -> Plan:
+    groups: dict[tuple[int, ...], int] = {}
+    for planned in plans:
+        for filling, n in planned:
+            key = tuple(sorted(filling, reverse=True))
+            groups[key] = groups.get(key, 0) + n
+    return list(groups.items())
+
+
+def _lengths(planned) -> dict[int, int]:
+    counts: dict[int, int] = {}
+    for filling, n in planned:
+        for x in filling:
+            counts[x] = counts.get(x, 0) + n
+    return counts
+
+
+def _improved(planned: Plan, capacity: int, bound: int) -> Plan:
+    """``planned`` with a few sequences at a time taken apart and completed anew.
+
+    Each round takes sequences with waste and some full ones (every other round likelier those
+    that stand often), searches them by bin completion, and keeps what needs fewer sequences or
+    gathers the waste in fewer; alike sequences are all replaced at once. ``ROUNDS`` rounds.
+    """
+    rng, groups = random.Random(5), dict(_merged(planned))
+    total = sum(groups.values())
+    for i in range(ROUNDS):
+        loose = [f for f in groups if sum(f) < capacity]
+        full = [f for f in groups if sum(f) == capacity]
+        if total <= bound or not loose:
+            break
+        weigh = i % 2
+        pool = set(rng.choices(
+            loose, [groups[f] * (capacity - sum(f)) if weigh else 1 for f in loose], k=rng.randint(2, APART)
+        ))
+        if full:
+            pool |= set(rng.choices(full, [groups[f] if weigh else 1 for f in full], k=rng.randint(0, APART)))
+        taken = [(f, 1) for f in sorted(pool)]
+        counts = _lengths(taken)
+        least = -(-sum(x * n for x, n in counts.items()) // capacity)
+        got = _search(counts, capacity, len(taken) + 1, min(least, len(taken)), APART_NODES)
+        if got is None:
+            continue
+        gain = len(taken) - _count(got)
+        squares = sum(sum(f) ** 2 * n for f, n in got) - sum(sum(f) ** 2 for f in pool)
+        if gain > 0 or not gain and squares > 0:
+            copies = min(groups[f] for f in pool)
+            for filling, n in [*((f, -1) for f in pool), *_merged(got)]:
+                groups[filling] = groups.get(filling, 0) + n * copies
+                if not groups[filling]:
+                    del groups[filling]
+            total -= gain * copies
+    return list(groups.items())
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """(filling, number of sequences) that use up ``histogram`` (length: how many).
+
+    Best fit decreasing, unless it meets the bound; else bin completion, improved in parts. A
+    histogram of many of each length is an eighth of it, planned so and used eight times, and
+    the rest; both are improved together.
+    """
+    counts = {x: n for x, n in histogram.items() if n}
+    best = _best_fit(counts, capacity)
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    if _count(best) <= bound:
+        return best
+    found = _search(counts, capacity, _count(best), bound, NODES) or best
+    if sum(counts.values()) > MANY * len(counts):
+        part = plan({x: n // 8 for x, n in counts.items()}, capacity)
+        rest = plan({x: n % 8 for x, n in counts.items()}, capacity)
+        found = min(found, _merged([(f, 8 * n) for f, n in part], rest), key=_count)
+    return min(best, _improved(found, capacity, bound), key=_count)
+
+
 #: Bits of a rank in a sort key below its length.
 _RANK_BITS = 44
 
