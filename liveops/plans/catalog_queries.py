@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from liveops.functions import levels, maps, text
 from liveops.operators import (
-    catalog, channels, chat, fleet, keyed, membership, p2p, prefs, requests, rules, validate,
+    catalog, channels, chat, fleet, keyed, membership, p2p, prefs, requests, rule_tables,
+    rules, validate,
 )
 from liveops.plans.channel_queries import spans
 from liveops.plans.fixtures import VIEWS
@@ -447,6 +448,38 @@ def rules_apply(t):
     )
 
 
+@query("rules_table", """WITH openings AS (SELECT item_id,
+    unnest(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+')) AS opening,
+    generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+'), 1) - 1 AS n FROM benchmark),
+    listed AS (SELECT item_id * 1000 + n AS rule, item_id, n % 3 AS kind,
+    replace(opening, ' ', '[^A-Za-z]+') AS pattern FROM openings),
+    hits AS (SELECT doc_id, max(rule) FILTER (kind = 0) AS leveller,
+    arg_max(item_id, rule) FILTER (kind = 1) AS taken, arg_min(item_id, rule) FILTER (kind = 2) AS kept
+    FROM documents, listed WHERE regexp_matches(text, pattern) GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(leveller % 97, n_chars) AS BIGINT) AS level, lang,
+    CAST(coalesce(taken, kept) AS VARCHAR) AS role FROM documents LEFT JOIN hits USING (doc_id)""")
+def rules_table(t):
+    """The first two words of each sentence of the benchmark are a rule's pattern."""
+    openings = F.regexp_extract_all("text", F.lit("([A-Z][a-z]+ [a-z]+)"))
+    rule = F.col("item_id") * 1000 + F.col("n")
+    kind = F.col("n") % 3
+    listed = t.benchmark.select("item_id", F.posexplode(openings).alias("n", "opening")).select(
+        rule.alias("rule"), F.replace("opening", F.lit(" "), F.lit("[^A-Za-z]+")).alias("pattern"),
+        F.when(kind == 0, rule % 97).alias("level"),
+        F.when(kind != 0, F.create_map(F.lit("role"), F.col("item_id").cast("string"))).alias("props"),
+        F.when(kind == 1, "replace").otherwise("merge").alias("mode"),
+    )
+    rows = t.documents.select(
+        "doc_id", "text", F.col("n_chars").alias("level"),
+        F.create_map(F.lit("lang"), F.col("lang")).alias("props"),
+    )
+    out = rule_tables.apply(rows, listed, "text", ["doc_id"], props="props")
+    return out.select(
+        "doc_id", "level", maps.get(F.col("props"), "lang").alias("lang"),
+        maps.get(F.col("props"), "role").alias("role"),
+    )
+
+
 TONES_SQL = """SELECT stream, device, role, {hit} AND role IN ('5-LOW', '3-MEDIUM') AS ducked,
     level - CASE WHEN {hit} AND role IN ('5-LOW', '3-MEDIUM') THEN 300 ELSE 0 END AS level
     FROM (SELECT *, bool_or(role = '1-URGENT') OVER (PARTITION BY device) AS here,
