@@ -17,12 +17,11 @@ ORDER = ["us", "event_id"]
 
 # membership -----------------------------------------------------------------------------
 def room_begin() -> dict:
-    return {"channels": {}, "of": {}}
+    return {"open": 0, "rooms": {}, "of": {}}
 
 
 def _close(state, client, us):
     channel, since, since_id = state["of"].pop(client)
-    state["channels"][channel].discard(client)
     return {"channel": channel, "client": client, "from_us": since, "to_us": us, "from_id": since_id}
 
 
@@ -32,38 +31,43 @@ def room_step(state: dict, row: dict) -> list[dict]:
     Who opens a channel is its first member. A client is in one channel at most;
     repeats and requests for unknown channels change nothing.
     """
-    rooms, channel, client = state["channels"], row["channel"], row["client"]
+    rooms, of, channel, client = state["rooms"], state["of"], row["channel"], row["client"]
     action, us = row["action"], row["us"]
-    if action == "CREATE":
-        if channel not in rooms:
-            rooms[channel] = set()
-            if client not in state["of"]:
-                rooms[channel].add(client)
-                state["of"][client] = (channel, us, row["event_id"])
-    elif channel not in rooms:
-        return []
-    elif action == "CANCEL":
-        gone = [_close(state, c, us) for c in sorted(rooms[channel])]
-        del rooms[channel]
-        return gone
-    elif action == "JOIN" and client not in state["of"]:
-        rooms[channel].add(client)
-        state["of"][client] = (channel, us, row["event_id"])
-    elif action == "LEAVE" and client in rooms[channel]:
+    opened = channel in rooms
+    if action == "CREATE" and not opened:
+        rooms[channel] = us
+        state["open"] += 1
+    elif action == "CANCEL" and opened:
+        gone = sorted(c for c, (inside, *_) in of.items() if inside == channel)
+        rooms.pop(channel)
+        state["open"] -= 1
+        return [_close(state, c, us) for c in gone]
+    elif action == "LEAVE" and opened and client in of and of[client][0] == channel:
         return [_close(state, client, us)]
+    if client not in of and (action == "JOIN" and opened or action == "CREATE" and not opened):
+        of[client] = (channel, us, row["event_id"])
     return []
 
 
 def room_finish(state: dict) -> list[dict]:
-    return [_close(state, c, None) for c in sorted(state["of"])]
+    return [_close(state, c, None) for c in sorted(c for c, _ in state["of"].items())]
 
 
 SPANS = "server bigint, channel bigint, client bigint, from_us bigint, to_us bigint, from_id bigint"
 
 
-def memberships(signals: DataFrame, key: str = "server") -> DataFrame:
-    """Ended membership spans; one state per server holds its channels and members."""
-    return stream_fold(signals, [key], ORDER, room_begin, room_step, SPANS)
+def memberships(signals: DataFrame, key: str = "server", patience_us: int | None = None) -> DataFrame:
+    """Ended membership spans; a server's channels and members are entries of its state.
+
+    With ``patience_us`` a server of which nothing arrives for so long is forgotten: its open
+    spans come out without an end, and later signals find no channel.
+    """
+    return stream_fold(
+        signals, [key], ORDER, room_begin, room_step, SPANS, "open bigint",
+        {"rooms": ("channel bigint", "since bigint"),
+         "of": ("client bigint", "channel bigint, from_us bigint, from_id bigint")},
+        finish=lambda state: (room_finish(state), None), patience_us=patience_us,
+    )
 
 
 # channels -------------------------------------------------------------------------------
@@ -80,10 +84,16 @@ def status_step(state: dict, row: dict) -> list[dict]:
     return [{"us": row["us"], "event_id": row["event_id"], "status": code}]
 
 
-def statuses(signals: DataFrame) -> DataFrame:
+def _forget(state: dict) -> tuple:
+    return [], None
+
+
+def statuses(signals: DataFrame, patience_us: int | None = None) -> DataFrame:
+    """Changes of status; a channel silent for ``patience_us`` is forgotten and begins anew."""
     return stream_fold(
         signals, ["channel"], ORDER, status_begin, status_step,
-        "channel bigint, us bigint, event_id bigint, status int",
+        "channel bigint, us bigint, event_id bigint, status int", "status int",
+        finish=_forget, patience_us=patience_us,
     )
 
 
@@ -101,10 +111,12 @@ def edge_step(state: dict, row: dict) -> list[dict]:
              "before_us": before}]
 
 
-def edges(signals: DataFrame) -> DataFrame:
+def edges(signals: DataFrame, patience_us: int | None = None) -> DataFrame:
+    """Changes of presence; a channel silent for ``patience_us`` is forgotten and begins anew."""
     return stream_fold(
         signals, ["channel"], ORDER, edge_begin, edge_step,
         "channel bigint, us bigint, event_id bigint, online boolean, before_us bigint",
+        "online boolean, since bigint", finish=_forget, patience_us=patience_us,
     )
 
 
@@ -145,31 +157,41 @@ def admissions(signals: DataFrame, limit: int, inclusive_overflow: bool = True)
         signals.withColumn("allowed", allowed), ["channel"], ORDER,
         channels.full_begin, channels.admit_step,
         "channel bigint, client bigint, us bigint, event_id bigint, http int",
+        "inside array<bigint>",
     )
 
 
 # chat -----------------------------------------------------------------------------------
 def chat_begin() -> dict:
-    return {"members": set()}
+    return {"count": 0, "members": {}}
 
 
 def chat_step(state: dict, row: dict) -> list[dict]:
     """What a message does and how many of the room receive it."""
     members, speaker, text = state["members"], row["speaker"], row["text"] or ""
     event = "quit" if text == "quit" else "close" if text[:1] == "\x03" else "say"
-    if event == "say" and speaker not in members:
+    inside = speaker in members
+    if event == "say" and not inside:
         event = "join"
-        members.add(speaker)
-    receivers = len(members)
-    if event in ("quit", "close"):
-        members.discard(speaker)
+        members[speaker] = row["us"]
+        state["count"] += 1
+    receivers = state["count"]
+    if event in ("quit", "close") and inside:
+        members.pop(speaker)
+        state["count"] -= 1
     return [{"us": row["us"], "speaker": speaker, "event": event, "receivers": receivers}]
 
 
-def chat(stream: DataFrame) -> DataFrame:
+def chat(stream: DataFrame, patience_us: int | None = None) -> DataFrame:
+    """Events of chat rooms, a state entry for each member.
+
+    With ``patience_us`` a room in which nobody speaks for so long is forgotten with its members.
+    """
     return stream_fold(
         stream, ["channel"], ["us", "speaker"], chat_begin, chat_step,
         "channel bigint, us bigint, speaker string, event string, receivers bigint",
+        "count bigint", {"members": ("speaker string", "since bigint")},
+        finish=_forget, patience_us=patience_us,
     )
 
 
@@ -191,6 +213,7 @@ def present(requests: DataFrame) -> DataFrame:
     return stream_fold(
         requests, ["client"], ORDER, present_begin, present_step,
         "client bigint, resource int, us bigint, event_id bigint, action string, inside boolean",
+        "inside boolean",
     )
 
 
@@ -221,7 +244,7 @@ def replies(known: DataFrame) -> DataFrame:
     return stream_fold(
         known, ["resource"], ORDER, owner_begin, owner_step,
         "resource int, client bigint, us bigint, event_id bigint, action string, reply int, "
-        "owner bigint",
+        "owner bigint", "owner bigint",
     )
 
 
@@ -230,7 +253,7 @@ def connections(trace: DataFrame) -> DataFrame:
     return stream_fold(
         trace, ["stream"], ORDER, packets.connection_begin, packets.connection_step,
         "stream bigint, us bigint, event_id bigint, kind string, seq int, state string, "
-        "delivered boolean",
+        "delivered boolean", "state string, expected bigint",
     )
 
 
@@ -280,6 +303,8 @@ def playout(df: DataFrame, depth_us: int, payload_us: int, max_us: int | None =
     return stream_fold(
         df.withColumns(settings), ["stream"], ORDER, playout_begin, playout_step,
         "stream bigint, useq bigint, us bigint, event_id bigint, status string, out_us bigint",
+        "buffer array<struct<useq:bigint,us:bigint,event_id:bigint>>, played bigint, "
+        "buffering boolean, seq bigint, useq bigint",
         finish=drain, patience_us=patience_us,
     )
 
@@ -305,6 +330,7 @@ def late(df: DataFrame, depth_us: int, name: str = "late") -> DataFrame:
         df.withColumn("depth_us", F.lit(depth_us).cast("bigint")), ["stream"], ORDER,
         late_begin, late_step,
         "stream bigint, us bigint, event_id bigint, useq bigint, too_late boolean",
+        "seq bigint, useq bigint, waiting array<struct<due:bigint,useq:bigint>>, position bigint",
     )
     return flagged.observe(
         name, F.count(F.lit(1)).alias("packets"), F.count_if("too_late").alias("too_late")
@@ -320,7 +346,8 @@ def mix_step(state: dict, row: dict) -> list[dict]:
     out, period = [], row["us"] // row["period_us"]
     if state["period"] is not None and period > state["period"]:
         out += mixed(state)
-        state.update(rounds={}, heard={})
+        state["rounds"].clear()
+        state["heard"].clear()
     state["period"] = period if state["period"] is None else max(period, state["period"])
     turn = state["heard"].get(row["speaker"], 0) + 1
     state["heard"][row["speaker"]] = turn
@@ -349,6 +376,9 @@ def mix_rounds(df: DataFrame, period_us: int = 300_000, patience_us: int = PATIE
         df.withColumn("period_us", F.lit(period_us).cast("bigint")), ["channel"], ORDER,
         mix_begin, mix_step,
         "channel bigint, period bigint, round bigint, speakers bigint, pcm array<bigint>",
+        "period bigint",
+        {"rounds": ("round bigint", "speakers bigint, pcm array<bigint>"),
+         "heard": (f"speaker {dict(df.dtypes)['speaker']}", "turn bigint")},
         finish=lambda state: (mixed(state), None), patience_us=patience_us,
     )
 
@@ -359,6 +389,7 @@ def backlog(rows: DataFrame, capacity: int = queues.CAPACITY) -> DataFrame:
         rows.withColumn("capacity", F.lit(capacity)), ["viewer"], ORDER,
         queues.queue_begin, queues.queue_step,
         "viewer bigint, event_id bigint, dropped_by bigint",
+        "queue array<struct<event_id:bigint,is_key:boolean>>",
     )
 
 
@@ -367,6 +398,7 @@ def rate_limit(df: DataFrame, interval_us: int, burst: int) -> DataFrame:
     return stream_fold(
         df.withColumns(settings), ["source"], ORDER, limits.limit_begin, limits.limit_step,
         "source bigint, us bigint, event_id bigint, window_us bigint, passed boolean",
+        "since bigint, passed bigint",
     )
 
 
@@ -403,6 +435,7 @@ def idle(stream: DataFrame, key: str, gap_us: int, patience_us: int | None = Non
         stream.withColumn("gap_us", F.lit(gap_us).cast("bigint")), [key], ORDER,
         idle_begin, idle_step,
         f"{key} bigint, from_us bigint, last_us bigint, rows bigint, suspend_us bigint",
+        "from bigint, last bigint, rows bigint",
         finish=lambda state: (idle_span(state, gap_us), None),
         patience_us=gap_us if patience_us is None else patience_us,
     )
@@ -439,4 +472,5 @@ def anchored_segments(frames: DataFrame, seconds: int = playlist.SEGMENT_SECONDS
         frames.withColumn("length", length), ["channel"], ORDER,
         playlist.segment_begin, playlist.segment_step,
         "channel bigint, us bigint, event_id bigint, cut boolean, since_us bigint",
+        "since bigint",
     )

@@ -272,3 +272,58 @@ def test_memberships(spark):
     assert spans == [(1, 0, 1, 6), (1, 5, 2, 5), (1, 6, 4, 6)]
 
 
+
+
+SIGNALS = "server bigint, channel bigint, client bigint, action string, us bigint, event_id bigint"
+
+
+def run(stream, name, checkpoint):
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option(
+        "path", name
+    ).trigger(availableNow=True).start().awaitTermination()
+
+
+@pytest.mark.parametrize("key", ["rooms", "servers"])
+def test_restart_from_a_checkpoint(spark, tmp_path, key):
+    """Members that joined before a restart are there after it."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    if key == "rooms":
+        schema, wrap = "channel bigint, speaker string, us bigint, text string", streams.chat
+        parts = [
+            [(1, "a", 1, "hi"), (1, "b", 2, "hi"), (2, "a", 3, "hi"), (1, None, 3, None)],
+            [(1, "a", 4, "quit"), (1, "a", 5, "quit"), (1, "b", 6, "on"), (2, "c", 7, "hi")],
+        ]
+        want = [(1, "join", 1), (2, "join", 2), (3, "join", 1), (3, "join", 3), (4, "quit", 3),
+                (5, "quit", 2), (6, "say", 2), (7, "join", 2)]
+        columns = ["us", "event", "receivers"]
+    else:
+        schema, wrap = SIGNALS, streams.memberships
+        parts = [
+            [(0, 1, 0, "CREATE", 1, 1), (0, 1, 5, "JOIN", 2, 2), (0, 2, 6, "CREATE", 3, 3)],
+            [(0, 1, 5, "LEAVE", 4, 4), (0, 1, 6, "JOIN", 5, 5), (0, 1, 0, "CANCEL", 6, 6),
+             (0, 1, 7, "JOIN", 7, 7), (0, 2, 6, "LEAVE", 8, 8), (0, 2, 6, "LEAVE", 9, 9)],
+        ]
+        want = [(0, 1, 6), (5, 2, 4), (6, 3, 8)]
+        columns = ["client", "from_us", "to_us"]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        run(wrap(spark.readStream.schema(schema).parquet(source)), out, checkpoint)
+    got = spark.read.parquet(out).select(*columns).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_silent_keys_are_forgotten(spark):
+    """The state of a room, a channel and a server goes once nothing of it arrives."""
+    rows = [(1, "a", 1, "hi"), (2, "x", 2, "hi"), (2, "y", 3, "hi"), (2, "x", 4, "hi"), (1, "b", 5, "hi")]
+    df = spark.createDataFrame(rows, "channel bigint, speaker string, us bigint, text string")
+    got = streamed(spark, df, lambda s: streams.chat(s, 0), files=5)
+    assert sorted((r.us, r.receivers) for r in got.collect())[-1] == (5, 1)
+    held = streamed(spark, df, lambda s: streams.chat(s, 3_600_000_000), files=5)
+    assert sorted((r.us, r.receivers) for r in held.collect())[-1] == (5, 2)
+    signals = [(0, 1, 0, "CREATE", 1, 1), (1, 2, 0, "CREATE", 2, 2), (1, 2, 1, "JOIN", 3, 3),
+               (1, 2, 2, "JOIN", 4, 4), (0, 1, 5, "JOIN", 5, 5)]
+    spans = streamed(
+        spark, spark.createDataFrame(signals, SIGNALS), lambda s: streams.memberships(s, "server", 0), files=5
+    )
+    found = {(r.server, r.client, r.from_us, r.to_us) for r in spans.collect()}
+    assert (0, 0, 1, None) in found and not any(client == 5 for _, client, *_ in found)
