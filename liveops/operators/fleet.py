@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liveops.operators import keyed, validate
@@ -123,3 +123,61 @@ def status_json(channel_viewers: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(entry)).alias("channel_viewers"),
     )
     return rows.select("server", status_document(rows).alias("doc"))
+
+
+#: Sections of a status document: head, viewers by channel, what is between, channels, end.
+HEAD, VIEWERS, MIDDLE, SET, END = range(5)
+
+
+def status_lines(channel_viewers: DataFrame) -> DataFrame:
+    """The documents of ``status_json`` as lines (server, section, channel, line), of any size.
+
+    In the order of these columns the lines of a server make its document. Nothing is gathered
+    per server but its totals; its lines are one sorted window partition, which spills. One row per server and channel; a null
+    channel or server is left out, a null count of viewers is 0.
+    """
+    rows = channel_viewers.select(
+        "server", F.col("channel").cast("string").alias("channel"),
+        F.coalesce(F.col("viewers").cast("bigint"), F.lit(0)).alias("viewers"),
+    ).where("server IS NOT NULL AND channel IS NOT NULL")
+    totals = rows.groupBy("server").agg(
+        F.sum("viewers").alias("total"), F.count(F.lit(1)).alias("n")
+    )
+
+    def section(number: int, line: Column) -> Column:
+        return F.struct(F.lit(number).alias("section"), line.alias("line"))
+
+    frame = F.array(
+        section(HEAD, F.format_string(
+            '{"viewers":{"total":%d},"channels":{"total":%d,"viewers":{', "total", "n"
+        )),
+        section(MIDDLE, F.lit('},"set":[')),
+        section(END, F.lit("]}}")),
+    )
+    # A text as JSON writes it, from a list of that text alone.
+    listed = F.to_json(F.array("channel"))
+    name = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    entry = F.array(
+        section(VIEWERS, F.concat(name, F.lit(":"), F.col("viewers").cast("string"))),
+        section(SET, name),
+    )
+    lines = rows.select("server", "channel", F.explode(entry).alias("_line")).unionByName(
+        totals.select("server", F.lit("").alias("channel"), F.explode(frame).alias("_line"))
+    ).select("server", "_line.section", "channel", "_line.line")
+    before = F.lag("section").over(Window.partitionBy("server").orderBy("section", "channel"))
+    comma = F.when(before == F.col("section"), ",").otherwise("")
+    return lines.withColumn("line", F.concat(comma, "line"))
+
+
+def write_status(channel_viewers: DataFrame, path: str) -> None:
+    """A document per server as the one text file of ``path/server=…``.
+
+    A server's lines are written one by one in the order of their window, so the size of a
+    document is bounded by no memory.
+    """
+    # The window keeps a server in one task; a repartition adaptive execution may undo.
+    (
+        status_lines(channel_viewers).sortWithinPartitions("server", "section", "channel")
+        .select("server", F.col("line").alias("value"))
+        .write.partitionBy("server").text(path)
+    )

@@ -243,6 +243,23 @@ def fleet_status_json(t):
     return fleet.status_json(seen.select("server", "channel", "viewers"))
 
 
+@query("fleet_status_lines", """, rows AS (SELECT server, CAST(channel AS VARCHAR) AS channel,
+    CAST(viewers AS BIGINT) AS viewers, row_number() OVER (PARTITION BY server
+    ORDER BY CAST(channel AS VARCHAR)) = 1 AS opens FROM counts JOIN channel_list USING (channel)),
+    lines AS (SELECT server, 0 AS section, '' AS channel, '{"viewers":{"total":'
+    || CAST(sum(viewers) AS BIGINT) || '},"channels":{"total":' || count(*) || ',"viewers":{' AS line
+    FROM rows GROUP BY server
+    UNION ALL SELECT server, 1, channel, if(opens, '', ',') || '"' || channel || '":' || viewers FROM rows
+    UNION ALL SELECT DISTINCT server, 2, '', '},"set":[' FROM rows
+    UNION ALL SELECT server, 3, channel, if(opens, '', ',') || '"' || channel || '"' FROM rows
+    UNION ALL SELECT DISTINCT server, 4, '', ']}}' FROM rows)
+    SELECT server, CAST(section AS INTEGER) AS section, channel, line FROM lines""", "counts channel_list")
+def fleet_status_lines(t):
+    listed = t.channel_list()
+    seen = channels.viewers(listed, spans(t)).join(listed.drop("kind"), "channel")
+    return fleet.status_lines(seen.select("server", "channel", "viewers"))
+
+
 # requests ------------------------------------------------------------------------------
 def parsed(t):
     return requests.parse(t.requests()).withColumns(
