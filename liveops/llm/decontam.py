@@ -41,7 +41,9 @@ COVER = 13
 LITERAL = 0.5
 MAP_BITS = 24
 #: So many readings of windows are held at once.
-READINGS = 1 << 20
+READINGS = 1 << 18
+#: Bytes of text that are cut into windows at once: some twenty numbers a word.
+CHUNK = 2 << 20
 #: The factor between places of a window in its hash.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -210,9 +212,12 @@ def _windows(texts: pa.Array, ids: pa.Array, sizes: list[int], whole: int, bits:
     """All windows of ``sizes`` words; those of ``whole`` words also widened."""
     canon = _Canon(texts)
     for size in sizes:
-        cut = chain([(False, canon.exact(size))], ((True, t) for t in canon.templates(size)))
-        if size == whole:
-            cut = chain(cut, [(True, canon.wide(size))])
+        # Each is cut when its turn comes, and held until the next.
+        cut = chain(
+            ((False, canon.exact(n)) for n in [size]),
+            ((True, t) for t in canon.templates(size)),
+            ((True, canon.wide(n)) for n in [size] if n == whole),
+        )
         for template, (hashes, places, lengths, read) in cut:
             if bits is not None:
                 spot = hashes >> np.uint64(64 - MAP_BITS)
@@ -227,7 +232,7 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     """All windows of the items (item_id, text); of shorter items the whole item is the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             counts = np.diff(_Canon(batch.column("text")).offsets)
             for n in np.unique(np.minimum(counts, size)):
                 if n:
@@ -304,7 +309,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = SIZE, cover: int = COVER
     bits = _bit_map(theirs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             yield from _windows(batch.column("text"), batch.column("doc_id"), sizes, size, bits)
 
     ours = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, _SCHEMA)

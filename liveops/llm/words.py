@@ -6,6 +6,7 @@ on a word alone is computed once per distinct word of the chunk.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,17 +45,31 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in record batches of about ``CHUNK_BYTES`` of text, or one row."""
+def release() -> None:
+    """Give freed memory back to the system; reused workers would hold it beside later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
+           limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in record batches of about ``limit`` bytes of text, or one row.
+
+    What was freed since is released after each batch, and at the end.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        release()
 
 
 @dataclass
