@@ -23,36 +23,32 @@ def bits(value, shift: int, width: int) -> Column:
 POLYNOMIAL = 0x04C11DB7
 
 
-def _crc_entry(index: int) -> int:
-    value = index << 24
-    for _ in range(8):
-        value = ((value << 1) ^ POLYNOMIAL if value & 0x80000000 else value << 1) & 0xFFFFFFFF
-    return value
+
+
+def _before(register: int) -> bytes:
+    """The four bytes that take the check's register from all ones to ``register``."""
+    for _ in range(32):
+        register = (register ^ POLYNOMIAL) >> 1 | 1 << 31 if register & 1 else register >> 1
+    return (register ^ 0xFFFFFFFF).to_bytes(4, "big")
+
+
+def _mirrored(byte: int) -> int:
+    return int(f"{byte:08b}"[::-1], 2)
+
+
+#: Bytes as characters, without those that read the same from both ends, and their mirrored ones.
+_BYTES = [b for b in range(256) if _mirrored(b) != b]
+_PLAIN, _MIRRORED = ("".join(map(chr, bytes_)) for bytes_ in (_BYTES, map(_mirrored, _BYTES)))
 
 
 def crc32_mpeg(data, start: int = 0) -> Column:
-    """CRC-32 without reflection over the whole value, from ``start``."""
-    table = F.array(*[F.lit(_crc_entry(i)).cast("bigint") for i in range(256)])
-    # Two hex digits per byte; the regex keeps the bytes in order.
-    digits = F.regexp_extract_all(F.hex(data), F.lit("(..)"), 1)
-    mask = F.lit(0xFFFFFFFF).cast("bigint")
-    both = F.aggregate(
-        digits,
-        F.struct(F.lit(start).cast("bigint").alias("crc"), table.alias("table")),
-        lambda acc, d: F.struct(
-            F.shiftleft(acc["crc"], 8)
-            .bitwiseAND(mask)
-            .bitwiseXOR(
-                F.element_at(
-                    acc["table"],
-                    (
-                        F.shiftright(acc["crc"], 24).bitwiseXOR(F.conv(d, 16, 10).cast("bigint"))
-                        + 1
-                    ).cast("int"),
-                )
-            )
-            .alias("crc"),
-            acc["table"].alias("table"),
-        ),
-    )
-    return both["crc"]
+    """CRC-32 without reflection over the whole value, from ``start``.
+
+    It is the common, reflected check (``crc32``) of the bytes with their bits mirrored, itself
+    mirrored and without the last inversion. That one starts from all ones, so four bytes that
+    lead from there to ``start`` go in front.
+    """
+    begun = F.concat(F.lit(_before(start & 0xFFFFFFFF)), data)
+    chars = F.translate(F.decode(begun, "ISO-8859-1"), _PLAIN, _MIRRORED)
+    value = F.crc32(F.encode(chars, "ISO-8859-1")).bitwiseXOR(F.lit(0xFFFFFFFF).cast("bigint"))
+    return F.conv(F.reverse(F.lpad(F.bin(value), 32, "0")), 2, 10).cast("bigint")

@@ -1,10 +1,12 @@
 """Known values of the scalar functions and small operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from liveops.functions import arrays, levels, maps, text
-from liveops.functions.binary import crc32_mpeg
+from liveops.functions.binary import POLYNOMIAL, crc32_mpeg
 from liveops.operators import membership, packets, rules
 
 
@@ -18,6 +20,25 @@ def test_crc(spark):
     assert got == 0x0376E6E7
 
 
+def test_crc_of_any_bytes(spark):
+    """As bit by bit, from any start, in one call a value and not a step for each byte."""
+    def plain(data, register):
+        for byte in data:
+            register ^= byte << 24
+            for _ in range(8):
+                register = (register << 1 ^ (POLYNOMIAL if register >> 31 else 0)) & 0xFFFFFFFF
+        return register
+
+    rng = random.Random(7)
+    rows = [(b"",), (b"\0\0",), (bytes(range(256)),), (None,), *[(rng.randbytes(500),) for _ in range(20)]]
+    df = spark.createDataFrame(rows, "d binary")
+    for start in (0, 1, 0xFFFFFFFF, 0x12345678):
+        found = df.select("d", crc32_mpeg("d", start).alias("crc"))
+        assert "aggregate" not in found._jdf.queryExecution().toString().lower()
+        for r in found.collect():
+            assert r.crc == (None if r.d is None else plain(r.d, start))
+
+
 def test_level_round_trip(spark):
     rows = spark.range(0, 200000, 37).select(
         "id", levels.from_linear(levels.to_linear(F.col("id"))).alias("back")
