@@ -6,7 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from liveops.operators import catalog, fleet
-from liveops.sources import logs, media_files, playlists
+from liveops.sources import logs, media_files, playlists, slices
 
 
 def test_server_log(spark, tmp_path):
@@ -70,6 +70,33 @@ def test_playlists(spark, tmp_path):
     assert {r.channel for r in read} == {"a b/ü%=c", None}
 
 
+def test_playlists_by_name(spark, tmp_path):
+    """Playlists are fetched by the names that ``write`` gives; no folder is listed."""
+    rows = spark.createDataFrame(
+        [(c, 1, ["u"], n) for n, c in enumerate(["a", "x/y=%", None])],
+        "channel string, seq long, urls array<string>, media_sequence long",
+    )
+    playlists.write(rows, str(tmp_path))
+    asked = rows.select("channel").unionByName(spark.createDataFrame([("none",)], "channel string"))
+    got = {r.channel: r.text for r in playlists.fetch(asked, str(tmp_path)).collect()}
+    want = {r.channel: r.text for r in rows.select("channel", playlists.text().alias("text")).collect()}
+    assert got == want | {"none": None}
+
+
+def test_small_files_of_queries(spark, folder, monkeypatch):
+    """Queries with a file for each row write them in many tasks and list no folder for each."""
+    from liveops.plans.fixtures import Tables
+    from liveops.plans.registry import QUERIES
+
+    files = QUERIES["playlist_files"](spark, folder)
+    assert "Scan text" not in files._jdf.queryExecution().toString()
+    made, store = [], slices.store
+    monkeypatch.setattr(slices, "store", lambda rows, path: made.append(rows) or store(rows, path))
+    QUERIES["fleet_config_servers"](spark, folder)
+    assert made[0].rdd.getNumPartitions() > 8
+    assert made[0].count() == Tables(spark, folder).supplier.count()
+
+
 def test_playlists_are_never_missing(spark, tmp_path):
     """A reader that looks all the time while a playlist is written over and over."""
     import threading
