@@ -78,3 +78,16 @@ def test_registered_query(spark, tmp_path, make_docs):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     sql = con.sql(f"SELECT doc_id, text, n_deleted FROM ({ORACLES['op9_lines']})").fetchall()
     assert {d: (t, n) for d, t, n in sql} == rows
+
+
+def test_the_faster_pattern_has_the_same_words(spark):
+    """Every character, between letters and beside blanks, counts as the plain pattern says."""
+    codes = spark.range(0x110000).where("id < 55296 OR id > 57343")
+    char = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    line = F.concat(F.lit("a"), char, F.lit("b "), char, char, F.lit("\tc"))
+    rows = codes.select(
+        linedup.native(line).alias("fast"), F.regexp_count(line, F.lit(linedup._WORD)).alias("plain")
+    )
+    assert linedup._FAST != linedup._WORD
+    found = rows.agg(F.expr("count_if(fast <> plain)"), F.expr("count_if(plain > 3)")).first()
+    assert found[0] == 0 and found[1] > 90_000
