@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +83,67 @@ def test_many_rules(spark):
     assert len(got._jdf.queryExecution().toString()) < 100_000
     rows = got.selectExpr("count_if(level = least(id * 3, 9999) OR level = id) AS good", "count(*) AS n").first()
     assert (rows.good, rows.n) == (2_000, 2_000)
+
+
+@pytest.mark.parametrize("pattern, runs", [
+    ("Se[^A-Za-z]+que", ["Se#que"]), (r"Se\s+la|foo +bar", ["Se#la", "foo#bar"]), ("ax[^a-zA-Z0-9]b", ["ax#b"]),
+    (r"ab\W*cd", None), ("ab[^a-z]+cd", None), ("ab[^A-Za-z]?cd", None), ("ab(?: )cd", None), ("ab+cd", None),
+    ("[^A-Za-z]+abc[0-9]", None), (r"ab\S+cd", None), ("ab[^A-Za-z]+?cd", None), ("ab[ _x]cd", None),
+])
+def test_keys_with_gaps(pattern, runs):
+    """Words too short for a literal are keys together with the gap between them."""
+    found = rule_tables.keys(pattern)
+    kinds = {k >> rule_tables.KIND for branch in found or [] for k in branch}
+    assert (min(kinds, default=0) > rule_tables.SPANNING) == (runs is not None)
+    for branch, run in zip(found or [], runs or []):
+        assert all((k & (1 << 56) - 1).to_bytes(7).lstrip(b"\0").decode() in run for k in branch)
+
+
+WORDS = st.text("abzAZ 1-\t\u00fc\U0001d11e", max_size=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(WORDS, max_size=6), st.sampled_from([1, 3, 8, 1 << 17]))
+def test_grams_of_texts(texts, size):
+    """Those of each text by itself, wherever pieces and batches of it are cut."""
+    known, kinds = np.ones(1 << rule_tables.BITS, bool), {6, 4, 3, 15, 13, 12}
+    want = set()
+    for i, text in enumerate(texts):
+        for spanning, sizes in enumerate((rule_tables.GRAMS, rule_tables.GAPPED)):
+            data = (re.sub(b"[^A-Za-z]+", b"#", text.encode()) if spanning else text.encode())
+            for n in sizes:
+                cut = np.frombuffer(data, np.uint8)
+                want |= {(i, k) for k in rule_tables._keyed(cut, n, bool(spanning)).tolist()}
+    before, rule_tables.SLICE = rule_tables.SLICE, size
+    try:
+        column = pa.array(["left out", *texts, "left out"], pa.string())[1:-1]
+        got = [pair for row, gram in rule_tables._met(column, known, kinds) for pair in zip(row.tolist(), gram.tolist())]
+    finally:
+        rule_tables.SLICE = before
+    assert set(got) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.sampled_from(["ab", "Xyz", r"\s+", "[^A-Za-z]+", "[^a-zA-Z_]", " +", r"\W", "-", "|", "c?"]), max_size=6).map("".join),
+    st.text("abcXyz -_1", max_size=20),
+)
+def test_a_match_holds_a_key(pattern, text):
+    found = rule_tables.keys(pattern)
+    if found and re.search(pattern, text, re.ASCII):
+        every = {*rule_tables.GRAMS, *(n + rule_tables.SPANNING for n in rule_tables.GAPPED)}
+        known = np.ones(1 << rule_tables.BITS, bool)
+        met = {g for _, grams in rule_tables._met(pa.array([text]), known, every) for g in grams.tolist()}
+        assert any(set(branch) <= met for branch in found)
+
+
+def test_gaps_like_expressions(spark):
+    listed = [
+        Rule(r"Se\s+la", level=1), Rule("de[^A-Za-z]+in", level=2), Rule("de +in|x-y", props={"a": "b"}),
+        Rule(r"music\W+on", level=4), Rule("\ufffdabc", level=5), Rule("o[^A-Za-z]+p", level=6),
+    ]
+    texts = ["Se la", "Se\n\n la", "Sela", "de 12 - \u00fc in", "den in", "x-y", "music" + " " * 300_000 + "on", "o 7p", "music", " on"]
+    df = spark.createDataFrame([(i, t, 0, {}) for i, t in enumerate(texts)], "id long, text string, level long, props map<string,string>")
+    got = rule_tables.apply(df, rule_tables.table(spark, listed), "text", ["id"], props="props")
+    want = rules.apply(df, listed, "text", props="props")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
