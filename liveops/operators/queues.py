@@ -69,4 +69,6 @@ def backlog(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         ),
         ["viewer", "piece"], ARRIVAL, QUEUE,
         "viewer bigint, event_id bigint, dropped_by bigint",
+        # Pieces rise with the arrivals, so the parts need no running sums.
+        along=(rows, ["viewer", *ARRIVAL]),
     )

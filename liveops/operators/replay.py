@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liveops.operators.fold import fold
-from liveops.operators.numbered import part_count, parted
+from liveops.operators.numbered import part_count, place, splitters
 
 
 class Machine(Protocol):
@@ -78,15 +78,35 @@ def _same(keys: list[str]) -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)]
 
 
+def _block(keys: list[str]) -> list[Column]:
+    """The block of a row; null-safe, since a filter for nulls would move under the exchange."""
+    return [*_same(keys), F.col("_part").eqNullSafe(F.col("_at"))]
+
+
+def _above(condition: Column) -> Column:
+    """``condition``, which stays above the exchange below it.
+
+    Moved under it, it would make the exchange another one, and all before it would run again.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, condition)
+
+
 def _named(df: DataFrame, keys: list[str], *rest) -> DataFrame:
     """Keys renamed, so that null keys can be matched too."""
     return df.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], *rest)
 
 
-def _split(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, keys, order, along=None) -> tuple[DataFrame, DataFrame]:
     """Rows of keys in one part, and those of keys in several with ``_part`` and ``_last``."""
-    placed = parted(df, [*keys, *order], part_count(df))
-    spans = placed.groupBy(*keys).agg(F.min("_part").alias("_low"), F.max("_part").alias("_last"))
+    rows, columns = along or (df, [*keys, *order])
+    parts = part_count(df)
+    cut = df.withColumn("_cuts", splitters(rows, columns, parts))
+    # One exchange, which all that is made of the parts reads again.
+    placed = cut.withColumn("_part", place(columns, parts)).drop("_cuts").repartition(*keys, "_part")
+    # Of whole rows: with fewer columns it would be another exchange.
+    spans = placed.groupBy(*keys).agg(
+        F.min("_part").alias("_low"), F.max_by(F.struct(*placed.columns), "_part").alias("_high")
+    ).withColumn("_last", F.col("_high._part"))
     # Each of them holds a splitter: at most as many rows as parts.
     spans = F.broadcast(_named(spans.where("_low < _last"), keys, "_last"))
     small = placed.join(spans, _same(keys), "left_anti").drop("_part")
@@ -118,21 +138,21 @@ def _from(machine: Machine, last: bool):
         return machine.step(held["state"], row)
 
     def finish(held):
-        out = []
-        if last or held["row"]["_part"] == held["row"]["_last"]:
-            frozen = json.dumps(machine.freeze(held["state"]))
-            out = machine.finish(held["state"])
-            return [*out, {"_exit": frozen}]
-        return [{"_exit": json.dumps(machine.freeze(held["state"]))}]
+        row, frozen = held["row"], json.dumps(machine.freeze(held["state"]))
+        out = machine.finish(held["state"]) if last or row["_part"] == row["_last"] else []
+        return [*out, {"_exit": frozen, "_wrong": row.get("_guess", frozen) != frozen}]
 
     return begin, step, finish
 
 
 def _replayed(rows: DataFrame, keys, order, machine, schema, last=False) -> DataFrame:
-    """Rows with their block's ``_entry`` to output, and a row with the ``_exit`` of each block."""
+    """Rows with their block's ``_entry`` to output, and a row with the ``_exit`` of each block.
+
+    That row is ``_wrong`` if the rows have a ``_guess`` that is not the exit.
+    """
     block = list(keys) if last else [*keys, "_part"]
     begin, step, finish = _from(machine, last)
-    made = _typed(rows, block, schema, "_exit string")
+    made = _typed(rows, block, schema, "_exit string", "_wrong boolean")
     return fold(rows, block, order, begin, step, made, finish)
 
 
@@ -153,7 +173,7 @@ def composed(df: DataFrame, keys, order, machine: Mapped, schema: str) -> DataFr
         _typed(large, keys, "_part int, _entry string"),
     )
     entries = _named(entries.withColumnRenamed("_part", "_at"), keys, "_at", "_entry")
-    entered = large.join(entries, [*_same(keys), F.col("_part") == F.col("_at")])
+    entered = large.join(entries, _block(keys))
     out = _replayed(entered, keys, order, machine, schema).where("_exit IS NULL").select(*_names(schema))
     return _small(small, keys, order, machine, schema).unionByName(out)
 
@@ -235,10 +255,14 @@ def _walk_step(machine: Mapped) -> Callable:
     return step
 
 
-def coupled(df: DataFrame, keys, order, machine: Machine, schema: str) -> DataFrame:
-    """Fold ``df`` by ``machine``, blocks of a key in parallel from the exits of the blocks before."""
+def coupled(df: DataFrame, keys, order, machine: Machine, schema: str, along=None) -> DataFrame:
+    """Fold ``df`` by ``machine``, blocks of a key in parallel from the exits of the blocks before.
+
+    ``along`` are rows that cost less to read than ``df``, and columns of both that order them as
+    keys and order do: the splitters are taken from these.
+    """
     keys, order = list(keys), list(order)
-    small, large = _split(df, keys, order)
+    small, large = _split(df, keys, order, along)
     block = [*keys, "_part"]
     begun = large.withColumn("_entry", F.lit(None).cast("string"))
     first = _replayed(begun, keys, order, machine, schema).where("_exit IS NOT NULL").select(*block, "_exit")
@@ -247,24 +271,20 @@ def coupled(df: DataFrame, keys, order, machine: Machine, schema: str) -> DataFr
         first, keys, F.col("_part").alias("_at"), F.col("_exit").alias("_guess"),
         F.lag("_exit").over(before).alias("_entry"),
     )
-    entered = large.join(guesses.drop("_guess"), [*_same(keys), F.col("_part") == F.col("_at")]).drop(
-        *[f"_s{i}" for i in range(len(keys))], "_at"
-    )
-    second = _replayed(entered, keys, order, machine, schema)
-    ends = second.where("_exit IS NOT NULL").join(
-        guesses.drop("_entry"), [*_same(keys), F.col("_part") == F.col("_at")]
-    )
+    entered = large.join(guesses, _block(keys)).drop(*[f"_s{i}" for i in range(len(keys))], "_at")
+    # Dealt once more, so that both readers share one run.
+    second = _replayed(entered, keys, order, machine, schema).repartition(*block)
     # Of each shared key the first block whose two runs end differently: no more rows than parts.
-    wrong = ends.where("_exit <> _guess").groupBy(*keys).agg(
-        F.min("_part").alias("_bad"), F.min_by("_exit", "_part").alias("_state")
+    wrong = second.where(_above(F.col("_wrong"))).groupBy(*keys).agg(
+        F.min_by(F.struct(*second.columns), "_part").alias("_row")
     )
-    wrong = _named(wrong, keys, "_bad", F.col("_state").alias("_entry"))
-    right = second.where("_exit IS NULL").join(
+    wrong = _named(wrong, keys, F.col("_row._part").alias("_bad"), F.col("_row._exit").alias("_entry"))
+    right = second.where(_above(F.col("_exit").isNull() & F.col("_wrong").isNull())).join(
         F.broadcast(wrong.drop("_entry")), _same(keys), "left"
     ).where("_bad IS NULL OR _part <= _bad")
-    rest = large.join(wrong, _same(keys)).where("_part > _bad").drop(
-        *[f"_s{i}" for i in range(len(keys))], "_bad"
-    )
+    rest = large.join(wrong, _same(keys)).where(
+        F.coalesce(F.col("_part") > F.col("_bad"), F.lit(False))
+    ).drop(*[f"_s{i}" for i in range(len(keys))], "_bad")
     rest = _replayed(rest, keys, order, machine, schema, last=True).where("_exit IS NULL")
     names = _names(schema)
     return (

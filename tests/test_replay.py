@@ -1,5 +1,6 @@
 """Blocks of one key in parallel: maps of entry states, runs that meet, and runs that never do."""
 
+import os
 import random
 
 import pytest
@@ -125,3 +126,20 @@ def test_runs_that_never_meet(spark, parts, always):
 def test_no_rows(spark, parts):
     rows = spark.createDataFrame([], "k bigint, id bigint, v bigint")
     assert replay.coupled(rows, ["k"], ["id"], counter(), "k bigint, id bigint, n bigint").collect() == []
+
+
+def test_each_block_runs_twice(spark, parts, tmp_path):
+    """Once from the beginning state and once from its entry, however often the plan names its rows."""
+    seen = str(tmp_path / "steps")
+
+    def step(state, row):
+        with open(seen, "ab", buffering=0) as file:
+            file.write(b".")
+        before, state["v"] = state["v"], row["id"]
+        return [{"id": row["id"], "before": before}]
+
+    machine = replay.Steps(lambda: {"v": None}, step, lambda s: s["v"], lambda v: {"v": v})
+    rows = spark.range(300).select(F.lit(1).cast("bigint").alias("k"), "id")
+    got = replay.coupled(rows, ["k"], ["id"], machine, "k bigint, id bigint, before bigint").collect()
+    assert sorted((r.id, r.before) for r in got[:]) == sorted((i, i - 1 if i else None) for i in range(300))
+    assert os.path.getsize(seen) == 2 * 300
