@@ -83,6 +83,60 @@ def test_playlists_by_name(spark, tmp_path):
     assert got == want | {"none": None}
 
 
+def test_playlists_with_odd_lines(spark):
+    """Directives, empty lines, line ends of all kinds and texts that end early, against a plain loop."""
+    import random
+    import re
+
+    pieces = ["#EXTINF:", "#EXTINF:1.5,", "#EXTINF: \t2", "#EXTM3U", "#EXT-X-TARGETDURATION:7", "\n",
+              "\n", "\n", "\r\n", "\r\n", "\r", " ", "9.", "1.2.3", "a.ts", "é\u2028😀", "#", "\x0b"]
+    pick = random.Random(5)
+    texts = ["".join(pick.choices(pieces, k=pick.randrange(40))) for _ in range(6000)]
+
+    def number(text):
+        try:
+            return float(text)
+        except ValueError:
+            return None
+
+    want = set()
+    for name, text in enumerate(texts):
+        lines, pos = re.split(r"\r?\n", text), 0
+        target = re.search(r"#EXT-X-TARGETDURATION:([0-9]+)", text)
+        for line, url in zip(lines, lines[1:]):
+            if line.startswith("#EXTINF:") and url and not url.startswith("#EXT"):
+                found = re.match(r"#EXTINF:\s*([0-9.]+)", line, re.ASCII)
+                want.add((name, pos, number(found[1]) if found else None, "http://cdn/" + url,
+                          int(target[1]) if target else None))
+                pos += 1
+    files = spark.createDataFrame(
+        [*enumerate(texts), (-1, None)], "playlist long, value string"
+    )
+    got = [tuple(r) for r in playlists.entries(files, "cdn").collect()]
+    assert len(got) == len(want) > 1000 and set(got) == want
+
+
+def test_playlist_text_of_odd_windows(spark):
+    head = "#EXTM3U\n#EXT-X-TARGETDURATION:15\n#EXT-X-VERSION:3\n#EXT-X-MEDIA-SEQUENCE:"
+    rows = spark.createDataFrame(
+        [(["a", None, "", "b"], 4), ([], 1), ([None], -2), (None, 3), (["c"], None)],
+        "urls array<string>, media_sequence long",
+    )
+    assert [r.t for r in rows.select(playlists.text().alias("t")).collect()] == [
+        head + "4\n#EXTINF:15,\na\n#EXTINF:15,\n\n#EXTINF:15,\nb\n", head + "1\n", head + "-2\n",
+        None, head + "null\n#EXTINF:15,\nc\n",
+    ]
+
+
+def test_playlists_are_searched_once(spark, folder):
+    """No step of the plan is interpreted for each line, and none reads a text's lines again."""
+    from liveops.plans.registry import QUERIES
+
+    plan = QUERIES["playlist_entries"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+    assert plan.count("regexp_extract_all(") == 1
+
+
 def test_small_files_of_queries(spark, folder, monkeypatch):
     """Queries with a file for each row write them in many tasks and list no folder for each."""
     from liveops.plans.fixtures import Tables
