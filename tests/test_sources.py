@@ -2,6 +2,7 @@
 
 import json
 import struct
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -83,6 +84,36 @@ def test_playlists_by_name(spark, tmp_path):
     assert got == want | {"none": None}
 
 
+def test_playlists_share_folders(spark, tmp_path):
+    """A file for each channel, in a few folders."""
+    schema = "channel string, seq long, urls array<string>, media_sequence long"
+    names = [None, "x/y=%", "é" * 60, "", ".", *map(str, range(300))]
+    rows = spark.createDataFrame([(c, 1, ["u"], n) for n, c in enumerate(names)], schema)
+    assert playlists.write(rows, str(tmp_path), 7) == len(names)
+    assert playlists.write(rows.where("channel = '9'").withColumn("seq", F.lit(2)), str(tmp_path), 7) == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == list("0123456")
+    found = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert len(found) == len(names) and all(p.name.startswith("channel=") for p in found)
+    asked = rows.select("channel").unionByName(spark.createDataFrame([("none",)], "channel string"))
+    got = {r.channel: r.text for r in playlists.fetch(asked, str(tmp_path), 7).collect()}
+    want = {r.channel: r.text for r in rows.select("channel", playlists.text().alias("text")).collect()}
+    assert got == want | {"none": None}
+
+
+def test_playlist_files_share_folders(spark, folder, monkeypatch):
+    from liveops.plans.fixtures import Tables
+    from liveops.plans.registry import QUERIES
+
+    made, store = [], slices.store
+    monkeypatch.setattr(slices, "store", lambda rows, path: made.append(path) or store(rows, path))
+    rows = QUERIES["playlist_files"](spark, folder).count()
+    assert rows == Tables(spark, folder).lineitem.select("l_orderkey").distinct().count()
+    at = Path(made[0].removeprefix("file:"))
+    inside = list(at.rglob("*"))
+    assert sum(p.is_file() and p.suffix == ".m3u8" for p in inside) == rows
+    assert sum(p.is_dir() for p in inside) < rows / 4
+
+
 def test_playlists_with_odd_lines(spark):
     """Directives, empty lines, line ends of all kinds and texts that end early, against a plain loop."""
     import random
